@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_count, url_filter
+from . import fingerprint, mixing, pii, token_count, url_filter
 from .common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -23,7 +31,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_vocabulary, op9_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_simhash, op4_disclosure, op5_url_vocabulary, op9_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
