@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, pii, token_count, url_filter
+from . import fingerprint, mixing, near_dedup, pii, token_count, url_filter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,8 +35,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_disclosure, op5_url_vocabulary, op9_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_simhash, op4_disclosure, op5_url_vocabulary, op6_chosen_path, op9_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_vocabulary": url_filter.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}
+    return {"op5_url_vocabulary": url_filter.oracle_sql(), "op6_chosen_path": near_dedup.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}
