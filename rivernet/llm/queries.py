@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dedup, packing, pii, token_count, url_filter
+from . import fingerprint, mixing, near_dedup, packing, pii, suffix_dedup, token_count, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_disclosure, op5_url_vocabulary, op6_chosen_path, op7_binary_packing, op9_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_simhash, op4_disclosure, op5_url_vocabulary, op6_chosen_path, op7_binary_packing, op8_induced_sorting, op9_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
