@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dedup, packing, pii, suffix_dedup, token_count, url_filter
+from . import ann, fingerprint, mixing, near_dedup, packing, pii, suffix_dedup, token_count, toxicity, url_filter
 from .common import table
 
 
+def op1_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_disclosure, op5_url_vocabulary, op6_chosen_path, op7_binary_packing, op8_induced_sorting, op9_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_classifier_chain, op2_simhash, op3_anisotropic_search, op4_disclosure, op5_url_vocabulary, op6_chosen_path, op7_binary_packing, op8_induced_sorting, op9_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
