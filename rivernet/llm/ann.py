@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE_ROWS, ROWS_A_LEAF, MOST_LEAVES, CENTRES = 10_000, 1_000, 1_024, 16
-PROBED, LEAST_PROBES, LEAST_ROWS = 0.4, 12, 64
+PROBED, LEAST_PROBES, LEAST_ROWS = 0.75, 12, 64
 SCORE_AT, RERANKED = 0.2, 96  # inner products from SCORE_AT on count; candidates reranked in each block
 CANDIDATE_ROWS, QUERY_ROWS = 4_096, 512
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, ensure_checkpoint_dir
+
+__all__ = ["WHITE", "cut", "ensure_checkpoint_dir", "n_words", "table", "text_of", "words_of"]
+
 WHITE = "[\\x20\\x09-\\x0D]+"
 _ENDS = " \t\n\x0b\x0c\r"
 
@@ -29,17 +31,3 @@ def words_of(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(_ENDS))
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WHITE))).cast("long")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir holds; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage, survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()

@@ -20,8 +20,8 @@ from .common import cut
 
 # The categories in the chain's order: (name, column of labels, value that counts as the category).
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-SAMPLE_ROWS, TERMS, FOLDS, LEAST_TEXTS = 8_000, 800, 3, 3
-STEM, ROUNDS, RATE, DECAY, THRESHOLD = 4, 300, 0.5, 1e-4, 0.4
+SAMPLE_ROWS, TERMS, FOLDS, LEAST_TEXTS = 16_000, 150, 3, 3
+STEM, ROUNDS, RATE, DECAY, THRESHOLD = 4, 300, 0.5, 1e-4, 0.35
 # Bytes: A-Z in lower case, every other ASCII character that is no letter or digit a blank.
 _FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
