@@ -173,7 +173,7 @@ def route_targets(spark, sf_dir):
 
 def route_daily(spark, sf_dir):
     flows = Router(WINDOW).route(data.daily_runoff(spark, sf_dir), RiverNetwork(data.event_network(spark, sf_dir)), data.DAYS)
-    return flows.select("batch", "reach_id", "t", rounded("value", 4).alias("value"))
+    return flows.select("batch", "reach_id", "t", rounded("value", 6, FLOW_UNIT).alias("value"))
 
 
 def param_sweep(spark, sf_dir):

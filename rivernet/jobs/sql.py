@@ -139,7 +139,7 @@ FROM reaches a, reaches b, (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN k
         "route_param_override": routed("linear_storage", tau="tau * 2"),
         "route_targets": routed("linear_storage", where=" AND dst < 8"),
         "route_daily": f"""WITH RECURSIVE {kernel("linear_storage", "events")}, runoff AS (SELECT event_type AS batch, user_id + 1 AS reach_id, day(ts) - 1 AS t, sum(value)::DOUBLE AS value FROM events GROUP BY ALL)
-SELECT batch, reach_id, t, {rounded("value", 4)} AS value FROM ({conv(steps=30)})""",
+SELECT batch, reach_id, t, {rounded("value", 6, str(FLOW_UNIT))} AS value FROM ({conv(steps=30)})""",
         "param_sweep": " UNION ALL ".join(f"SELECT '{name}' AS param_set, * FROM ({routed('linear_storage', tau=f'tau * {by}::DOUBLE')})" for name, by in (("low", 0.9), ("high", 1.1))),
         "transfers": planned("SELECT * FROM moves"),
         "transfer_tables": planned("SELECT row_number() OVER (ORDER BY src_cluster, src_reach) - 1 AS transfer_id, * FROM moves"),
