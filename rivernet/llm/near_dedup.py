@@ -185,7 +185,7 @@ def _against_all(rows: np.ndarray, classes: Classes, linked: Callable[[int], np.
         classes.join(np.full(len(near), rows[at]), near)
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.RecordBatch]:
+def by_group(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.RecordBatch]:
     """Sorted batches joined so that no group is cut; about ``rows`` rows at a time, more where a group is larger."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -228,7 +228,7 @@ def candidate_links(nodes: DataFrame, trees: int = TREES, percent: int = PERCENT
     rows = in_blocks(rows, "node", "rep", counts, NODE_ROWS).select("grp", "rep", "minhash")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_group(batches, "grp", CHUNK_ROWS):
+        for batch in by_group(batches, "grp", CHUNK_ROWS):
             rep = np.asarray(batch.column("rep"))
             values = np.frombuffer(b"".join(batch.column("minhash").to_pylist()), np.uint16).reshape(-1, POSITIONS)
             group = np.asarray(batch.column("grp"))
@@ -279,7 +279,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, per
     rows = in_blocks(rows, "cls", "rep", counts, CLASS_SHINGLES).select("grp", "rep", "shingles")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_group(batches, "grp", 512):
+        for batch in by_group(batches, "grp", 512):
             rep, data = np.asarray(batch.column("rep")), batch.column("shingles")
             found = []
             for s, e in (lambda b: zip(b[:-1], b[1:], strict=True))(_sorted_groups(np.asarray(batch.column("grp")))):

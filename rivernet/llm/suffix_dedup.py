@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
+from .near_dedup import by_group
 from .shingles import _BASE, _BASE_INV, _BYTE, mixed, powers
 
 LENGTH, PREFIX = 400, 200
 SEGMENT, PLACE_BITS = 1 << 19, 22
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, FEW_CONTENTS = 500_000, 2_000
+SHARE, HEAVY_AT, HEAVY = 1 / 64, 8, 10_000  # where to look for names that many rows hold; decides the dealing only
 
 
 def _prefix_sums(buf: np.ndarray) -> np.ndarray:
@@ -114,72 +116,111 @@ def sample_tuples(texts: DataFrame) -> DataFrame:
     return texts.select("mark", "n_bytes", "text").mapInArrow(tuples, "mark long, n_bytes long, first long, more short, place short, name long, content long")
 
 
-def repeated(rows: DataFrame, key: str, differ: str | None = None) -> DataFrame:
-    """Rows whose key occurs more than once (with more than one ``differ``, if named), by an external sort that streams."""
-    order = [key, differ] if differ else [key]
+def heavy_names(samples_of_some: DataFrame) -> np.ndarray:
+    """Names that a share of the rows holds many times already, at most HEAVY of them, sorted."""
+    counts = samples_of_some.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= HEAVY_AT)
+    return np.array(sorted(r.name for r in counts.orderBy(F.col("n").desc(), "name").limit(HEAVY).collect()), np.int64)
+
+
+def repeated_samples(samples: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """Sample tuples whose name occurs more than once, by an external sort that streams.
+
+    Heavy names are known to repeat: their rows are spread over the tasks and
+    come through as they are.
+    """
+    known = F.broadcast(samples.sparkSession.createDataFrame([(int(x),) for x in heavy], "heavy long"))
+    salted = samples.join(known, F.col("name") == F.col("heavy"), "left").withColumn("deal", F.when(F.col("heavy").isNull(), F.col("name")).otherwise(F.xxhash64("mark", "first"))).withColumn("sure", F.col("heavy").isNotNull()).drop("heavy")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last run's rows so far, unless they have come through already
-        last, many = None, False
+        held, last, open_ = None, None, False  # the last row, if it may yet turn out to repeat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.asarray(batch.column(key))
-            new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            ends = np.append(new[1:], len(k))
-            what = np.asarray(batch.column(differ)) if differ else np.arange(len(k))
-            several = what[new] != what[ends - 1]  # sorted: the ends of a run differ if any of it do
-            if last is not None and k[0] == last[0]:
-                several[0] |= many or not differ or what[0] != last[1] or what[ends[0] - 1] != last[1]
-                if several[0] and held is not None:
-                    yield held
-                    held = None
-            else:
-                held = None
-            keep = np.repeat(several, ends - new)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-            tail = new[-1]
-            if several[-1]:
-                held = None
-            elif not (len(new) == 1 and held is not None):
-                held = batch.slice(ends[-1] - 1, 1) if not differ else batch.slice(tail, ends[-1] - tail)
-            else:
-                held = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            last, many = (k[-1], what[-1] if differ else None), bool(several[-1])
-
-    return rows.repartition(key).sortWithinPartitions(*order).mapInArrow(runs, rows.schema)
-
-
-def window_tuples(texts: DataFrame, opened: DataFrame) -> DataFrame:
-    """window, content, at: a hash of each string that an open sample stands for."""
-    by_text = opened.groupBy("mark", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("first", "more", "content"))).alias("open"))
+            k, sure = np.asarray(batch.column("name")), np.asarray(batch.column("sure"))
+            same = np.concatenate(([last is not None and k[0] == last], k[1:] == k[:-1]))
+            if same[0] and open_:
+                yield held
+            keep = same | np.append(same[1:], False) | sure
+            yield batch.filter(pa.array(keep)).select(names)
+            last, open_, held = k[-1], not keep[-1], batch.slice(batch.num_rows - 1, 1).select(names)
+
+    names = samples.columns
+    return salted.repartition("deal").sortWithinPartitions("name").mapInArrow(runs, samples.schema)
+
+
+def open_tuples(texts: DataFrame, opened: DataFrame) -> DataFrame:
+    """key, content, at, data of the strings that open samples stand for.
+
+    A sample of a name with few contents comes as one row: its name, -1 and its
+    bytes.  Of a name with many, each string of LENGTH bytes comes by its hash.
+    """
+    by_text = opened.groupBy("mark", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("first", "more", "content", "name", "many"))).alias("open"))
     few = by_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marks = by_text.select(F.col("mark").alias("m"), F.col("n_bytes").alias("n"))
     some = texts.join(F.broadcast(marks) if few else marks, (F.col("mark") == F.col("m")) & (F.col("n_bytes") == F.col("n")), "left_semi")
     rows = some.dropDuplicates(["mark", "n_bytes"]).join(by_text, ["mark", "n_bytes"]).select("text", "open")
+    names = ["key", "content", "at", "data"]
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[tuple] = []
+        size = 0
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], names=names)
         for batch in batches:
             for value, samples in zip(batch.column("text"), batch.column("open"), strict=True):
                 data = value.as_buffer()
                 for s in samples.as_py():
-                    part = np.frombuffer(data[s["first"] : s["first"] + s["more"] + LENGTH], np.uint8)
-                    h = _hashes(_prefix_sums(part), slice(0, s["more"] + 1), slice(LENGTH, LENGTH + s["more"] + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), s["content"])), pa.array(np.arange(len(h), dtype=np.int16))], names=["window", "content", "at"])
-
-    return rows.mapInArrow(windows, "window long, content long, at short")
+                    part = data[s["first"] : s["first"] + s["more"] + LENGTH]
+                    if s["many"]:
+                        h = _hashes(_prefix_sums(np.frombuffer(part, np.uint8)), slice(0, s["more"] + 1), slice(LENGTH, LENGTH + s["more"] + 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), s["content"])), pa.array(np.arange(len(h), dtype=np.int16)), pa.nulls(len(h), pa.binary())], names=names)
+                    else:
+                        whole.append((s["name"], s["content"], -1, part.to_pybytes()))
+                        size += len(part)
+                        if size >= SEGMENT:
+                            yield as_batch(whole)
+                            whole, size = [], 0
+        if whole:
+            yield as_batch(whole)
+
+    return rows.mapInArrow(strings, "key long, content long, at short, data binary")
+
+
+def repeated_strings(tuples: DataFrame) -> DataFrame:
+    """content, at: the strings that more than one content holds, from sorted ``open_tuples``."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_group(batches, "key", 2_000):
+            content, at = np.asarray(batch.column("content")), np.asarray(batch.column("at"))
+            whole = np.flatnonzero(at < 0)
+            key, owner, place = (x[at >= 0] for x in (np.asarray(batch.column("key")), content, at))
+            if len(whole):
+                parts = batch.column("data").take(pa.array(whole)).to_pylist()
+                length = np.fromiter(map(len, parts), np.int64, len(parts))
+                n = length - LENGTH + 1
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(np.cumsum(length) - length, n) + inside
+                h = _hashes(_prefix_sums(np.frombuffer(b"".join(parts), np.uint8)), start, start + LENGTH)
+                key, owner, place = np.concatenate((key, h.view(np.int64))), np.concatenate((owner, np.repeat(content[whole], n))), np.concatenate((place, inside.astype(np.int16)))
+            order = np.lexsort((owner, key))
+            key, owner, place = key[order], owner[order], place[order]
+            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            end = np.append(new[1:], len(key))
+            keep = np.repeat(owner[new] != owner[end - 1], end - new)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(place[keep])], names=["content", "at"])
+
+    return tuples.repartition("key").sortWithinPartitions("key").mapInArrow(found, "content long, at short")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """mark, n_bytes, ranges: bytes [start, end) of each text that lie in repeated strings; overlapping, unordered."""
     texts = marked(docs)
-    samples = cut(repeated(sample_tuples(texts), "name"))
+    heavy = heavy_names(sample_tuples(marked(docs.sample(SHARE, 1))))
+    samples = cut(repeated_samples(sample_tuples(texts), heavy))
     contents = samples.groupBy("name", "content").agg(F.count("*").alias("n"), F.min(F.struct("mark", "n_bytes", "first", "more")).alias("one"))
     contents = cut(contents)
-    names = contents.groupBy("name").agg(F.count("*").alias("contents")).filter("contents > 1").select("name")
-    opened = contents.join(names, "name").select("content", "one.*")
-    found = repeated(window_tuples(texts, opened), "window", "content").select("content", "at").distinct()
+    names = contents.groupBy("name").agg(F.count("*").alias("contents")).filter("contents > 1").select("name", (F.col("contents") > FEW_CONTENTS).alias("many"))
+    opened = contents.join(names, "name").select("content", "name", "many", "one.*")
+    found = repeated_strings(open_tuples(texts, opened)).distinct()
     once = contents.filter("n = 1").select("content")
     runs = found.join(once, "content").groupBy("content").agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))

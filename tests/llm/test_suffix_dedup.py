@@ -67,3 +67,10 @@ def test_sliding_min():
     v = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)
     for w in (1, 3, 201):
         assert (suffix_dedup.sliding_min(v, w) == [v[i : i + w].min() for i in range(len(v) - w + 1)]).all()
+
+
+def test_names_with_many_contents_and_heavy_names(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FEW_CONTENTS", 1)
+    monkeypatch.setattr(suffix_dedup, "SHARE", 1.0)
+    monkeypatch.setattr(suffix_dedup, "HEAVY_AT", 2)
+    test_random_repeats(spark, 7)
