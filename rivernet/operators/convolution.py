@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .kernel import long_kernel
 
 STRATEGIES = ("long", "packed")
+PACKED_CELLS = 1 << 20
 
 
 def convolve(runoff: DataFrame, kernel: DataFrame, steps: int, strategy: str = "long") -> DataFrame:
@@ -35,18 +36,23 @@ def _long(runoff: DataFrame, kernel: DataFrame, steps: int) -> DataFrame:
 def _packed(runoff: DataFrame, kernel: DataFrame, steps: int) -> DataFrame:
     x = runoff.filter(F.col("t").between(0, steps - 1)).groupBy("batch", F.col("reach_id").alias("src")).agg(F.collect_list(F.struct("t", "value")).alias("x"))
     both = x.join(kernel, "src").select("batch", F.col("dst").alias("reach_id"), "x", "weights")
+    rows = max(1, PACKED_CELLS // max(1, steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for batch, reach, x, w in zip(b.column("batch").to_pylist(), b.column("reach_id").to_pylist(), b.column("x"), b.column("weights"), strict=True):
-                at, value = (np.asarray(x.values.field(i)) for i in (0, 1))
-                weights = np.asarray(w.values)
-                t = (at[:, None] + np.arange(len(weights))).reshape(-1)
-                y = (value[:, None] * weights).reshape(-1)
-                t, y = t[t < steps], y[t < steps]
-                hit = np.unique(t)
-                total = np.bincount(t, y, steps)[hit]
-                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(hit), b.schema.field("batch").type), pa.array([reach] * len(hit), pa.int64()), pa.array(hit.astype(np.int32)), pa.array(total)], names=["batch", "reach_id", "t", "value"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                n = b.num_rows
+                x, w = b.column("x"), np.asarray(b.column("weights").flatten()).reshape(n, -1)
+                row = np.repeat(np.arange(n), np.diff(np.asarray(x.offsets)))
+                t_in, value = (np.asarray(x.flatten().field(i)) for i in (0, 1))
+                t = t_in[:, None] + np.arange(w.shape[1])
+                inside = t < steps
+                cell = (row[:, None] * steps + t)[inside]
+                total = np.bincount(cell, (value[:, None] * w[row])[inside], n * steps)
+                hit = np.flatnonzero(np.bincount(cell, minlength=n * steps))
+                of = pa.array(hit // steps)
+                yield pa.RecordBatch.from_arrays([b.column("batch").take(of), b.column("reach_id").take(of), pa.array((hit % steps).astype(np.int32)), pa.array(total[hit])], names=["batch", "reach_id", "t", "value"])
 
     kind = runoff.schema["batch"].dataType.simpleString()
     flow = both.mapInArrow(run, f"batch {kind}, reach_id long, t int, value double")
