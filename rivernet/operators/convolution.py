@@ -48,10 +48,16 @@ def _packed(runoff: DataFrame, kernel: DataFrame, steps: int) -> DataFrame:
                 t_in, value = (np.asarray(x.flatten().field(i)) for i in (0, 1))
                 t = t_in[:, None] + np.arange(w.shape[1])
                 inside = t < steps
-                cell = (row[:, None] * steps + t)[inside]
-                total = np.bincount(cell, (value[:, None] * w[row])[inside], n * steps)
-                hit = np.flatnonzero(np.bincount(cell, minlength=n * steps))
-                of = pa.array(hit // steps)
+                # Series that meet at a reach are added up here already; the groupBy adds what other batches bring.
+                names = b.column("batch").dictionary_encode()
+                _, at_reach = np.unique(np.asarray(b.column("reach_id")), return_inverse=True)
+                series, member = np.unique(at_reach * (len(names.dictionary) + 1) + np.asarray(names.indices.fill_null(len(names.dictionary))), return_inverse=True)
+                first = np.zeros(len(series), np.int64)
+                first[member] = np.arange(n)
+                cell = (member[row][:, None] * steps + t)[inside]
+                total = np.bincount(cell, (value[:, None] * w[row])[inside], len(series) * steps)
+                hit = np.flatnonzero(np.bincount(cell, minlength=len(series) * steps))
+                of = pa.array(first[hit // steps])
                 yield pa.RecordBatch.from_arrays([b.column("batch").take(of), b.column("reach_id").take(of), pa.array((hit % steps).astype(np.int32)), pa.array(total[hit])], names=["batch", "reach_id", "t", "value"])
 
     kind = runoff.schema["batch"].dataType.simpleString()
