@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_vocabulary": url_filter.oracle_sql(), "op6_chosen_path": near_dedup.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}
+    return {"op5_url_vocabulary": url_filter.oracle_sql(), "op6_chosen_path": near_dedup.oracle_sql(), "op8_induced_sorting": suffix_dedup.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}

@@ -26,7 +26,7 @@ from .shingles import _BASE, _BASE_INV, _BYTE, mixed, powers
 
 LENGTH, PREFIX = 400, 200
 SEGMENT, PLACE_BITS = 1 << 19, 22
-BROADCAST_ROWS, FEW_CONTENTS = 500_000, 2_000
+BROADCAST_ROWS, FEW_CONTENTS, GROUP_ROWS = 500_000, 2_000, 1_000
 SHARE, HEAVY_AT, HEAVY = 1 / 64, 8, 10_000  # where to look for names that many rows hold; decides the dealing only
 
 
@@ -185,11 +185,22 @@ def open_tuples(texts: DataFrame, opened: DataFrame) -> DataFrame:
     return rows.mapInArrow(strings, "key long, content long, at short, data binary")
 
 
+def _slices(batch: pa.RecordBatch, key: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a sorted batch of about ``rows`` rows that cut no group."""
+    k = np.asarray(batch.column(key))
+    ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))
+    start = 0
+    while start < len(k):
+        end = int(ends[np.searchsorted(ends, min(start + rows, len(k)))])
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def repeated_strings(tuples: DataFrame) -> DataFrame:
     """content, at: the strings that more than one content holds, from sorted ``open_tuples``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_group(batches, "key", 2_000):
+        for batch in (part for whole in by_group(batches, "key", GROUP_ROWS) for part in _slices(whole, "key", GROUP_ROWS)):
             content, at = np.asarray(batch.column("content")), np.asarray(batch.column("at"))
             whole = np.flatnonzero(at < 0)
             key, owner, place = (x[at >= 0] for x in (np.asarray(batch.column("key")), content, at))
@@ -273,3 +284,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(remove, ", ".join(f"{n} long" for n in names) + ", kept_sha256 string" + ", kept binary" * with_text)
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """DuckDB: every string of ``length`` bytes (by its hash) against all others; bytes as pairs of hex digits."""
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT row, i, hash(substr(h, 2 * i + 1, {2 * length})) AS k FROM (SELECT row, h, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS i FROM texts)),
+covered AS (SELECT row, i FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)),
+runs AS (SELECT row, min(i) AS s, max(i) + {length} AS e FROM (SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS run FROM
+  (SELECT row, i, (i > coalesce(lag(i) OVER (PARTITION BY row ORDER BY i) + {length}, -1))::INT AS fresh FROM covered)) GROUP BY row, run),
+gaps AS (SELECT row, s, e, coalesce(lag(e) OVER (PARTITION BY row ORDER BY s), 0) AS before FROM runs),
+cuts AS (SELECT row, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM gaps JOIN texts USING (row) GROUP BY row)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM texts LEFT JOIN cuts USING (row)"""
