@@ -289,8 +289,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 def oracle_sql(length: int = LENGTH) -> str:
     """DuckDB: every string of ``length`` bytes (by its hash) against all others; bytes as pairs of hex digits."""
     return f"""
-WITH texts AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
-strings AS (SELECT row, i, hash(substr(h, 2 * i + 1, {2 * length})) AS k FROM (SELECT row, h, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS i FROM texts)),
+WITH texts AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS MATERIALIZED (SELECT row, i, hash(substr(h, 2 * i + 1, {2 * length})) AS k FROM (SELECT row, h, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS i FROM texts)),
 covered AS (SELECT row, i FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)),
 runs AS (SELECT row, min(i) AS s, max(i) + {length} AS e FROM (SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS run FROM
   (SELECT row, i, (i > coalesce(lag(i) OVER (PARTITION BY row ORDER BY i) + {length}, -1))::INT AS fresh FROM covered)) GROUP BY row, run),
