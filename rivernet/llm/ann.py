@@ -4,12 +4,13 @@ Unit vectors are cut into pairs of dimensions, each coded by one of 16 centres.
 Codes and centres minimise a loss that weighs the residual along the vector more
 than the rest, since that part is what large inner products lose.  Queries scan
 the four-bit codes of their nearest leaves through tables of partial products
-and rerank the best by exact cosine.  (Guo et al., "Accelerating Large-Scale
+and rerank by exact cosine until no row left can be among the best.  (Guo et al., "Accelerating Large-Scale
 Inference with Anisotropic Vector Quantization", 2020.)
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,8 @@ from .common import cut
 
 SAMPLE_ROWS, ROWS_A_LEAF, MOST_LEAVES, CENTRES = 10_000, 1_000, 1_024, 16
 PROBED, LEAST_PROBES, LEAST_ROWS = 0.75, 12, 64
-SCORE_AT, RERANKED = 0.2, 96  # inner products from SCORE_AT on count; candidates reranked in each block
+SCORE_AT, RERANKED = 0.2, 96  # inner products from SCORE_AT on count; candidates of each block reranked before any bound is known
+RERANK_CHUNK, SLACK = 1_024, 1e-4  # rows scored at a time; rounding of the tables' single precision
 CANDIDATE_ROWS, QUERY_ROWS = 4_096, 512
 
 
@@ -58,6 +60,13 @@ class Index:
         """What each pair adds to the residual along the vector."""
         return ((p - self.centres[np.arange(p.shape[1]), code]) * p).sum(-1)
 
+    def errors(self, x: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner product of each unit vector with its decoded one, and the length of the decoded one's part across it."""
+        p = self.pairs(x)
+        decoded = self.centres[np.arange(p.shape[1]), code]
+        along = (decoded * p).sum((1, 2))
+        return along, np.sqrt(np.maximum((decoded**2).sum((1, 2)) - along**2, 0))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """[n, bytes, 256]: a query's partial products with the two centres in every packed byte."""
         t = np.einsum("nsd,scd->nsc", self.pairs(q), self.centres)
@@ -110,6 +119,33 @@ def fit(x: np.ndarray, n_leaves: int, rounds: int = 8) -> Index:
     return index
 
 
+def rerank(about: np.ndarray, along: np.ndarray, across: np.ndarray, score: Callable[[np.ndarray], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and exact scores among which are all ``k`` best and their ties.
+
+    A row of cosine s has a coded product of at least along * s - across *
+    sqrt(1 - s**2), which grows with s from 0 on where along isn't negative:
+    rows below it at the k-th best score are left out, all others are scored.
+    """
+    n = min(RERANKED, len(about))
+    left = np.argsort(-about, kind="stable")
+    first = int(np.searchsorted(-about[left], -about[left[n - 1]], side="right")) if n else 0  # the rows tied at the bar too
+    rows, scores, bar = [], [], -1.0
+    while len(left):
+        size = first or RERANK_CHUNK
+        for start in range(0, size, RERANK_CHUNK):
+            part = left[start : min(size, start + RERANK_CHUNK)]
+            rows.append(part)
+            scores.append(score(part))
+        left, first = left[size:], 0
+        best = np.concatenate(scores)
+        if len(best) >= k:
+            bar = np.partition(best, len(best) - k)[len(best) - k]
+        if bar > 0:
+            least = along[left] * bar - across[left] * np.sqrt(max(0.0, 1 - bar * bar))
+            left = left[(along[left] < 0) | (about[left] >= least - SLACK)]
+    return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0), *scores])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
@@ -129,7 +165,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
     The leaves and centres are fitted on at most ``sample_rows`` rows, by a hash
     of vec_id; every row is indexed.  Vectors that are null, zero, or hold null
     or non-finite components, and those of an unusual length, take no part.
-    Large leaves are split into blocks and meet blocks of queries.
+    Large leaves are split into blocks and meet blocks of queries.  Within the
+    probed leaves the neighbours are exact.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors)
@@ -144,10 +181,12 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
         for b in batches:
             if b.num_rows:
                 x = unit(_matrix(b.column("vec")))
-                codes = pa.array([c.tobytes() for c in packed(index.codes(x))], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(index.assign(x).astype(np.int32)), codes], names=["vec_id", "vec", "leaf", "codes"])
+                code = index.codes(x)
+                codes = pa.array([c.tobytes() for c in packed(code)], pa.binary())
+                along, across = index.errors(x, code)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(index.assign(x).astype(np.int32)), codes, pa.array(along), pa.array(across)], names=["vec_id", "vec", "leaf", "codes", "along", "across"])
 
-    coded = cut(rows.mapInArrow(encode, "vec_id long, vec array<double>, leaf int, codes binary"))
+    coded = cut(rows.mapInArrow(encode, "vec_id long, vec array<double>, leaf int, codes binary, along double, across double"))
     size = {r.leaf: r.n for r in coded.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most MOST_LEAVES rows
     sizes = np.array([size.get(i, 0) for i in range(len(index.leaves))])
     probes = min(len(sizes), max(LEAST_PROBES, int(np.ceil(probed * len(sizes)))))
@@ -167,7 +206,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
     blocks = F.broadcast(blocks)  # a row a leaf
     own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = coded.join(blocks, "leaf").select("leaf", own("vec_id", "c_blocks").alias("c"), spread("q_blocks").alias("q"), "vec_id", "vec", "codes")
+    left = coded.join(blocks, "leaf").select("leaf", own("vec_id", "c_blocks").alias("c"), spread("q_blocks").alias("q"), "vec_id", "vec", "codes", "along", "across")
     right = asked.join(blocks, "leaf").select("leaf", spread("c_blocks").alias("c"), own("query_id", "q_blocks").alias("q"), "query_id", "vec")
 
     def scan(cands: pa.Table, queries: pa.Table) -> pa.Table:
@@ -176,16 +215,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
             cands = cands.sort_by("vec_id")
             ids, x = np.asarray(cands.column("vec_id")), _matrix(cands.column("vec").combine_chunks())
             codes = np.frombuffer(b"".join(cands.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            along, across = np.asarray(cands.column("along")), np.asarray(cands.column("across"))
             norm = np.sqrt((x * x).sum(axis=1))
             qs = _matrix(queries.column("vec").combine_chunks())
             for q_id, q, table in zip(queries.column("query_id").to_pylist(), qs, index.tables(unit(qs)), strict=True):
                 about = sum(table[s][codes[:, s]] for s in range(codes.shape[1]))
-                about[ids == q_id] = -np.inf
-                n = min(RERANKED, len(about))
-                bar = -np.partition(-about, n - 1)[n - 1]
-                best = np.concatenate((np.flatnonzero(about > bar), np.flatnonzero(about == bar)))[:n]
-                best = best[ids[best] != q_id]
-                score = x[best] @ q / (norm[best] * np.sqrt(q @ q))
+                other, size = np.flatnonzero(ids != q_id), np.sqrt(q @ q)
+                exact = lambda part: x[other[part]] @ q / (norm[other[part]] * size)  # noqa: B023, E731
+                best, score = rerank(about[other], along[other], across[other], exact, k)
+                best = other[best]
                 top = np.lexsort((ids[best], -score))[:k]
                 out[0].extend([q_id] * len(top))
                 out[1].extend(ids[best][top])

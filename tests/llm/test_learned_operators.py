@@ -235,3 +235,16 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
     same = spark.createDataFrame([(i, [1.0, 2.0], 0, "") for i in range(300)], schema)
     assert [r.vec_id for r in ann.nearest(same).filter("query_id = 0").orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_near_copies_that_share_their_codes(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    x = np.concatenate((base + 1e-4 * rng.normal(size=(1_000, 16)), rng.normal(size=(2_000, 16))))
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    want, got = brute_nearest(ids, x), defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = sum(len(set(got[q]) & {v for v, _ in w}) for q, w in want.items())
+    assert hits >= 0.99 * sum(map(len, want.values()))
