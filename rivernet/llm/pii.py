@@ -4,7 +4,8 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers.  A value
 found in several documents is a protected entity; a term of those documents
 discloses it as far as its pointwise mutual information with the entity, over
 all documents, comes near the entity's own information.  Terms over the lower
-threshold are generalised, over the upper one removed.
+threshold are generalised, over the upper one removed, in every document that
+holds them: without the entity, too, they give it away.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import cut, text_of, words_of
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 GENERALISED, REMOVED = 4, 5
 GENERALISE_AT, REMOVE_AT, LEAST_TOGETHER = 0.7, 0.9, 3
+BROADCAST_ROWS, SALTS = 500_000, 32
 # Possessive forms of the patterns; a look-behind keeps each run from being tried again at every character.
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = (
@@ -107,15 +109,29 @@ def disclosing_terms(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at
     return scored.filter(F.col("disclosure") >= generalise_at).select("term", "entity", "disclosure"), holding
 
 
+def telling_words(rows: DataFrame, levels: DataFrame, few: bool) -> DataFrame:
+    """mark, n, word, level: the words of each text that are in ``levels(term, level)``, once each.
+
+    ``few`` levels are broadcast; many are met by salted keys, as a term may be in a great part of the texts.
+    """
+    words = rows.select("mark", "n", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word")).withColumn("term", F.xxhash64("word"))
+    if few:
+        hit = words.join(F.broadcast(levels), "term")
+    else:
+        salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = words.distinct().withColumn("salt", F.pmod(F.col("mark"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    return hit.select("mark", "n", "word", "level").distinct()
+
+
 def term_spans(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """mark, n, terms: the spans of disclosing terms in each text that holds their entity."""
-    telling, holding = disclosing_terms(rows, least, generalise_at)
-    words = holding.select("entity", "mark", "n", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word")).distinct()
+    """mark, n, terms: the spans of disclosing terms in each text that holds any, with their entity or without."""
+    telling, _ = disclosing_terms(rows, least, generalise_at)
     level = F.when(F.col("disclosure") >= remove_at, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
-    hit = words.withColumn("term", F.xxhash64("word")).join(telling, ["term", "entity"]).groupBy("mark", "n", "word").agg(F.max(level).alias("level"))
+    levels = cut(telling.groupBy("term").agg(F.max(level).alias("level")))
+    hit = telling_words(rows, levels, levels.count() <= BROADCAST_ROWS)
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("word"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     by_level = hit.groupBy("mark", "n").pivot("level", [GENERALISED, REMOVED]).agg(F.array_join(F.array_sort(F.collect_list(quoted)), "|"))
-    texts = holding.dropDuplicates(["mark", "n"]).select("mark", "n", "text").join(by_level, ["mark", "n"])
+    texts = rows.select("mark", "n", "text").dropDuplicates(["mark", "n"]).join(by_level, ["mark", "n"])
     whole = lambda c: F.concat(F.lit("(?iu)(?<![^\\x20\\x09-\\x0D])(?:"), F.col(c), F.lit(")(?![^\\x20\\x09-\\x0D])"))
     none = F.array().cast(FOUND)
     found = [F.when(F.col(f"{k}").isNotNull(), matches(F.col("text"), whole(f"{k}"), k)).otherwise(none) for k in (GENERALISED, REMOVED)]

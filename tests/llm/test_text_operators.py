@@ -116,6 +116,20 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.find_personal_data(docs_of(spark, [])).count() == 0 and pii.sanitise(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_terms_in_documents_without_the_entity(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
+    rows = [(i, "falcon osprey bob@x.example today", "en", "a", 0, "x") for i in range(10)]
+    rows += [(10, "a Falcon flew today", "en", "a", 0, "x"), (11, "a Falcon flew today", "en", "a", 0, "x")]
+    rows += [(20 + i, f"today of number {i}", "en", "a", 0, "x") for i in range(90)]
+    docs = docs_of(spark, rows)
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    # falcon: ln(10 * 102 / (12 * 10)) / ln(102 / 10) = 0.92; osprey: 1
+    assert found[10] == found[11] == "term:2:8" and found[0] == "term:0:6,term:7:13,email:14:27" and found[20] == ""
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert out[10] == out[11] == "a  flew today" and out[20] == "today of number 0" and len(out) == len(rows)
+
+
 def test_urls(spark):
     rows = [
         (1, "https://a.example.net/en/x?q=1"), (2, "http://EXAMPLE.NET/EN/x"), (3, "http://x.org/fr/a"), (4, "ftp://h.com/free-poker/now"), (5, "http://h.com/freepoker"), (6, "http://h.com/a-casino-b"),
