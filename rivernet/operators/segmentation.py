@@ -1,7 +1,7 @@
 """Cutting a network into clusters that are routed one after the other.
 
-Trees are folded each in a task of its own (``applyInPandas`` by outlet); a
-drainage basin bounds a tree.  Packing works on one row a piece on the driver,
+Trees are folded by parts of fewer than ``PART_REACHES`` reaches, band by band
+downstream; the states at the parts' ends are handed on.  Packing works on one row a piece on the driver,
 as pieces are made large enough for there to be few.
 """
 
@@ -15,9 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from .closure import closure, levels, outlets
+from .closure import closure, levels, outlets, upstream_counts
 
 MOST_PIECES = 1_000_000
+PART_REACHES = 10_000
 
 
 def tree_order(reaches: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -26,32 +27,70 @@ def tree_order(reaches: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return reaches.select("reach_id", "downstream_id").join(levels(pairs), "reach_id").join(outlets(pairs), "reach_id")
 
 
-def _fold(tree: pd.DataFrame, limit: int) -> list[int]:
-    """Breakpoints of one tree.  A reach carries [paths, their length, length of all paths so far]."""
+def tree_parts(reaches: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """reach_id, downstream_id, level, band, part: connected parts of fewer than ``size`` reaches, or of one.
+
+    A band is the upstream count over ``size``.  Above band 0 no two branches
+    of one band can meet within it, so its parts are chains.
+    """
+    bands = cut(upstream_counts(pairs).select("reach_id", F.expr(f"cast(n_upstream div {size} as long)").alias("band")))
+    same = pairs.join(bands.select(F.col("reach_id").alias("src"), "band"), "src").join(bands.select(F.col("reach_id").alias("dst"), F.col("band").alias("to")), "dst").filter("band = to")
+    part = same.groupBy(F.col("src").alias("reach_id"), "band").agg(F.max_by("dst", "dist").alias("part"))
+    return reaches.select("reach_id", "downstream_id").join(levels(pairs), "reach_id").join(part, "reach_id")
+
+
+def _fold(tree: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """reach_id, downstream_id, level, paths, lengths, total, cut of one part's reaches, after those that flow in.
+
+    A reach carries [paths, their length, length of all paths so far].  Rows
+    with paths are reaches above the part and keep their state.
+    """
+    tree = tree.sort_values(["level", "reach_id"])
+    known = tree.paths.notna()
     state = {r: [1, 1, 0] for r in tree.reach_id}
-    cuts = []
+    for r in tree[known].itertuples():
+        state[r.reach_id] = [int(r.paths), int(r.lengths), int(r.total)]
+    cuts = set()
     for u, v in zip(tree.reach_id, tree.downstream_id, strict=True):
-        if pd.isna(v):
+        if pd.isna(v) or int(v) not in state:
             continue
         up, down = state[u], state[int(v)]
         if down[2] + up[2] + up[1] > limit:
-            cuts.append(u)
-            up[2] += up[1]
+            cuts.add(u)
             down[:] = [1, 1, 0]
         else:
             down[2] += up[2] + up[1]
             down[0] += up[0]
             down[1] += up[1] + up[0]
-    return cuts
+    own = [[r, *state[r], r in cuts] for r in tree.reach_id]
+    out = pd.DataFrame(own, columns=["reach_id", "paths", "lengths", "total", "cut"])
+    return out.astype({c: "int64" for c in ("reach_id", "paths", "lengths", "total")} | {"cut": "bool"})
 
 
 def breakpoints(reaches: DataFrame, path_limit: int, pairs: DataFrame | None = None) -> DataFrame:
     """reach_id of every reach whose outflow is cut, so that no piece's paths grow longer in all than ``path_limit``."""
+    pairs = closure(reaches) if pairs is None else pairs
+    parts = cut(tree_parts(reaches, pairs, PART_REACHES))
+    down = parts.select(F.col("reach_id").alias("downstream_id"), F.col("part").alias("to"), F.col("band").alias("to_band"))
+    edges = cut(parts.join(down, "downstream_id").filter("part <> to").select("reach_id", "downstream_id", "level", "to", "to_band"))
+    state = "paths long, lengths long, total long"
+    none = [F.lit(None).cast("long").alias(c) for c in ("paths", "lengths", "total")]
 
     def fold(tree: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"reach_id": _fold(tree.sort_values(["level", "reach_id"]), path_limit)}, dtype="int64")
-
-    return tree_order(reaches, pairs).groupBy("outlet").applyInPandas(fold, "reach_id long")
+        return _fold(tree, path_limit)
+
+    done = None
+    for (band,) in parts.select("band").distinct().orderBy("band").collect():  # at most the largest tree over PART_REACHES
+        rows = parts.filter(F.col("band") == band).select("part", "reach_id", "downstream_id", "level", *none)
+        if done is not None:
+            above = done.select("reach_id", "paths", "lengths", "total").join(edges.filter(F.col("to_band") == band), "reach_id")
+            rows = rows.unionByName(above.select(F.col("to").alias("part"), "reach_id", "downstream_id", "level", "paths", "lengths", "total"))
+        # A reach that flows in comes once more: with its cut, if its outflow is cut.
+        new = cut(rows.groupBy("part").applyInPandas(fold, f"reach_id long, {state}, cut boolean"))
+        done = new if done is None else done.unionByName(new)
+    if done is None:
+        return reaches.select(F.col("reach_id").cast("long")).limit(0)
+    return done.filter("cut").select("reach_id")
 
 
 def block_breakpoints(reaches: DataFrame, size: int, pairs: DataFrame | None = None) -> DataFrame:

@@ -223,6 +223,17 @@ def test_schedule(spark):
     assert sorted(r.reach_id for r in C.breakpoints(chain, 10).collect()) == [4, 8, 12, 16]
 
 
+def test_breakpoints_of_a_tree_in_parts(spark, monkeypatch):
+    reaches = spark.createDataFrame([(i, i // 2 if i > 1 else None) for i in range(1, 128)] + [(i, i + 1 if i < 160 else 40) for i in range(130, 161)], "reach_id long, downstream_id long")
+    want = sorted(r.reach_id for r in C.breakpoints(reaches, 30).collect())
+    monkeypatch.setattr(C, "PART_REACHES", 10)
+    got = sorted(r.reach_id for r in C.breakpoints(reaches, 30).collect())
+    assert got == want and len(want) > 3
+    parts = C.tree_parts(reaches, C.closure(reaches), 10)
+    assert parts.count() == 158 and parts.groupBy("part").count().agg({"count": "max"}).first()[0] <= 10
+    assert parts.select("band").distinct().count() > 2
+
+
 def test_packing_of_pieces():
     out = C.pack_pieces({1: 5, 2: 4, 3: 3, 4: 9, 5: 1, 6: 2}, {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}, {1, 2, 3, 4}, 9)
     assert out[1] == out[2] == 0 and out[4] == 1 and out[3] == 2 and out[6] == 2 and out[5] == 2
