@@ -1,13 +1,14 @@
 """Removal of long byte strings that occur more than once.
 
-Sampled induced sorting.  As in induced suffix sorting, only a locally chosen
-sample of the suffixes is sorted: those whose first ``PREFIX`` bytes hash lowest
-in some string of ``LENGTH`` bytes, about one in a hundred.  Sample tuples go
-through Spark's external sort, which names equal prefixes; names that occur once
-drop out.  A second round names the longer strings that a sample stands for; what
-both rounds leave open is sorted window by window.  Which strings of ``LENGTH``
-bytes repeat is then induced from the samples, for a common prefix of LENGTH or
-more.  No task holds a shard: sorting streams, and spills to disk.
+This is not external induced sorting of all suffixes, whose tuples alone exceed
+the disk allowed (README); it keeps that method's outline on a sample.  Of the
+suffixes only those are taken whose first ``PREFIX`` bytes hash lowest in some
+string of ``STRETCH`` or of ``LENGTH`` bytes.  Their tuples are dealt and sorted
+by the hash of that prefix, their name; names that occur once drop out.  A
+second round names the strings that a sample stands for; what both rounds leave
+open is compared within its name.  Two strings count as equal if their names and
+their own hashes, 128 bits in all, are.  No task holds a shard: sorting streams,
+and spills to disk.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from .common import cut, text_of
 from .near_dedup import by_group
 from .shingles import _BASE, _BASE_INV, _BYTE, mixed, powers
 
-LENGTH, PREFIX = 400, 200
+LENGTH, STRETCH, PREFIX = 400, 290, 160  # STRETCH: bytes of about 50 words
 SEGMENT, PLACE_BITS = 1 << 19, 22
-BROADCAST_ROWS, FEW_CONTENTS, GROUP_ROWS = 500_000, 2_000, 1_000
+BROADCAST_ROWS, FEW_CONTENTS, GROUP_ROWS, SALTS = 500_000, 2_000, 1_000, 16
 SHARE, HEAVY_AT, HEAVY = 1 / 64, 8, 10_000  # where to look for names that many rows hold; decides the dealing only
 
 
@@ -52,29 +53,46 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def sample(data: bytes, bounds: np.ndarray, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
-    """(first, last, place, name, content) of the samples of texts that lie end to end in ``data``.
+def sample(data: bytes, bounds: np.ndarray, length: int = LENGTH, prefix: int = PREFIX, stretch: int = STRETCH) -> tuple[np.ndarray, ...]:
+    """(place, first, last, name, content, context) of the samples of texts that lie end to end in ``data``.
 
     A sample at ``place`` stands for the strings of ``length`` bytes that start
     at first..last: its prefix hashes lowest in each of them.  ``name`` is the
-    prefix's hash, ``content`` that of all those strings and the place in them.
+    prefix's hash, ``content`` that of all those strings and the place in them,
+    ``context`` that of all strings of ``stretch`` bytes that hold the prefix.
+    A sample that is lowest in such strings only stands for none: it has last
+    one before first.
     """
-    if len(data) < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
+    if len(data) < stretch:
+        return none
     sums = _prefix_sums(np.frombuffer(data, np.uint8))
     names = _hashes(sums, slice(0, len(data) - prefix + 1), slice(prefix, len(data) + 1))
     low = np.uint64((1 << PLACE_BITS) - 1)
-    owner = (sliding_min((names & ~low) | np.arange(len(names), dtype=np.uint64), length - prefix + 1) & low).astype(np.int64)
-    text = np.searchsorted(bounds, np.arange(len(owner)), "right")
-    inside = np.arange(len(owner)) + length <= np.append(bounds, len(data))[text]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-    own, of = owner[at], text[at]
-    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (of[1:] != of[:-1]))))
-    first, last, place = at[new], at[np.append(new[1:], len(at)) - 1], own[new]
+    ranked = (names & ~low) | np.arange(len(names), dtype=np.uint64)
+    starts, ends = np.concatenate(([0], bounds)).astype(np.int64), np.append(bounds, len(data)).astype(np.int64)
+
+    def owners(size: int) -> tuple[np.ndarray, ...]:
+        """Starts of the strings of ``size`` bytes, the place of the lowest prefix in each, and their texts."""
+        if len(data) < size:
+            return (np.empty(0, np.int64),) * 3
+        owner = (sliding_min(ranked, size - prefix + 1) & low).astype(np.int64)
+        text = np.searchsorted(bounds, np.arange(len(owner)), "right")
+        at = np.flatnonzero(np.arange(len(owner)) + size <= ends[text])
+        return at, owner[at], text[at]
+
+    at, own, of = owners(length)
+    new = np.flatnonzero(np.concatenate((np.ones(1, bool), (own[1:] != own[:-1]) | (of[1:] != of[:-1])))) if len(at) else np.empty(0, np.int64)
+    first, last, place = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at, own[new]
+    short = owners(stretch)
+    rest = short[1][~np.isin(short[1], place)]
+    rest = np.unique(rest)
     content = mixed(_hashes(sums, first, last + length) + mixed((place - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
-    return first, last, place, names[place], content
+    place = np.concatenate((place, rest))
+    text = np.searchsorted(bounds, place, "right")
+    left, right = np.maximum(place - stretch + prefix, starts[text]), np.minimum(place + stretch, ends[text])
+    context = mixed(_hashes(sums, left, right) + mixed((place - left).astype(np.uint64) * np.uint64(1 << 20) + (right - left).astype(np.uint64)))
+    return place, np.concatenate((first, rest)), np.concatenate((last, rest - 1)), names[place], np.concatenate((content, np.zeros(len(rest), np.uint64))), context
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
@@ -99,21 +117,23 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
 
 
 def sample_tuples(texts: DataFrame) -> DataFrame:
-    """mark, n_bytes, first, last, place, name, content of every sample of ``texts(mark, n_bytes, text)``."""
+    """mark, n_bytes, place, back, more, name, content, context of every sample of ``texts(mark, n_bytes, text)``.
+
+    A sample's strings of LENGTH bytes start at place - back and the ``more`` places behind.
+    """
 
     def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mark, n_bytes = (np.asarray(batch.column(c)) for c in ("mark", "n_bytes"))
             for rows, offsets, parts in _texts(batch.column("text")):
                 ends = np.cumsum([len(p) for p in parts])
-                first, last, place, name, content = sample(b"".join(parts), ends[:-1])
-                of = np.searchsorted(ends, first, "right")
+                place, first, last, *hashes = sample(b"".join(parts), ends[:-1])
+                of = np.searchsorted(ends, place, "right")
                 shift = (offsets - np.concatenate(([0], ends[:-1])))[of]
-                row = rows[of]
-                columns = [mark[row], n_bytes[row], first + shift, (last - first).astype(np.int16), (place - first).astype(np.int16), name.view(np.int64), content.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mark", "n_bytes", "first", "more", "place", "name", "content"])
+                columns = [mark[rows[of]], n_bytes[rows[of]], place + shift, (place - first).astype(np.int16), (last - first).astype(np.int16), *(h.view(np.int64) for h in hashes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mark", "n_bytes", "place", "back", "more", "name", "content", "context"])
 
-    return texts.select("mark", "n_bytes", "text").mapInArrow(tuples, "mark long, n_bytes long, first long, more short, place short, name long, content long")
+    return texts.select("mark", "n_bytes", "text").mapInArrow(tuples, "mark long, n_bytes long, place long, back short, more short, name long, content long, context long")
 
 
 def heavy_names(samples_of_some: DataFrame) -> np.ndarray:
@@ -129,7 +149,7 @@ def repeated_samples(samples: DataFrame, heavy: np.ndarray) -> DataFrame:
     come through as they are.
     """
     known = F.broadcast(samples.sparkSession.createDataFrame([(int(x),) for x in heavy], "heavy long"))
-    salted = samples.join(known, F.col("name") == F.col("heavy"), "left").withColumn("deal", F.when(F.col("heavy").isNull(), F.col("name")).otherwise(F.xxhash64("mark", "first"))).withColumn("sure", F.col("heavy").isNotNull()).drop("heavy")
+    salted = samples.join(known, F.col("name") == F.col("heavy"), "left").withColumn("deal", F.when(F.col("heavy").isNull(), F.col("name")).otherwise(F.xxhash64("mark", "place"))).withColumn("sure", F.col("heavy").isNotNull()).drop("heavy")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, open_ = None, None, False  # the last row, if it may yet turn out to repeat
@@ -148,41 +168,47 @@ def repeated_samples(samples: DataFrame, heavy: np.ndarray) -> DataFrame:
     return salted.repartition("deal").sortWithinPartitions("name").mapInArrow(runs, samples.schema)
 
 
-def open_tuples(texts: DataFrame, opened: DataFrame) -> DataFrame:
-    """key, content, at, data of the strings that open samples stand for.
+def open_tuples(texts: DataFrame, opened: DataFrame, length: int, whole: bool) -> DataFrame:
+    """The strings of ``length`` bytes in ``opened(mark, n_bytes, start, end, name, content)``.
 
-    A sample of a name with few contents comes as one row: its name, -1 and its
-    bytes.  Of a name with many, each string of LENGTH bytes comes by its hash.
+    ``whole``: name, content, data, one row each.  Otherwise name, content, at,
+    key: one row for each string, by its hash.
     """
-    by_text = opened.groupBy("mark", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("first", "more", "content", "name", "many"))).alias("open"))
+    by_text = opened.groupBy("mark", "n_bytes").agg(F.collect_list(F.struct("start", "end", "content", "name")).alias("open"))
     few = by_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marks = by_text.select(F.col("mark").alias("m"), F.col("n_bytes").alias("n"))
     some = texts.join(F.broadcast(marks) if few else marks, (F.col("mark") == F.col("m")) & (F.col("n_bytes") == F.col("n")), "left_semi")
     rows = some.dropDuplicates(["mark", "n_bytes"]).join(by_text, ["mark", "n_bytes"]).select("text", "open")
-    names = ["key", "content", "at", "data"]
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: list[tuple] = []
-        size = 0
-        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], names=names)
         for batch in batches:
+            held: list[tuple] = []
+            size = 0
             for value, samples in zip(batch.column("text"), batch.column("open"), strict=True):
                 data = value.as_buffer()
                 for s in samples.as_py():
-                    part = data[s["first"] : s["first"] + s["more"] + LENGTH]
-                    if s["many"]:
-                        h = _hashes(_prefix_sums(np.frombuffer(part, np.uint8)), slice(0, s["more"] + 1), slice(LENGTH, LENGTH + s["more"] + 1))
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), s["content"])), pa.array(np.arange(len(h), dtype=np.int16)), pa.nulls(len(h), pa.binary())], names=names)
+                    part = data[s["start"] : s["end"]]
+                    if whole:
+                        held.append((s["name"], s["content"], part.to_pybytes()))
                     else:
-                        whole.append((s["name"], s["content"], -1, part.to_pybytes()))
-                        size += len(part)
-                        if size >= SEGMENT:
-                            yield as_batch(whole)
-                            whole, size = [], 0
-        if whole:
-            yield as_batch(whole)
+                        n = len(part) - length + 1
+                        h = _hashes(_prefix_sums(np.frombuffer(part, np.uint8)), slice(0, n), slice(length, length + n)).view(np.int64)
+                        held.append((np.full(n, s["name"]), np.full(n, s["content"]), np.arange(n, dtype=np.int16), h))
+                    size += len(part)
+                    if size >= SEGMENT:
+                        yield _open_batch(held, whole)
+                        held, size = [], 0
+            if held:
+                yield _open_batch(held, whole)
+
+    return rows.mapInArrow(strings, "name long, content long, data binary" if whole else "name long, content long, at short, key long")
 
-    return rows.mapInArrow(strings, "key long, content long, at short, data binary")
+
+def _open_batch(rows: list[tuple], whole: bool) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    if whole:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["name", "content", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["name", "content", "at", "key"])
 
 
 def _slices(batch: pa.RecordBatch, key: str, rows: int) -> Iterator[pa.RecordBatch]:
@@ -196,51 +222,76 @@ def _slices(batch: pa.RecordBatch, key: str, rows: int) -> Iterator[pa.RecordBat
         start = end
 
 
-def repeated_strings(tuples: DataFrame) -> DataFrame:
-    """content, at: the strings that more than one content holds, from sorted ``open_tuples``."""
+def repeated_in_names(tuples: DataFrame, length: int) -> DataFrame:
+    """name, content, at: the strings that more than one content of a name holds, each name (of few contents) in one task."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in by_group(batches, "key", GROUP_ROWS) for part in _slices(whole, "key", GROUP_ROWS)):
-            content, at = np.asarray(batch.column("content")), np.asarray(batch.column("at"))
-            whole = np.flatnonzero(at < 0)
-            key, owner, place = (x[at >= 0] for x in (np.asarray(batch.column("key")), content, at))
-            if len(whole):
-                parts = batch.column("data").take(pa.array(whole)).to_pylist()
-                length = np.fromiter(map(len, parts), np.int64, len(parts))
-                n = length - LENGTH + 1
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(np.cumsum(length) - length, n) + inside
-                h = _hashes(_prefix_sums(np.frombuffer(b"".join(parts), np.uint8)), start, start + LENGTH)
-                key, owner, place = np.concatenate((key, h.view(np.int64))), np.concatenate((owner, np.repeat(content[whole], n))), np.concatenate((place, inside.astype(np.int16)))
-            order = np.lexsort((owner, key))
-            key, owner, place = key[order], owner[order], place[order]
-            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for batch in (part for whole in by_group(batches, "name", GROUP_ROWS) for part in _slices(whole, "name", GROUP_ROWS)):
+            name, content, parts = np.asarray(batch.column("name")), np.asarray(batch.column("content")), batch.column("data").to_pylist()
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            n = size - length + 1
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(np.cumsum(size) - size, n) + inside
+            key = _hashes(_prefix_sums(np.frombuffer(b"".join(parts), np.uint8)), start, start + length)
+            group, owner, place = np.repeat(name, n), np.repeat(content, n), inside.astype(np.int16)
+            order = np.lexsort((owner, key, group))
+            group, key, owner, place = group[order], key[order], owner[order], place[order]
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1]))))
             end = np.append(new[1:], len(key))
             keep = np.repeat(owner[new] != owner[end - 1], end - new)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(place[keep])], names=["content", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(group[keep]), pa.array(owner[keep]), pa.array(place[keep])], names=["name", "content", "at"])
 
-    return tuples.repartition("key").sortWithinPartitions("key").mapInArrow(found, "content long, at short")
+    return tuples.repartition("name").sortWithinPartitions("name").mapInArrow(found, "name long, content long, at short")
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """mark, n_bytes, ranges: bytes [start, end) of each text that lie in repeated strings; overlapping, unordered."""
-    texts = marked(docs)
-    heavy = heavy_names(sample_tuples(marked(docs.sample(SHARE, 1))))
-    samples = cut(repeated_samples(sample_tuples(texts), heavy))
-    contents = samples.groupBy("name", "content").agg(F.count("*").alias("n"), F.min(F.struct("mark", "n_bytes", "first", "more")).alias("one"))
-    contents = cut(contents)
-    names = contents.groupBy("name").agg(F.count("*").alias("contents")).filter("contents > 1").select("name", (F.col("contents") > FEW_CONTENTS).alias("many"))
-    opened = contents.join(names, "name").select("content", "name", "many", "one.*")
-    found = repeated_strings(open_tuples(texts, opened)).distinct()
-    once = contents.filter("n = 1").select("content")
-    runs = found.join(once, "content").groupBy("content").agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("at"))
+def repeated_by_key(tuples: DataFrame) -> DataFrame:
+    """The same of names with many contents: aggregated before the shuffle, then met by salted keys."""
+    keys = tuples.groupBy("name", "key").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("name", "key")
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return tuples.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int")).join(salted, ["name", "key", "salt"]).select("name", "content", "at")
+
+
+def held_twice(texts: DataFrame, opened: DataFrame, names: DataFrame, length: int) -> DataFrame:
+    """name, content, at of the strings of ``opened`` that several contents of one of ``names(name, contents)`` hold."""
+    known = opened.join(names.select("name", (F.col("contents") > FEW_CONTENTS).alias("many")), "name")
+    found = repeated_in_names(open_tuples(texts, known.filter("NOT many"), length, True), length)
+    if not names.filter(F.col("contents") > FEW_CONTENTS).isEmpty():
+        found = found.unionByName(repeated_by_key(cut(open_tuples(texts, known.filter("many"), length, False))))
+    return found.distinct()
+
+
+def repeated_ranges(texts: DataFrame, samples: DataFrame) -> DataFrame:
+    """mark, n_bytes, range: bytes [start, end) of each text that lie in repeated strings; overlapping, unordered."""
+    id_ = ["name", "content"]
+    samples = samples.filter("more >= 0").withColumn("start", F.col("place") - F.col("back"))
+    contents = cut(samples.groupBy(*id_).agg(F.count("*").alias("n"), F.min(F.struct("mark", "n_bytes", "start", (F.col("start") + F.col("more") + LENGTH).alias("end"))).alias("one")))
+    names = cut(contents.groupBy("name").agg(F.count("*").alias("contents")).filter("contents > 1"))
+    found = held_twice(texts, contents.select(*id_, "one.*"), names, LENGTH)
+    once = contents.filter("n = 1").select(*id_)
+    runs = found.join(once, id_).groupBy(*id_).agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
     ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
-    partly = runs.select("content", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("run")).select("content", "run.s", "run.e")
-    wholly = contents.filter("n > 1").select("content", F.lit(0).alias("s"), F.lit(None).cast("int").alias("e"))
-    covered = samples.select("mark", "n_bytes", "first", "more", "content").join(partly.unionByName(wholly), "content")
-    span = covered.select("mark", "n_bytes", (F.col("first") + F.col("s")).alias("start"), (F.col("first") + F.coalesce("e", "more") + LENGTH).alias("end")).distinct()
-    return span.groupBy("mark", "n_bytes").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    partly = runs.select(*id_, F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("run")).select(*id_, "run.s", "run.e")
+    wholly = contents.filter("n > 1").select(*id_, F.lit(0).alias("s"), F.lit(None).cast("int").alias("e"))
+    covered = samples.select("mark", "n_bytes", "start", "more", *id_).join(partly.unionByName(wholly), id_)
+    return covered.select("mark", "n_bytes", F.struct((F.col("start") + F.col("s")).alias("start"), (F.col("start") + F.coalesce("e", "more") + LENGTH).alias("end")).alias("range")).distinct()
+
+
+def sharing_texts(texts: DataFrame, samples: DataFrame) -> DataFrame:
+    """mark, n_bytes of the texts that hold STRETCH bytes which another text holds too.
+
+    Most show by an equal context; only what those don't settle is compared.
+    """
+    of = ["mark", "n_bytes"]
+    contexts = cut(samples.groupBy("name", "context").agg(F.min(F.struct(*of, "place")).alias("one"), F.max(F.struct(*of)).alias("last")).withColumn("equal", F.struct("one.mark", "one.n_bytes") != F.col("last")))
+    names = contexts.groupBy("name").agg(F.count("*").alias("contents"), F.min(F.struct("one.mark", "one.n_bytes")).alias("low"), F.max("last").alias("high")).filter("contents > 1 AND low <> high")
+    seen = cut(samples.join(contexts.filter("equal").select("name", "context"), ["name", "context"]).select(*of).distinct())
+    left = contexts.filter("NOT equal").select("name", "one.mark", "one.n_bytes").join(seen, of, "left_anti").select("name").distinct()
+    names = cut(names.join(left, "name", "left_semi").select("name", "contents"))
+    start = F.greatest(F.col("one.place") - (STRETCH - PREFIX), F.lit(0))
+    opened = contexts.select("name", F.xxhash64("one.mark", "one.n_bytes").alias("content"), "one.mark", "one.n_bytes", start.alias("start"), (F.col("one.place") + STRETCH).alias("end"))
+    found = held_twice(texts, opened, names, STRETCH).select("name", "content").distinct()
+    return opened.select("name", "content", *of).join(found, ["name", "content"]).select(*of).unionByName(seen).distinct()
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -260,42 +311,55 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) of every row.
-
-    Null texts count as empty; texts shorter than LENGTH bytes stay whole.
-    Repeated rows are occurrences of their own, so of a text of LENGTH bytes or
-    more nothing stays.  Long texts are read in overlapping pieces.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, shared (and kept, the bytes left) of every row.
+
+    shared: the text holds STRETCH bytes (a passage of about 50 words) which
+    another text, equal ones apart, holds too, removed or not.  Null texts
+    count as empty; texts shorter than LENGTH bytes stay whole.  Repeated rows
+    are occurrences of their own, so of a text of LENGTH bytes or more nothing
+    stays; a null or repeated doc_id is carried as it is.  Long texts are read
+    in overlapping pieces.  An empty table gives an empty result; further
+    columns are ignored.
     """
-    ranges = repeated_ranges(docs).select(F.col("mark").alias("m"), F.col("n_bytes").alias("n"), "ranges")
-    rows = marked(docs).join(ranges, (F.col("mark") == F.col("m")) & (F.col("n_bytes") == F.col("n")), "left").select("doc_id", "text", "ranges")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans"]
-    schema = pa.schema([(n, pa.int64()) for n in names] + [("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
+    texts = marked(docs)
+    heavy = heavy_names(sample_tuples(marked(docs.sample(SHARE, 1))))
+    samples = cut(repeated_samples(sample_tuples(texts), heavy))
+    ranges = repeated_ranges(texts, samples).withColumn("shared", F.lit(False))
+    shared = sharing_texts(texts, samples).select("mark", "n_bytes", F.lit(None).cast("struct<start:bigint,end:bigint>").alias("range"), F.lit(True).alias("shared"))
+    by_text = ranges.unionByName(shared).groupBy("mark", "n_bytes").agg(F.collect_list("range").alias("ranges"), F.bool_or("shared").alias("shared"))
+    by_text = by_text.withColumnsRenamed({"mark": "m", "n_bytes": "n"})
+    rows = texts.join(by_text, (F.col("mark") == F.col("m")) & (F.col("n_bytes") == F.col("n")), "left").select("doc_id", "text", "ranges", F.coalesce("shared", F.lit(False)).alias("shared"))
+    numbers = ["doc_id", "n_bytes", "n_removed", "n_spans"]
+    schema = pa.schema([*((n, pa.int64()) for n in numbers), ("kept_sha256", pa.string()), ("shared", pa.bool_())] + [("kept", pa.binary())] * with_text)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ranges"), strict=True):
+            for doc_id, text, ranges, shared in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ranges"), batch.column("shared").to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
                 spans = merged(ranges.as_py()) if ranges.is_valid else []
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)) if spans else data
-                out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) + (kept,) * with_text)
+                out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), shared) + (kept,) * with_text)
             columns = list(zip(*out, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(remove, ", ".join(f"{n} long" for n in names) + ", kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(remove, ", ".join(f"{n} long" for n in numbers) + ", kept_sha256 string, shared boolean" + ", kept binary" * with_text)
 
 
-def oracle_sql(length: int = LENGTH) -> str:
-    """DuckDB: every string of ``length`` bytes (by its hash) against all others; bytes as pairs of hex digits."""
+def oracle_sql(length: int = LENGTH, stretch: int = STRETCH) -> str:
+    """DuckDB: every string of ``length`` bytes (by its hash) against all others, and of ``stretch`` bytes against other texts'; bytes as pairs of hex digits."""
+    strings = lambda n: f"SELECT row, t, i, hash(substr(h, 2 * i + 1, {2 * n})) AS k FROM (SELECT row, t, h, unnest(range(0, greatest(length(h) // 2 - {n - 1}, 0))) AS i FROM texts)"
     return f"""
-WITH texts AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
-strings AS MATERIALIZED (SELECT row, i, hash(substr(h, 2 * i + 1, {2 * length})) AS k FROM (SELECT row, h, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS i FROM texts)),
+WITH texts AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h, hash(coalesce(text, '')) AS t FROM documents),
+strings AS MATERIALIZED ({strings(length)}),
+stretches AS MATERIALIZED ({strings(stretch)}),
+sharing AS (SELECT DISTINCT row, true AS shared FROM stretches WHERE k IN (SELECT k FROM stretches GROUP BY k HAVING min(t) <> max(t))),
 covered AS (SELECT row, i FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)),
 runs AS (SELECT row, min(i) AS s, max(i) + {length} AS e FROM (SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS run FROM
   (SELECT row, i, (i > coalesce(lag(i) OVER (PARTITION BY row ORDER BY i) + {length}, -1))::INT AS fresh FROM covered)) GROUP BY row, run),
 gaps AS (SELECT row, s, e, coalesce(lag(e) OVER (PARTITION BY row ORDER BY s), 0) AS before FROM runs),
 cuts AS (SELECT row, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
   FROM gaps JOIN texts USING (row) GROUP BY row)
-SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM texts LEFT JOIN cuts USING (row)"""
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(shared, false) AS shared
+FROM texts LEFT JOIN cuts USING (row) LEFT JOIN sharing USING (row)"""

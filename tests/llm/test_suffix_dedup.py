@@ -10,8 +10,9 @@ from rivernet.llm import suffix_dedup
 SF = "/root/testdata/sf0.001"
 
 
-def brute(texts, length):
+def brute(texts, length, stretch=suffix_dedup.STRETCH):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    holders = Counter(s for t in set(texts) for s in {t[i : i + stretch] for i in range(len(t) - stretch + 1)})
     out = []
     for t in texts:
         gone = np.zeros(len(t) + 1, bool)
@@ -19,7 +20,7 @@ def brute(texts, length):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = True
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        out.append((len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), any(holders[t[i : i + stretch]] > 1 for i in range(len(t) - stretch + 1))))
     return out
 
 
@@ -30,6 +31,21 @@ def check(spark, texts):
     assert got == dict(enumerate(want))
 
 
+def test_null_and_repeated_ids_and_further_columns(spark):
+    rows = [(None, "p" * 500, 1, 2), (7, "q" + "p" * 450, 3, 4), (7, None, 5, 6), (None, "", 7, 8), (9, "short", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark long, name long")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.shared, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, with_text=True).collect())
+    assert got == Counter([(None, 500, 500, True, b""), (7, 451, 450, True, b"q"), (7, 0, 0, False, b""), (None, 0, 0, False, b""), (9, 5, 0, False, b"short")])
+
+
+def test_passages_of_fifty_words_between_texts(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(n))
+    passages = ["".join(rng.choices("xyz ", k=n)) for n in (280, 289, 290, 300, 330, 380) for _ in range(4)]
+    texts = [f"{words(rng.randint(0, 90))} {p} {words(rng.randint(0, 90))}" for p in passages for _ in range(2)] + ["w" * 398 + words(3), words(40)]
+    check(spark, texts)
+
+
 def test_tables(spark):
     check(spark, [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()])
 
@@ -74,3 +90,4 @@ def test_names_with_many_contents_and_heavy_names(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARE", 1.0)
     monkeypatch.setattr(suffix_dedup, "HEAVY_AT", 2)
     test_random_repeats(spark, 7)
+    test_passages_of_fifty_words_between_texts(spark)
