@@ -15,12 +15,12 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, words_of
+from .common import WHITE, cut, let, running, text_of, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 GENERALISED, REMOVED = 4, 5
 GENERALISE_AT, REMOVE_AT, LEAST_TOGETHER = 0.7, 0.9, 3
-BROADCAST_ROWS, SALTS = 500_000, 32
+BROADCAST_ROWS, SALTS, STRIP = 500_000, 32, 4096
 # Possessive forms of the patterns; a look-behind keeps each run from being tried again at every character.
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = (
@@ -36,16 +36,14 @@ TOKENS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")
 
 def matches(text: Column, pattern: Column, kind: int) -> Column:
     """All matches from left to right as array<struct<start, kind, end, value>>, in code points."""
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
+    length = lambda p: F.length(p["between"]) + F.coalesce(F.length(p["value"]), F.lit(0))
 
-    def add(seen: Column, part: Column) -> Column:
-        start = seen["at"] + F.length(part["between"])
-        end = start + F.length(part["value"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
-        return F.when(part["value"].isNull(), seen).otherwise(F.struct(end.alias("at"), F.array_append(seen["found"], one).alias("found")))
+    def spans(parts: Column, ends: Column) -> Column:
+        span = lambda p, i: F.struct((F.get(ends, i) - F.length(p["value"])).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), p["value"].alias("value"))
+        return F.filter(F.transform(parts, span), lambda s: s["value"].isNotNull())
 
-    return F.aggregate(parts, none, add, lambda seen: seen["found"])
+    return let(parts, lambda p: let(running(F.transform(p, length), lambda a, b: a + b), lambda ends: spans(p, ends)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -90,59 +88,80 @@ def marked(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"mark": F.xxhash64("text"), "n": F.length("text"), "base": base_spans(F.col("text"))})
 
 
-def disclosing_terms(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT) -> tuple[DataFrame, DataFrame]:
-    """(term, entity, disclosure) of terms over the threshold, and the texts that hold an entity.
+def disclosing_terms(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """term, entity, disclosure of terms over the threshold.
 
     ``rows`` are documents as from ``marked``.  Terms are lower-cased words, by
     hash.  Every document counts, copies too; a pair counts from ``least``
     documents on.  disclosure = pmi(term, entity) / -ln p(entity).
     """
     total = rows.count()
-    holding = rows.filter(F.size("base") > 0).select("mark", "n", "text", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
-    known = holding.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= least)
-    holding = cut(holding.join(known, "entity").select("mark", "n", "text", F.xxhash64("entity").alias("entity"), "n_entity"))
+    # Copies of a text count through ``copies``; the texts come in once rare entities are gone.
+    some = rows.filter(F.size("base") > 0)
+    values = F.transform("base", lambda s: F.xxhash64(F.lower(s["value"])))
+    texts = cut(some.select("mark", "n", F.array_distinct(values).alias("values")).groupBy("mark", "n").agg(F.count("*").alias("copies"), F.first("values").alias("values")))
+    holding = texts.select("mark", "n", "copies", F.explode("values").alias("entity"))
+    known = holding.groupBy("entity").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") >= least)
+    by_text = holding.join(known, "entity").groupBy(F.col("mark").alias("m"), F.col("n").alias("k")).agg(F.first("copies").alias("copies"), F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
     hashes = F.array_distinct(F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w)))
-    together = holding.select("entity", "n_entity", F.explode(hashes).alias("term")).groupBy("term", "entity", "n_entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least)
+    held = some.select("mark", "n", "text").join(by_text, (F.col("mark") == F.col("m")) & (F.col("n") == F.col("k"))).dropDuplicates(["mark", "n"])
+    pairs = held.select("copies", F.explode("entities").alias("e"), hashes.alias("terms")).select("copies", "e.*", F.explode("terms").alias("term"))
+    together = pairs.groupBy("term", "entity", "n_entity").agg(F.sum("copies").alias("n_both")).filter(F.col("n_both") >= least)
     terms = rows.select(F.explode(hashes).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     pmi = F.ln(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     scored = together.join(terms, "term").withColumn("disclosure", F.try_divide(pmi, F.ln(F.lit(float(total)) / F.col("n_entity"))))
-    return scored.filter(F.col("disclosure") >= generalise_at).select("term", "entity", "disclosure"), holding
+    return scored.filter(F.col("disclosure") >= generalise_at).select("term", "entity", "disclosure")
 
 
-def telling_words(rows: DataFrame, levels: DataFrame, few: bool) -> DataFrame:
-    """mark, n, word, level: the words of each text that are in ``levels(term, level)``, once each.
+def telling_texts(rows: DataFrame, levels: DataFrame, few: bool) -> DataFrame:
+    """mark, n of the texts that hold a term of ``levels(term, level)``.
 
     ``few`` levels are broadcast; many are met by salted keys, as a term may be in a great part of the texts.
     """
-    words = rows.select("mark", "n", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word")).withColumn("term", F.xxhash64("word"))
+    words = rows.select("mark", "n", F.explode(F.array_distinct(F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w)))).alias("term"))
     if few:
-        hit = words.join(F.broadcast(levels), "term")
-    else:
-        salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = words.distinct().withColumn("salt", F.pmod(F.col("mark"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
-    return hit.select("mark", "n", "word", "level").distinct()
+        return words.join(F.broadcast(levels), "term", "left_semi").select("mark", "n").distinct()
+    return _salted(words.distinct(), levels).select("mark", "n").distinct()
+
+
+def _salted(words: DataFrame, levels: DataFrame) -> DataFrame:
+    salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return words.withColumn("salt", F.pmod(F.col("mark"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
 
 
 def term_spans(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """mark, n, terms: the spans of disclosing terms in each text that holds any, with their entity or without."""
-    telling, _ = disclosing_terms(rows, least, generalise_at)
+    """mark_of, n_of, terms: the spans of disclosing terms in each text that holds any, with their entity or without."""
     level = F.when(F.col("disclosure") >= remove_at, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
-    levels = cut(telling.groupBy("term").agg(F.max(level).alias("level")))
-    hit = telling_words(rows, levels, levels.count() <= BROADCAST_ROWS)
-    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("word"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    by_level = hit.groupBy("mark", "n").pivot("level", [GENERALISED, REMOVED]).agg(F.array_join(F.array_sort(F.collect_list(quoted)), "|"))
-    texts = rows.select("mark", "n", "text").dropDuplicates(["mark", "n"]).join(by_level, ["mark", "n"])
-    whole = lambda c: F.concat(F.lit("(?iu)(?<![^\\x20\\x09-\\x0D])(?:"), F.col(c), F.lit(")(?![^\\x20\\x09-\\x0D])"))
-    none = F.array().cast(FOUND)
-    found = [F.when(F.col(f"{k}").isNotNull(), matches(F.col("text"), whole(f"{k}"), k)).otherwise(none) for k in (GENERALISED, REMOVED)]
-    return texts.select(F.col("mark").alias("mark_of"), F.col("n").alias("n_of"), F.concat(*found).alias("terms"))
+    levels = cut(disclosing_terms(rows, least, generalise_at).groupBy("term").agg(F.max(level).alias("level")))
+    few = levels.count() <= BROADCAST_ROWS
+    hit = cut(telling_texts(rows, levels, few))
+    marks = hit.select(F.col("mark").alias("m"), F.col("n").alias("k"))
+    marks = F.broadcast(marks) if hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else marks
+    texts = rows.select("mark", "n", "text").join(marks, (F.col("mark") == F.col("m")) & (F.col("n") == F.col("k")), "left_semi").dropDuplicates(["mark", "n"])
+    word = F.lit(f"{WHITE[0]}^{WHITE[1:]}")
+    words = texts.select("mark", "n", F.explode(F.transform(matches(F.col("text"), word, GENERALISED), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lower(s["value"])).alias("term")))).alias("w")).select("mark", "n", "w.*")
+    found = words.join(F.broadcast(levels), "term") if few else _salted(words, levels)
+    span = F.struct("start", F.col("level").alias("kind"), "end", F.lit("").alias("value"))
+    return found.groupBy(F.col("mark").alias("mark_of"), F.col("n").alias("n_of")).agg(F.collect_list(span).alias("terms"))
+
+
+def apart(base: Column, terms: Column) -> Column:
+    """The base spans, and the terms that meet none of them, by start, then kind."""
+    is_base = lambda s: s["kind"] < GENERALISED
+
+    def kept(spans: Column) -> Column:
+        before = running(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.greatest)
+        after = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(2**31 - 1))), F.least))
+        free = lambda b, a: F.filter(spans, lambda s, i: is_base(s) | ((F.get(b, i) <= s["start"]) & (F.get(a, i) >= s["end"])))
+        return let(before, lambda b: let(after, lambda a: free(b, a)))
+
+    return let(F.array_sort(F.concat(base, terms)), kept)
 
 
 def with_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Adds spans: the base spans and those terms that meet none of them."""
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     joined = rows.join(terms, (F.col("mark") == F.col("mark_of")) & (F.col("n") == F.col("n_of")), "left")
-    return joined.withColumn("spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free)))).drop("mark_of", "n_of", "terms")
+    return joined.withColumn("spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(apart(F.col("base"), F.col("terms")))).drop("mark_of", "n_of", "terms")
 
 
 def find_personal_data(docs: DataFrame, least: int = LEAST_TOGETHER) -> DataFrame:
@@ -162,15 +181,24 @@ def find_personal_data(docs: DataFrame, least: int = LEAST_TOGETHER) -> DataFram
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind's token; what overlaps goes with the earlier span."""
+    """The text with every span replaced by its kind's token; what overlaps goes with the earlier span.
+
+    Texts are read by strips of STRIP code points, so that reaching a place doesn't take a walk from the start.
+    """
     tokens = F.array(*map(F.lit, TOKENS))
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def put(seen: Column, s: Column) -> Column:
-        new = F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.greatest(s["start"] - seen["at"], F.lit(0))), F.get(tokens, s["kind"]))
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), F.when(s["start"] >= seen["at"], new).otherwise(seen["out"]).alias("out"))
+    def piece(strips: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / STRIP).cast("int")
+        near = F.array_join(F.slice(strips, first + 1, F.floor((end - 1) / STRIP).cast("int") - first + 1), "")
+        return F.when(end <= start, F.lit("")).otherwise(F.substring(near, start - first * STRIP + 1, end - start))
+
+    def put(strips: Column, ends: Column) -> Column:
+        at = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        new = lambda s, i: F.when(s["start"] >= at(i), F.concat(piece(strips, at(i), s["start"]), F.get(tokens, s["kind"]))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans, new), ""), piece(strips, F.get(ends, F.size(ends) - 1), F.length(text)))
 
-    return F.aggregate(spans, none, put, lambda seen: F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.length(text))))
+    strips = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRIP}}}"), F.lit(0))
+    return let(strips, lambda s: let(running(F.transform(spans, lambda x: x["end"]), F.greatest), lambda ends: put(s, ends)))
 
 
 def sanitise(docs: DataFrame, least: int = LEAST_TOGETHER) -> DataFrame:
