@@ -43,6 +43,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return out
 
 
+MOST_TERMS, MOST_RULES = 100_000, 1_000
+
+
+def vocabulary_of(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) of a table terms(term, strict boolean); a term given as both is strict, null and empty ones are left out.
+
+    It rides with every task, so it holds MOST_TERMS terms at most.
+    """
+    rows = terms.select(F.translate("term", UPPER, LOWER).alias("term"), F.coalesce("strict", F.lit(False)).alias("strict")).filter("term <> ''")
+    found = rows.groupBy("term").agg(F.bool_or("strict").alias("strict")).limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"the vocabulary rides with every task: at most {MOST_TERMS:,} terms")
+    return tuple(sorted(r.term for r in found if r.strict)), tuple(sorted(r.term for r in found if not r.strict))
+
+
 @lru_cache(maxsize=8)
 def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
@@ -86,8 +101,8 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     rule; its terms still count.  Repeated rows are judged row by row; columns
     other than page_id and url are left out.
     """
-    if len(soft) + len(strict) > 100_000 or len(rules) > 1_000:
-        raise ValueError("the vocabulary and the rules ride with every task: at most 100,000 terms and 1,000 rules")
+    if len(soft) + len(strict) > MOST_TERMS or len(rules) > MOST_RULES:
+        raise ValueError(f"the vocabulary and the rules ride with every task: at most {MOST_TERMS:,} terms and {MOST_RULES:,} rules")
     url = F.col("url")
     seen = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     seen = seen.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("hit", term_hits(url, strict, soft))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from rivernet.llm import fingerprint, mixing, pii, token_count, url_filter
 
@@ -130,6 +131,61 @@ def test_terms_in_documents_without_the_entity(spark, monkeypatch, most):
     assert out[10] == out[11] == "a  flew today" and out[20] == "today of number 0" and len(out) == len(rows)
 
 
+def disclosing(texts, least=3):
+    """Levels of terms, from sets of words and values of each document."""
+    import math
+
+    docs = [(set(re.split(r"[\x20\x09-\x0D]+", t.lower().strip())), {t[s:e].lower() for _, s, e in base_spans(t)}) for t in texts]
+    n, words, values, both = len(docs), Counter(), Counter(), Counter()
+    for w, v in docs:
+        words.update(w)
+        values.update(v)
+        both.update((a, b) for a in w for b in v)
+    levels = {}
+    for (w, v), k in both.items():
+        if k >= least and values[v] >= least and values[v] < n:
+            x = math.log(k * n / (words[w] * values[v])) / math.log(n / values[v])
+            if x >= 0.7:
+                levels[w] = max(levels.get(w, 4), 5 if x >= 0.9 else 4)
+    return levels
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    names, places = [f"name{i}" for i in range(12)], [f"Place{i}" for i in range(30)]
+    texts = []
+    for i in range(300):
+        k = rng.randrange(12)
+        who = rng.choice([f"{names[k]}@x.example", "call +49 30 1234567" + str(k % 3), "", ""])
+        texts.append(f"{places[k + rng.randrange(3)]} {rng.choice(['met', 'saw', 'left'])} {who}\n{places[rng.randrange(30)]} {rng.choice(names) if rng.random() < 0.1 else ''} end")
+    texts += [texts[0]] * 4
+    levels = disclosing(texts)
+    assert len(levels) > 10
+    got = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, [(i, t, "en", "a", 0, "x") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        terms = [("term", m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if m[0].lower() in levels and not any(s < m.end() and m.start() < e for _, s, e in base)]
+        want = sorted([(s, ("email", "ip", "card", "phone", "term").index(k), e, k) for k, s, e in base + terms])
+        assert got[i].spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in want), t
+
+
+def test_very_many_matches_in_a_text(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"a{i}@b.example" for i in range(n))
+    docs = docs_of(spark, [(1, text, "en", "a", len(text), "x"), (2, "é" * 9_000 + " me@b.example " + "\U0001f600" * 5_000, "en", "a", 0, "x")])
+    began = time.time()
+    r, s = sorted(pii.find_personal_data(docs).collect())
+    assert r.n_email == n and r.base_sha256 == hashlib.sha256(",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text)).encode()).hexdigest()
+    assert s.spans == "email:9001:9013"
+    out = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    assert out[1] == " ".join(["<EMAIL>"] * n) and out[2] == "é" * 9_000 + " <EMAIL> " + "\U0001f600" * 5_000
+    assert time.time() - began < 120
+
+
 def test_urls(spark):
     rows = [
         (1, "https://a.example.net/en/x?q=1"), (2, "http://EXAMPLE.NET/EN/x"), (3, "http://x.org/fr/a"), (4, "ftp://h.com/free-poker/now"), (5, "http://h.com/freepoker"), (6, "http://h.com/a-casino-b"),
@@ -144,6 +200,22 @@ def test_urls(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_with_a_vocabulary_of_thousands(spark):
+    import random
+
+    rng = random.Random(1)
+    terms = sorted({"".join(rng.choices("abcd", k=rng.randint(2, 7))) for _ in range(6_000)})
+    table = spark.createDataFrame([(t.upper(), i % 3 == 0) for i, t in enumerate(terms)] + [(None, True), ("", True), (terms[1], True)], "term string, strict boolean")
+    strict, soft = url_filter.vocabulary_of(table)
+    assert len(terms) > 2_000 and set(strict) | set(soft) == set(terms) and terms[1] in strict
+    urls = ["http://h.com/" + "/".join("".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), strict=strict, soft=soft).collect()
+    for r in got:
+        words = set(re.split("[^a-z0-9]+", urls[r.page_id]))
+        assert (r.strict, r.soft) == (len(words & set(strict)), len(words & set(soft)))
+        assert r.verdict == ("block" if r.strict or r.soft >= 2 else "allow")
+
+
 def greedy(word, vocab):
     n = 0
     while word:
@@ -195,11 +267,46 @@ def test_mixing(spark):
     assert all(abs(n - t) <= mixing.BLOCK and t <= 2 * s for n, t, s in by.values())
     texts = mixing.mix_documents(docs)
     assert texts.columns == docs.columns
-    taken = {r.doc_id: r.taken for r in rows}
+    taken, whole = {r.doc_id: r.taken for r in rows}, {r.doc_id: r.text for r in docs.collect()}
     got = Counter()
-    for r in texts.collect():
+    mixed = texts.collect()
+    for r in mixed:
         got[r.doc_id] += len(r.text.encode().split())
+        assert r.text in whole[r.doc_id] and r.n_chars == len(r.text)
     assert got == Counter({k: v for k, v in taken.items() if v})
+    first = {r.doc_id: r.first_slot for r in rows}
+    seen = list(dict.fromkeys(r.doc_id for r in mixed))
+    assert [first[k] for k in seen] == sorted(first[k] for k in seen)
+
+
+def test_mixing_order_follows_the_points(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sized = docs.select("doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size"))
+    targets = mixing.source_targets(sized).cache()
+    share = {r.sid: r.quota / r.quotas for r in targets.collect()}
+    slots = mixing.slot_schedule(targets).orderBy("slot").collect()
+    assert len(slots) == len({r.slot for r in slots}) == targets.agg(F.max("quotas")).first()[0]
+    assert Counter(r.sid for r in slots) == Counter({r.sid: r.quota for r in targets.collect()})
+    counts = Counter()
+    for i, r in enumerate(slots, 1):
+        counts[r.sid] += 1
+        assert r.rank == counts[r.sid] - 1
+        if i % 97 == 0:
+            assert all(abs(counts[s] - i * x) <= 6 for s, x in share.items())
+    before = {r.doc_id: r.first_slot for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "PHI", 0.4142135623730951)
+    after = {r.doc_id: r.first_slot for r in mixing.mix(docs).collect()}
+    assert before != after and sorted(before, key=lambda k: (before[k] is None, before[k])) != sorted(after, key=lambda k: (after[k] is None, after[k]))
+
+
+def test_mixing_keeps_blanks_and_repeated_rows(spark):
+    text = " a\tb\n\nc  d\x0be f "
+    got = spark.createDataFrame([(text,)], "text string").select(*(mixing.words_between(F.col("text"), F.lit(s), F.lit(n)) for s, n in ((0, 2), (1, 3), (4, 2), (0, 6), (5, 9)))).first()
+    assert list(got) == ["a\tb", "b\n\nc  d", "e f", "a\tb\n\nc  d\x0be f", "f"]
+    rows = [(1, "x " * 200, "en", "a", 400, "e")] * 3 + [(1, "x " * 200, "en", "a", 400, "other"), (None, "y " * 300, "en", "b", 600, None)]
+    mixed = mixing.mix_documents(docs_of(spark, rows)).collect()
+    assert sum(len(r.text.split()) for r in mixed if r.source == "a") == sum(r.taken for r in mixing.mix(docs_of(spark, rows)).collect() if r.doc_id == 1)
+    assert {r.extra for r in mixed if r.source == "a"} <= {"e", "other"}
 
 
 def test_mixing_odd_rows(spark):
