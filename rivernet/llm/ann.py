@@ -165,8 +165,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
     The leaves and centres are fitted on at most ``sample_rows`` rows, by a hash
     of vec_id; every row is indexed.  Vectors that are null, zero, or hold null
     or non-finite components, and those of an unusual length, take no part.
-    Large leaves are split into blocks and meet blocks of queries.  Within the
-    probed leaves the neighbours are exact.
+    So do rows without a vec_id.  A vec_id that several rows have is asked once,
+    with the least of its vectors, and none of its own rows answers it; as
+    candidates repeated rows count one by one.  Large leaves are split into
+    blocks and meet blocks of queries.  Within the probed leaves the neighbours
+    are exact.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors)
@@ -199,7 +202,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
                 take = (np.arange(len(sizes)) < probes) | (before < LEAST_ROWS)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array([o[t].astype(np.int32) for o, t in zip(order, take, strict=True)], pa.list_(pa.int32()))], names=["query_id", "vec", "leaf"])
 
-    asked = coded.filter(F.col("vec_id") % every == 0).select("vec_id", "vec").mapInArrow(probe, "query_id long, vec array<double>, leaf array<int>")
+    asked = coded.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")).mapInArrow(probe, "query_id long, vec array<double>, leaf array<int>")
     asked = asked.withColumn("leaf", F.explode("leaf"))
     load = asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("q_blocks"))
     blocks = spark.createDataFrame([(i, max(1, -(-int(n) // CANDIDATE_ROWS))) for i, n in enumerate(sizes)], "leaf int, c_blocks int").join(load, "leaf")

@@ -237,6 +237,14 @@ def test_nearest_odd_rows(spark):
     assert [r.vec_id for r in ann.nearest(same).filter("query_id = 0").orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_repeated_query_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), *((i, [1.0, 0.1 * (i - 6)]) for i in range(7, 20)), (50, [5.0, -0.9]), (50, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[:3] for r in ann.nearest(df).orderBy("query_id", "rank").collect()]
+    # vec_id 50 is asked with [0, 1] and never answers itself; as a candidate its first row is 0.98 near to 0.
+    assert [v for q, _, v in got if q == 0] == [7, 50, 8, 9, 10] and [v for q, _, v in got if q == 50] == [19, 18, 17, 16, 15]
+
+
 def test_near_copies_that_share_their_codes(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=16)
