@@ -219,12 +219,27 @@ def in_blocks(rows: DataFrame, key: str, id_: str, counts: DataFrame, most: int)
     return both.withColumn("grp", F.explode(pairs)).drop("big", "blocks")
 
 
+def branched(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """rep, minhash, node: rows of large nodes go to their children, one for each of BRANCHES positions of the node's choice.
+
+    So the tasks that nodes are dealt to don't depend on how many documents a value of 16 bits gathers.
+    """
+    both = rows.join(large.select(F.col("node").alias("_large")), F.col("node") == F.col("_large"), "left")
+    at = lambda slot: F.pmod(F.xxhash64("node", F.lit(slot)), F.lit(POSITIONS)).cast("int")
+    child = lambda slot: F.concat(F.col("node"), F.lit(bytes([slot])), F.substring(F.col("minhash"), 2 * at(slot) + 1, F.lit(2)))
+    down = F.when(F.col("_large").isNull(), F.array("node")).otherwise(F.array(*map(child, range(BRANCHES))))
+    return both.select("rep", "minhash", F.explode(down).alias("node"))
+
+
 def candidate_links(nodes: DataFrame, trees: int = TREES, percent: int = PERCENT) -> DataFrame:
     """a, b: links of likely pairs, enough to connect each class of them."""
     likely = int(POSITIONS * (LIKELY + (percent - 80) / 100))
     at_root = F.explode(F.array(*(F.concat(F.lit(bytes([t])), F.expr(f"substring(minhash, {2 * int(_ROOTS[t]) + 1}, 2)")) for t in range(trees))))
     rows = nodes.select("rep", "minhash", at_root.alias("node"))
-    counts = nodes.select(at_root.alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    counts = cut(nodes.select(at_root.alias("node")).groupBy("node").agg(F.count("*").alias("n")))
+    if not counts.filter(F.col("n") > NODE_ROWS).isEmpty():
+        rows = branched(rows, counts.filter(F.col("n") > NODE_ROWS).select("node"))
+        counts = rows.groupBy("node").agg(F.count("*").alias("n"))
     rows = in_blocks(rows, "node", "rep", counts, NODE_ROWS).select("grp", "rep", "minhash")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,14 +352,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates: that of the smallest doc_id, once.  Rows without a doc_id stay."""
+    """``docs`` with one document of each class of near-duplicates: that of the smallest doc_id, once (of several rows that of the least hash).  Rows without a doc_id stay."""
     found = cut(near_duplicates(docs, width, percent, trees))
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone"))
     several = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_several"))
     small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
     left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     several = small(several)
-    once = left.join(several, F.col("doc_id") == F.col("_several"), "left_semi").dropDuplicates(["doc_id"])
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    twice = left.join(several, F.col("doc_id") == F.col("_several"), "left_semi").select("doc_id", F.struct("*").alias("_row"), F.xxhash64(*hashed).alias("_hash"))
+    once = twice.groupBy("doc_id").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
     return left.join(several, F.col("doc_id") == F.col("_several"), "left_anti").unionByName(once)
 
 
