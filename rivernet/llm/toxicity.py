@@ -108,7 +108,10 @@ def fit_chain(names: Sequence[str], terms: list[bytes], rows: list[list[int]], l
 
 
 def sample_terms(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """nth, one column a category (1, 0 or null) and terms of at most ``sample_rows`` labelled documents, chosen by a hash of doc_id."""
+    """doc_id, one column a category (1, 0 or null) and terms of at most ``sample_rows`` labelled documents, chosen by a hash of doc_id.
+
+    Of several texts with one doc_id the one with the least list of terms counts.
+    """
     y = [F.max(F.when(F.col(c) == v, F.lit(1.0)).when(F.col(c).isNotNull(), F.lit(0.0))).alias(f"y{j}") for j, (_, c, v) in enumerate(chain)]
     chosen = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     names = [f"y{j}" for j in range(len(chain))]
@@ -119,7 +122,7 @@ def sample_terms(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: i
             terms = [sorted(terms_of(t.as_buffer().to_pybytes())) if t.is_valid else [] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(terms, pa.list_(pa.binary()))], names=["doc_id", *names, "terms"])
 
-    return cut(rows.mapInArrow(split, "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", terms array<binary>").dropDuplicates(["doc_id"]))
+    return cut(rows.mapInArrow(split, "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", terms array<binary>").groupBy("doc_id", *names).agg(F.min("terms").alias("terms")))
 
 
 def telling_terms(sample: DataFrame, category: str, terms: int = TERMS, least: int = LEAST_TEXTS) -> list[bytes]:
