@@ -52,13 +52,13 @@ def from_log_spectrum(df: DataFrame, n: int, source: str = "spectrum", target: s
 
 
 def kernel_weights(df: DataFrame, n: int, substeps: int, mode: str, source: str = "spectrum", target: str = "weights") -> DataFrame:
-    """Path kernels at the native step: inverse transform, negative weights cut, resampled, sum 1."""
+    """Path kernels at the native step: inverse transform, negative weights cut, resampled, sum 1 (all 0 where nothing is left)."""
 
     def f(s: np.ndarray) -> np.ndarray:
         log, phase = np.hsplit(s, 2)
         fine = np.maximum(np.fft.irfft(np.exp(log + 1j * phase), n=n, axis=1), 0)
         w = sampling.reduce_kernel(fine, substeps, mode)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return w / w.sum(axis=1, keepdims=True)
+        total = w.sum(axis=1, keepdims=True)
+        return w / np.where(total > 0, total, 1)
 
     return _mapped(df, source, target, f)

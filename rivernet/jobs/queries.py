@@ -16,7 +16,7 @@ from ..operators import convolution as V
 from ..operators import kernel as K
 from ..operators import segmentation as C
 from ..operators.network import RiverNetwork
-from ..operators.routing import Router, parameter_sweep
+from ..operators.routing import Router, parameter_gradient, parameter_sweep
 from ..operators.staged import StagedRouter
 from ..sources import rapid
 from ..sources import river_tables as data
@@ -75,20 +75,20 @@ def spectrum_inverse(spark, sf_dir):
 
 
 def path_counts(spark, sf_dir):
-    return G.path_counts(G.closure(data.heap(spark, sf_dir)))
+    return G.path_counts(data.heap(spark, sf_dir))
 
 
 def path_cumsum(spark, sf_dir):
-    counts = G.path_counts(G.closure(data.heap(spark, sf_dir)))
+    counts = G.path_counts(data.heap(spark, sf_dir))
     return G.running_total(counts, "reach_id", "n_paths", "total").select("reach_id", "n_paths", "total")
 
 
 def topo_level(spark, sf_dir):
-    return G.levels(G.closure(data.heap(spark, sf_dir)))
+    return G.levels(data.heap(spark, sf_dir))
 
 
 def components(spark, sf_dir):
-    return G.outlets(G.closure(data.chain32(spark, sf_dir)))
+    return G.outlets(data.chain32(spark, sf_dir))
 
 
 def ancestors(spark, sf_dir):
@@ -97,7 +97,7 @@ def ancestors(spark, sf_dir):
 
 
 def upstream_count(spark, sf_dir):
-    return G.upstream_counts(G.closure(data.admin(spark, sf_dir)))
+    return G.upstream_counts(data.admin(spark, sf_dir))
 
 
 def _series(spark, sf_dir):
@@ -145,6 +145,16 @@ def kernel_block_roundtrip(spark, sf_dir):
     return K.long_kernel(back).select("dst", "src", "lag", rounded("weight").alias("weight"))
 
 
+def kernel_block_dense(spark, sf_dir):
+    dense = K.blocks_to_dense(K.to_blocks(_chain_kernel(spark, sf_dir), 16), 16, WINDOW)
+    return dense.select("dst", "src", "lag", rounded("weight").alias("weight"))
+
+
+def kernel_given(spark, sf_dir):
+    given = K.long_kernel(_chain_kernel(spark, sf_dir)).filter("weight > 1e-3")
+    return K.long_kernel(K.from_responses(given, WINDOW)).select("dst", "src", "lag", rounded("weight").alias("weight"))
+
+
 def kernel_dense(spark, sf_dir):
     reaches = data.heap(spark, sf_dir)
     top = reaches.filter("reach_id < 64")  # the trunk: a dense view is for few reaches
@@ -181,6 +191,11 @@ def param_sweep(spark, sf_dir):
     return flow(parameter_sweep(Router(WINDOW), _series(spark, sf_dir), network, "tau", {"low": 0.9, "high": 1.1}, STEPS), "param_set")
 
 
+def param_gradient(spark, sf_dir):
+    found = parameter_gradient(Router(WINDOW), _series(spark, sf_dir), RiverNetwork(data.heap(spark, sf_dir)), "tau", STEPS, 0.1)
+    return found.select("batch", "reach_id", "t", rounded("gradient", 2, FLOW_UNIT).alias("gradient"))
+
+
 def chain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chain32 cut after every eighth reach; the stage is the place in the chain."""
     reaches = data.chain32(spark, sf_dir).select("reach_id", "downstream_id")
@@ -217,6 +232,10 @@ def schedule_blocks(spark, sf_dir):
     return C.schedule(data.heap(spark, sf_dir), strategy="blocks", block=16, node_limit=100)
 
 
+def block_pieces(spark, sf_dir):
+    return C.block_breakpoints(data.heap(spark, sf_dir), 16)
+
+
 def route_staged(spark, sf_dir):
     network = RiverNetwork(data.chain32(spark, sf_dir))
     return flow(StagedRouter(Router(WINDOW)).route(_series(spark, sf_dir), network, cut(chain_plan(spark, sf_dir)), STEPS))
@@ -245,7 +264,7 @@ def adjoint_closure(spark, sf_dir):
 
 def adjoint_prefix(spark, sf_dir):
     reaches = data.heap(spark, sf_dir)
-    return V.adjoint_downstream_sum(reaches.select("reach_id", F.col("tau").alias("value")), G.closure(reaches)).select("reach_id", rounded("value").alias("value"))
+    return V.adjoint_downstream_sum(reaches.select("reach_id", F.col("tau").alias("value")), reaches).select("reach_id", rounded("value").alias("value"))
 
 
 def _project(spark: SparkSession, reaches: DataFrame) -> str:
@@ -262,6 +281,10 @@ def rapid_ingest(spark, sf_dir):
     return _rapid_rows(rapid.read_rapid(spark, _project(spark, data.heap(spark, sf_dir))))
 
 
+def rapid_segmented(spark, sf_dir):
+    return rapid.read_rapid_segmented(spark, _project(spark, data.heap(spark, sf_dir)), path_limit=400, node_limit=100)[1]
+
+
 def rapid_union(spark, sf_dir):
     reaches = data.heap(spark, sf_dir)
     half = [reaches.filter("reach_id % 3 < 2"), reaches.filter("reach_id % 3 > 0")]
@@ -273,9 +296,9 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             closure_pairs, prefix_sum, path_log_product, spectrum, spectrum_inverse, path_counts, path_cumsum, topo_level, components, ancestors, upstream_count,
-            resample_phi, resample_pool, resample_last, resample_tri, kernel_block, kernel_block_roundtrip, kernel_dense, route_param_override, route_targets, route_daily, param_sweep,
-            transfers, transfer_tables, cluster_ranges, stage_layers, segment_breakpoints, schedule, schedule_blocks, route_staged, staged_warm_start,
-            adjoint_dx, adjoint_dw, adjoint_closure, adjoint_prefix, rapid_ingest, rapid_union,
+            resample_phi, resample_pool, resample_last, resample_tri, kernel_block, kernel_block_roundtrip, kernel_block_dense, kernel_given, kernel_dense, route_param_override, route_targets, route_daily, param_sweep, param_gradient,
+            transfers, transfer_tables, cluster_ranges, stage_layers, segment_breakpoints, schedule, schedule_blocks, block_pieces, route_staged, staged_warm_start,
+            adjoint_dx, adjoint_dw, adjoint_closure, adjoint_prefix, rapid_ingest, rapid_union, rapid_segmented,
         )
     }
     out |= {f"irf_{name}": irf_rows(name) for name in REGISTRY}

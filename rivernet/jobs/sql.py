@@ -103,6 +103,45 @@ def staged(stage_rows: str) -> str:
     return ", ".join(parts) + " " + flow(stage_rows)
 
 
+def cuts(limit: int, measure: str = "paths") -> str:
+    """plan(reach_id, downstream_id, cut), assigned(reach_id, downstream_id, piece), pieces(piece, n, layer); needs pairs"""
+    size, chain = {"paths": ("length", max(d for d in range(1, limit + 1) if d * (d + 1) // 2 <= limit)), "reaches": ("n", limit)}[measure]
+    return f"""sizes AS (SELECT reach_id, downstream_id, {size} AS size, {size} > {limit} AS large FROM reaches JOIN (SELECT dst AS reach_id, count(*) AS n, sum(dist + 1)::BIGINT AS length FROM pairs GROUP BY dst) USING (reach_id)),
+chosen AS (SELECT reach_id FROM (SELECT reach_id, row_number() OVER (PARTITION BY downstream_id ORDER BY size DESC, reach_id) AS nth FROM sizes WHERE large AND downstream_id IS NOT NULL) WHERE nth = 1),
+trunk AS (SELECT *, reach_id IN (SELECT reach_id FROM chosen) AS goes_on FROM sizes),
+walk(reach_id, now, steps) AS (SELECT reach_id, reach_id, 0 FROM trunk WHERE large UNION ALL SELECT w.reach_id, t.downstream_id, w.steps + 1 FROM walk w JOIN trunk t ON t.reach_id = w.now AND t.goes_on),
+places AS (SELECT reach_id, max(steps) AS place FROM walk GROUP BY reach_id),
+plan AS (SELECT t.reach_id, t.downstream_id, t.downstream_id IS NOT NULL AND CASE WHEN t.large THEN NOT t.goes_on OR place % {chain} = 0 ELSE d.large END AS cut
+  FROM trunk t LEFT JOIN places USING (reach_id) LEFT JOIN sizes d ON d.reach_id = t.downstream_id),
+stay(reach_id, piece) AS (SELECT reach_id, reach_id FROM plan WHERE cut OR downstream_id IS NULL UNION ALL SELECT p.reach_id, s.piece FROM stay s JOIN plan p ON p.downstream_id = s.reach_id AND NOT p.cut),
+assigned AS (SELECT plan.reach_id, plan.downstream_id, piece FROM plan JOIN stay USING (reach_id)),
+links AS (SELECT a.piece, b.piece AS down FROM assigned a JOIN assigned b ON b.reach_id = a.downstream_id WHERE a.reach_id = a.piece),
+deep(piece, layer) AS (SELECT DISTINCT piece, 0 FROM assigned UNION SELECT l.down, d.layer + 1 FROM deep d JOIN links l ON l.piece = d.piece),
+pieces AS (SELECT piece, n, layer FROM (SELECT piece, count(*) AS n FROM assigned GROUP BY piece) JOIN (SELECT piece, max(layer)::INT AS layer FROM deep GROUP BY piece) USING (piece))"""
+
+
+def size_class(pieces: str, limit: int, name: str) -> str:
+    """name(piece, layer, bin)"""
+    return f"""{name} AS (SELECT piece, layer, min(piece) OVER (PARTITION BY layer, j, rank >> j) AS bin FROM (SELECT *, row_number() OVER (PARTITION BY layer, j ORDER BY piece) - 1 AS rank FROM
+  (SELECT *, greatest(floor(log2({limit}::DOUBLE / n + 1e-9)), 0)::INT AS j FROM {pieces})))"""
+
+
+def scheduled(path_limit: int, node_limit: int) -> str:
+    return f"WITH RECURSIVE {reaches()}, {PAIRS}, {cuts(path_limit)}, {size_class('pieces', node_limit, 'bins')} SELECT reach_id, downstream_id, piece, bin AS cluster, layer AS stage FROM assigned JOIN bins USING (piece)"
+
+
+def scheduled_blocks(block: int, node_limit: int) -> str:
+    return f"""WITH RECURSIVE {reaches()}, {PAIRS}, {cuts(block, "reaches")},
+nth AS (SELECT *, row_number() OVER (PARTITION BY layer, n ORDER BY piece) - 1 AS rank, count(*) OVER (PARTITION BY layer, n) AS own FROM pieces),
+met AS (SELECT a.piece, a.n, a.layer, least(a.n, {block} - a.n) AS k, CASE WHEN a.n >= {block} THEN NULL WHEN 2 * a.n = {block} THEN CASE WHEN a.rank < a.own - a.own % 2 THEN a.rank // 2 END
+  WHEN a.rank < least(a.own, o.own) THEN a.rank END AS pair FROM nth a LEFT JOIN (SELECT DISTINCT layer, n, own FROM nth) o ON o.layer = a.layer AND o.n = {block} - a.n),
+lone AS (SELECT piece, n, layer FROM met WHERE pair IS NULL),
+{size_class("lone", block, "rest")},
+bins AS (SELECT piece, layer, min(piece) OVER (PARTITION BY layer, k, pair) AS bin FROM met WHERE pair IS NOT NULL UNION ALL SELECT piece, layer, bin FROM rest),
+blocks AS (SELECT bin, layer, min(bin) OVER (PARTITION BY layer, nth) AS cluster FROM (SELECT bin, layer, (row_number() OVER (PARTITION BY layer ORDER BY bin) - 1) // {node_limit // block} AS nth FROM (SELECT DISTINCT bin, layer FROM bins)))
+SELECT reach_id, downstream_id, piece, cluster, b.layer AS stage FROM assigned JOIN bins b USING (piece) JOIN blocks USING (bin)"""
+
+
 def oracle_sql() -> dict[str, str]:
     with_pairs = lambda network, sql: f"WITH RECURSIVE {reaches(network)}, {PAIRS} {sql}"
     weights = f"SELECT dst, src, lag, {rounded('weight')} AS weight FROM kernel"
@@ -134,6 +173,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "kernel_block": with_pairs("chain32", "SELECT row_number() OVER (ORDER BY block_row, block_col) - 1 AS block, block_row, block_col, cells FROM (SELECT dst // 16 AS block_row, src // 16 AS block_col, count(*) AS cells FROM pairs GROUP BY ALL)"),
         "kernel_block_roundtrip": f"WITH RECURSIVE {kernel('linear_storage', 'chain32')} {weights}",
+        "kernel_block_dense": f"""WITH RECURSIVE {kernel("linear_storage", "chain32")}, sides AS (SELECT unnest(range(16)) AS i)
+SELECT b.r * 16 + x.i AS dst, b.c * 16 + y.i AS src, l.lag::INT AS lag, {rounded("coalesce(weight, 0)")} AS weight FROM (SELECT DISTINCT dst // 16 AS r, src // 16 AS c FROM kernel) b, sides x, sides y,
+  (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN kernel k ON k.dst = b.r * 16 + x.i AND k.src = b.c * 16 + y.i AND k.lag = l.lag""",
+        "kernel_given": f"""WITH RECURSIVE {kernel("linear_storage", "chain32")}, given AS (SELECT * FROM kernel WHERE weight > 1e-3)
+SELECT p.dst, p.src, l.lag::INT AS lag, {rounded("coalesce(weight, 0)")} AS weight FROM (SELECT DISTINCT dst, src FROM given) p, (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN given g ON g.dst = p.dst AND g.src = p.src AND g.lag = l.lag""",
         "kernel_dense": f"""WITH RECURSIVE {kernel("linear_storage")} SELECT a.reach_id AS dst, b.reach_id AS src, l.lag::INT AS lag, {rounded("coalesce(weight, 0)")} AS weight
 FROM reaches a, reaches b, (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN kernel k ON k.dst = a.reach_id AND k.src = b.reach_id AND k.lag = l.lag WHERE a.reach_id < 64 AND b.reach_id < 64""",
         "route_param_override": routed("linear_storage", tau="tau * 2"),
@@ -141,10 +185,18 @@ FROM reaches a, reaches b, (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN k
         "route_daily": f"""WITH RECURSIVE {kernel("linear_storage", "events")}, runoff AS (SELECT event_type AS batch, user_id + 1 AS reach_id, day(ts) - 1 AS t, sum(value)::DOUBLE AS value FROM events GROUP BY ALL)
 SELECT batch, reach_id, t, {rounded("value", 6, str(FLOW_UNIT))} AS value FROM ({conv(steps=30)})""",
         "param_sweep": " UNION ALL ".join(f"SELECT '{name}' AS param_set, * FROM ({routed('linear_storage', tau=f'tau * {by}::DOUBLE')})" for name, by in (("low", 0.9), ("high", 1.1))),
+        "param_gradient": "SELECT batch, reach_id, t, " + rounded("sum(CASE WHEN param_set = 'high' THEN value ELSE -value END) / 0.2", 2, str(FLOW_UNIT)) + " AS gradient FROM ("
+        + " UNION ALL ".join(f"SELECT '{name}' AS param_set, * FROM (WITH RECURSIVE {kernel('linear_storage', tau=f'tau * {by}::DOUBLE')}, {runoff()} {conv()})" for name, by in (("low", 0.9), ("high", 1.1)))
+        + ") GROUP BY ALL",
         "transfers": planned("SELECT * FROM moves"),
         "transfer_tables": planned("SELECT row_number() OVER (ORDER BY src_cluster, src_reach) - 1 AS transfer_id, * FROM moves"),
         "cluster_ranges": planned('SELECT cluster, (sum(n) OVER (ORDER BY cluster) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY cluster))::BIGINT AS "end" FROM (SELECT cluster, count(*) AS n FROM plan GROUP BY cluster)'),
         "stage_layers": planned("SELECT DISTINCT cluster, stage FROM plan"),
+        "segment_breakpoints": with_pairs("heap", f"{cuts(200)} SELECT reach_id FROM plan WHERE cut").replace(f"{PAIRS} ", f"{PAIRS}, "),
+        "block_pieces": with_pairs("heap", f"{cuts(16, 'reaches')} SELECT reach_id, piece FROM assigned").replace(f"{PAIRS} ", f"{PAIRS}, "),
+        "schedule": scheduled(200, 100),
+        "schedule_blocks": scheduled_blocks(16, 100),
+        "rapid_segmented": scheduled(400, 100),
         "route_staged": staged(" UNION ALL ".join(f"SELECT * FROM flow{k}" for k in range(32 // PIECE))),
         "staged_warm_start": staged(f"SELECT batch, reach_id + 1 AS reach_id, t, value FROM flow1 WHERE reach_id % {PIECE} = 0 AND reach_id < (SELECT max(reach_id) FROM reaches)"),
         "adjoint_dx": f"WITH RECURSIVE {kernel('linear_storage')}, {runoff()} {flow('SELECT batch, src AS reach_id, (t - lag)::INT AS t, sum(value * weight) AS value FROM runoff y JOIN kernel q ON q.dst = y.reach_id WHERE t - lag >= 0 GROUP BY ALL')}",

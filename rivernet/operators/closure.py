@@ -6,6 +6,8 @@ log2(d) rounds; each round's tables are checkpointed.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,10 +53,34 @@ def downstream_sum(reaches: DataFrame, value: str) -> DataFrame:
     return state.select("reach_id", F.col("acc").alias(value))
 
 
-def path_counts(pairs: DataFrame, include_self: bool = True) -> DataFrame:
+def upstream_fold(reaches: DataFrame, sums: Mapping[str, Column], along: Mapping[str, str] | None = None) -> DataFrame:
+    """reach_id, level and, for each of ``sums``, its total over all reaches upstream, itself included.
+
+    level is the number of steps from the farthest headwater.  A total named in
+    ``along`` grows by another one for every step that water takes.  Round k
+    hands on what lies within 2 ** k steps to the reach 2 ** k steps below, so
+    no pairs of reaches are made.
+    """
+    along = along or {}
+    state = cut(reaches.select("reach_id", F.col("downstream_id").alias("next"), *(c.alias(n) for n, c in sums.items()), F.lit(0).alias("level")))
+    step, most = 1, None
+    while not state.filter("next IS NOT NULL").isEmpty():
+        most = most or reaches.count()
+        if step > most:
+            raise NetworkError("the network has a cycle")
+        moved = [F.sum(F.col(n) + step * F.col(along[n]) if n in along else F.col(n)).alias(f"_{n}") for n in sums]
+        sent = state.filter("next IS NOT NULL").groupBy(F.col("next").alias("_to")).agg(*moved, (F.max("level") + step).alias("_level"))
+        ahead = state.select(F.col("reach_id").alias("next"), F.col("next").alias("_after"))
+        both = state.join(sent, F.col("reach_id") == F.col("_to"), "left").join(ahead, "next", "left")
+        state = cut(both.select("reach_id", F.col("_after").alias("next"), *(F.when(F.col("_to").isNull(), F.col(n)).otherwise(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums), F.greatest("level", F.coalesce("_level", F.lit(0))).alias("level")))
+        step *= 2
+    return state.drop("next")
+
+
+def path_counts(reaches: DataFrame, include_self: bool = True) -> DataFrame:
     """reach_id, n_paths, sum_lengths: reaches from here to the outlet, and d (d + 1) / 2 of them."""
-    d = F.sum(F.when(F.col("dist") > 0, 1).otherwise(int(include_self)))
-    return pairs.groupBy(F.col("src").alias("reach_id")).agg(d.cast("long").alias("n_paths")).withColumn("sum_lengths", F.expr("n_paths * (n_paths + 1) div 2"))
+    d = downstream_sum(reaches.select("reach_id", "downstream_id", F.lit(1).cast("long").alias("n_paths")), "n_paths")
+    return d.select("reach_id", (F.col("n_paths") - int(not include_self)).alias("n_paths")).withColumn("sum_lengths", F.expr("n_paths * (n_paths + 1) div 2"))
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, parts: int = 256) -> DataFrame:
@@ -70,14 +96,23 @@ def running_total(df: DataFrame, order: str, value: str, name: str, parts: int =
     return rows.withColumn("_in", inside).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
 
 
-def levels(pairs: DataFrame) -> DataFrame:
+def levels(reaches: DataFrame) -> DataFrame:
     """reach_id, level: steps from the farthest headwater."""
-    return pairs.groupBy(F.col("dst").alias("reach_id")).agg(F.max("dist").alias("level"))
+    return upstream_fold(reaches, {})
 
 
-def outlets(pairs: DataFrame) -> DataFrame:
+def outlets(reaches: DataFrame) -> DataFrame:
     """reach_id, outlet: the tree a reach belongs to is named by its last reach."""
-    return pairs.groupBy(F.col("src").alias("reach_id")).agg(F.max_by("dst", "dist").alias("outlet"))
+    state = cut(reaches.select("reach_id", F.coalesce("downstream_id", "reach_id").alias("outlet"), F.col("downstream_id").isNotNull().alias("moving")))
+    rounds, most = 1, None
+    while not state.filter("moving").isEmpty():
+        most = most or reaches.count()
+        if rounds > 2 * most:
+            raise NetworkError("the network has a cycle")
+        ahead = state.select(F.col("reach_id").alias("outlet"), F.col("outlet").alias("_next"))
+        state = cut(state.join(ahead, "outlet").select("reach_id", F.col("_next").alias("outlet"), (F.col("_next") != F.col("outlet")).alias("moving")))
+        rounds *= 2
+    return state.drop("moving")
 
 
 def ancestors(pairs: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -86,6 +121,6 @@ def ancestors(pairs: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return up if of is None else up.join(of.select(F.col("reach_id").alias("dst")), "dst", "left_semi")
 
 
-def upstream_counts(pairs: DataFrame) -> DataFrame:
+def upstream_counts(reaches: DataFrame) -> DataFrame:
     """reach_id, n_upstream: reaches that drain through here, itself included."""
-    return pairs.groupBy(F.col("dst").alias("reach_id")).agg(F.count("*").alias("n_upstream"))
+    return upstream_fold(reaches, {"n_upstream": F.lit(1).cast("long")}).select("reach_id", "n_upstream")

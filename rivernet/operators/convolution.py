@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import long_kernel
+from .closure import upstream_fold
 
 STRATEGIES = ("long", "packed")
 PACKED_CELLS = 1 << 20
@@ -28,8 +28,8 @@ def convolve(runoff: DataFrame, kernel: DataFrame, steps: int, strategy: str = "
 
 def _long(runoff: DataFrame, kernel: DataFrame, steps: int) -> DataFrame:
     x = runoff.select("batch", F.col("reach_id").alias("src"), F.col("t").alias("t_in"), "value")
-    at = F.col("t_in") + F.col("lag")
-    flow = x.join(long_kernel(kernel), "src").select("batch", F.col("dst").alias("reach_id"), at.alias("t"), (F.col("value") * F.col("weight")).alias("value"))
+    both = x.join(kernel.select("src", "dst", "weights"), "src").select("batch", "dst", "t_in", "value", F.posexplode("weights").alias("lag", "weight"))
+    flow = both.select("batch", F.col("dst").alias("reach_id"), (F.col("t_in") + F.col("lag")).alias("t"), (F.col("value") * F.col("weight")).alias("value"))
     return flow.filter((F.col("t") >= 0) & (F.col("t") < steps)).groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
 
 
@@ -74,17 +74,20 @@ def densify(flow: DataFrame, reaches: DataFrame, batches: list, steps: int) -> D
 def adjoint_runoff(gradient: DataFrame, kernel: DataFrame) -> DataFrame:
     """dx[src, t - lag] += weight * dy[dst, t]."""
     dy = gradient.select("batch", F.col("reach_id").alias("dst"), F.col("t").alias("t_out"), "value")
-    dx = dy.join(long_kernel(kernel), "dst").select("batch", F.col("src").alias("reach_id"), (F.col("t_out") - F.col("lag")).alias("t"), (F.col("value") * F.col("weight")).alias("value"))
+    both = dy.join(kernel.select("src", "dst", "weights"), "dst").select("batch", "src", "t_out", "value", F.posexplode("weights").alias("lag", "weight"))
+    dx = both.select("batch", F.col("src").alias("reach_id"), (F.col("t_out") - F.col("lag")).alias("t"), (F.col("value") * F.col("weight")).alias("value"))
     return dx.filter("t >= 0").groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
 
 
 def adjoint_kernel(gradient: DataFrame, runoff: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
     """dst, src, lag, value: sum over batches and steps of dy[dst, t] * x[src, t - lag]."""
     x = runoff.select("batch", F.col("reach_id").alias("src"), "t", F.col("value").alias("x"))
-    x = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("t", F.col("t") + F.col("lag"))
-    dy = gradient.select("batch", F.col("reach_id").alias("dst"), "t", F.col("value").alias("dy"))
-    found = x.join(pairs.select("dst", "src"), "src").join(dy, ["batch", "dst", "t"])
-    return found.groupBy("dst", "src", "lag").agg(F.sum(F.col("x") * F.col("dy")).alias("value"))
+    lags = F.explode(F.sequence(F.lit(0), F.lit(window - 1)))
+    # What each step's runoff can meet: the gradient's next steps as one array.
+    dy = gradient.select("batch", F.col("reach_id").alias("dst"), "t", F.col("value").alias("dy")).withColumn("lag", lags)
+    ahead = dy.groupBy("batch", "dst", (F.col("t") - F.col("lag")).alias("t")).agg(F.collect_list(F.struct("lag", "dy")).alias("ahead"))
+    found = x.join(pairs.select("dst", "src"), "src").join(ahead, ["batch", "dst", "t"]).select("dst", "src", "x", F.explode("ahead").alias("a"))
+    return found.groupBy("dst", "src", F.col("a.lag").alias("lag")).agg(F.sum(F.col("x") * F.col("a.dy")).alias("value"))
 
 
 def adjoint_closure(gradient: DataFrame, reaches: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ def adjoint_closure(gradient: DataFrame, reaches: DataFrame) -> DataFrame:
     return plus.unionByName(minus).groupBy("reach_id").agg(F.sum("value").alias("value"))
 
 
-def adjoint_downstream_sum(gradient: DataFrame, pairs: DataFrame) -> DataFrame:
-    """reach_id, value: the sum over all reaches upstream, itself included (flow accumulation)."""
-    g = gradient.select(F.col("reach_id").alias("src"), "value")
-    return pairs.join(g, "src").groupBy(F.col("dst").alias("reach_id")).agg(F.sum("value").alias("value"))
+def adjoint_downstream_sum(gradient: DataFrame, reaches: DataFrame) -> DataFrame:
+    """reach_id, value: the sum over all reaches upstream, itself included (flow accumulation); no row counts as 0."""
+    given = reaches.select("reach_id", "downstream_id").join(gradient.select("reach_id", "value"), "reach_id", "left")
+    return upstream_fold(given, {"value": F.coalesce("value", F.lit(0.0))}).select("reach_id", "value")

@@ -76,6 +76,23 @@ def from_blocks(blocks: DataFrame, block: int, height: int | None = None, width:
     return drop_zero_rows(kernel) if drop_zeros else kernel
 
 
+def from_responses(responses: DataFrame, window: int) -> DataFrame:
+    """dst, src, weights of given responses(dst, src, lag, weight): lags without a row are 0, rows given twice add up."""
+    rows = responses.filter(F.col("lag").between(0, window - 1)).groupBy("dst", "src", "lag").agg(F.sum("weight").alias("weight"))
+    at = rows.groupBy("dst", "src").agg(F.map_from_entries(F.collect_list(F.struct("lag", "weight"))).alias("at"))
+    lags = F.sequence(F.lit(0), F.lit(window - 1))
+    return at.select("dst", "src", F.transform(lags, lambda lag: F.coalesce(F.try_element_at("at", lag), F.lit(0.0))).alias("weights"))
+
+
+def blocks_to_dense(blocks: DataFrame, block: int, window: int, height: int | None = None, width: int | None = None) -> DataFrame:
+    """dst, src, lag, weight of every cell of the blocks that hold anything, inside ``height`` x ``width``."""
+    side = F.sequence(F.lit(0), F.lit(block - 1))
+    cells = blocks.select("block_row", "block_col").distinct().withColumn("row", F.explode(side)).withColumn("col", F.explode(side))
+    held = cells.join(blocks, ["block_row", "block_col", "row", "col"], "left")
+    weights = F.coalesce("weights", F.array_repeat(F.lit(0.0), window))
+    return long_kernel(from_blocks(held.withColumn("weights", weights), block, height, width, drop_zeros=False))
+
+
 def to_dense(kernel: DataFrame, of: DataFrame, window: int) -> DataFrame:
     """dst, src, lag, weight of every cell among the reaches of the small table ``of(reach_id)``; weights given twice add up."""
     ids = of.select("reach_id").distinct()

@@ -26,14 +26,17 @@ class Router:
     def __post_init__(self):
         sampling.check_mode(self.mode)
 
-    def kernel(self, network: RiverNetwork, targets: DataFrame | None = None) -> DataFrame:
-        """With ``targets(reach_id)`` only rows that end there: the closure is pruned to what drains to them."""
-        pairs = closure(network.reaches, network.include_self)
+    def kernel(self, network: RiverNetwork, targets: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+        """With ``targets(reach_id)`` only rows that end there: the closure is pruned to what drains to them.
+
+        ``pairs`` is the network's closure where it is known.
+        """
+        pairs = closure(network.reaches, network.include_self) if pairs is None else pairs
         if targets is not None:
             pairs = pairs.join(targets.select(F.col("reach_id").alias("dst")).distinct(), "dst", "left_semi")
         return build_kernel(network, self.window, self.substeps, self.mode, pairs)
 
-    def route(self, runoff: DataFrame, network: RiverNetwork, steps: int, params: DataFrame | None = None, targets: DataFrame | None = None, check: bool = True) -> DataFrame:
+    def route(self, runoff: DataFrame, network: RiverNetwork, steps: int, params: DataFrame | None = None, targets: DataFrame | None = None, check: bool = True, pairs: DataFrame | None = None) -> DataFrame:
         """batch, reach_id, t, value: discharge for 0 <= t < steps.
 
         ``params`` replaces the network's parameters.  Where a reach does not
@@ -42,7 +45,7 @@ class Router:
         if check:
             check_runoff(runoff, network.reaches)
         network = network if params is None else network.with_params(params)
-        flow = convolve(runoff, self.kernel(network, targets), steps, self.strategy)
+        flow = convolve(runoff, self.kernel(network, targets, pairs), steps, self.strategy)
         if network.include_self:
             return flow
         own = runoff.filter(F.col("t").between(0, steps - 1)).select("batch", "reach_id", "t", "value")
@@ -52,15 +55,20 @@ class Router:
 
 
 def parameter_sweep(router: Router, runoff: DataFrame, network: RiverNetwork, param: str, factors: dict[str, float], steps: int) -> DataFrame:
-    """param_set, batch, reach_id, t, value: the same runoff routed with scaled copies of one parameter, as one job.
-
-    Central differences of two sets approximate a parameter's gradient.
-    """
+    """param_set, batch, reach_id, t, value: the same runoff routed with scaled copies of one parameter, as one job over one closure."""
     out = []
+    pairs = closure(network.reaches, network.include_self)
     for name, factor in factors.items():
         scaled = RiverNetwork(network.reaches.withColumn(param, F.col(param) * factor), network.irf, network.include_self)
-        out.append(router.route(runoff, scaled, steps, check=False).select(F.lit(name).alias("param_set"), "batch", "reach_id", "t", "value"))
+        out.append(router.route(runoff, scaled, steps, check=False, pairs=pairs).select(F.lit(name).alias("param_set"), "batch", "reach_id", "t", "value"))
     first, *rest = out
     for df in rest:
         first = first.unionByName(df)
     return first
+
+
+def parameter_gradient(router: Router, runoff: DataFrame, network: RiverNetwork, param: str, steps: int, step: float = 0.01) -> DataFrame:
+    """batch, reach_id, t, gradient: how discharge changes with the factor of one parameter at 1, by a central difference."""
+    sweep = parameter_sweep(router, runoff, network, param, {"low": 1 - step, "high": 1 + step}, steps)
+    signed = F.when(F.col("param_set") == "high", F.col("value")).otherwise(-F.col("value"))
+    return sweep.groupBy("batch", "reach_id", "t").agg((F.sum(signed) / (2 * step)).alias("gradient"))

@@ -1,129 +1,75 @@
 """Cutting a network into clusters that are routed one after the other.
 
-Trees are folded by parts of fewer than ``PART_REACHES`` reaches, band by band
-downstream; the states at the parts' ends are handed on.  Packing works on one row a piece on the driver,
-as pieces are made large enough for there to be few.
+What a piece is follows from sums over what lies upstream of each reach, and
+which cluster it goes to from ranks within its layer, so that any network is cut
+by joins, grouped sums and windows: neither the closure of the whole network nor
+a tree or the pieces in one place are needed.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from .closure import closure, levels, outlets, upstream_counts
+from .closure import downstream_sum, levels, outlets, upstream_fold
 
-MOST_PIECES = 1_000_000
-PART_REACHES = 10_000
+MEASURES = ("paths", "reaches")
+RANGES = 256
 
 
-def tree_order(reaches: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """reach_id, downstream_id, outlet, level: folds visit a tree by (level, reach_id)."""
-    pairs = closure(reaches) if pairs is None else pairs
-    return reaches.select("reach_id", "downstream_id").join(levels(pairs), "reach_id").join(outlets(pairs), "reach_id")
+def chain_length(limit: int, measure: str) -> int:
+    """Reaches of the longest chain within ``limit``: d (d + 1) / 2 is the length of all paths in one of d."""
+    return max(1, (math.isqrt(8 * limit + 1) - 1) // 2 if measure == "paths" else limit)
 
 
-def tree_parts(reaches: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """reach_id, downstream_id, level, band, part: connected parts of fewer than ``size`` reaches, or of one.
+def cut_plan(reaches: DataFrame, limit: int, measure: str = "paths") -> DataFrame:
+    """reach_id, downstream_id, cut: whether a reach's outflow is cut, so that no piece's measure exceeds ``limit``.
 
-    A band is the upstream count over ``size``.  Above band 0 no two branches
-    of one band can meet within it, so its parts are chains.
+    The measure is the length of all paths within a piece ("paths"), or its
+    reaches.  Parts of the network whose whole upstream is within the limit stay
+    together.  Of the reaches below, each takes on the one above it that drains
+    most (the lower id, if several do); the trunks that this makes are cut into
+    chains of the longest length allowed, counted from their lower end.  A way
+    to the outlet changes trunks log2(reaches) times at most.
     """
-    bands = cut(upstream_counts(pairs).select("reach_id", F.expr(f"cast(n_upstream div {size} as long)").alias("band")))
-    same = pairs.join(bands.select(F.col("reach_id").alias("src"), "band"), "src").join(bands.select(F.col("reach_id").alias("dst"), F.col("band").alias("to")), "dst").filter("band = to")
-    part = same.groupBy(F.col("src").alias("reach_id"), "band").agg(F.max_by("dst", "dist").alias("part"))
-    return reaches.select("reach_id", "downstream_id").join(levels(pairs), "reach_id").join(part, "reach_id")
-
-
-def _fold(tree: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """reach_id, downstream_id, level, paths, lengths, total, cut of one part's reaches, after those that flow in.
-
-    A reach carries [paths, their length, length of all paths so far].  Rows
-    with paths are reaches above the part and keep their state.
-    """
-    tree = tree.sort_values(["level", "reach_id"])
-    known = tree.paths.notna()
-    state = {r: [1, 1, 0] for r in tree.reach_id}
-    for r in tree[known].itertuples():
-        state[r.reach_id] = [int(r.paths), int(r.lengths), int(r.total)]
-    cuts = set()
-    for u, v in zip(tree.reach_id, tree.downstream_id, strict=True):
-        if pd.isna(v) or int(v) not in state:
-            continue
-        up, down = state[u], state[int(v)]
-        if down[2] + up[2] + up[1] > limit:
-            cuts.add(u)
-            down[:] = [1, 1, 0]
-        else:
-            down[2] += up[2] + up[1]
-            down[0] += up[0]
-            down[1] += up[1] + up[0]
-    own = [[r, *state[r], r in cuts] for r in tree.reach_id]
-    out = pd.DataFrame(own, columns=["reach_id", "paths", "lengths", "total", "cut"])
-    return out.astype({c: "int64" for c in ("reach_id", "paths", "lengths", "total")} | {"cut": "bool"})
-
-
-def breakpoints(reaches: DataFrame, path_limit: int, pairs: DataFrame | None = None) -> DataFrame:
-    """reach_id of every reach whose outflow is cut, so that no piece's paths grow longer in all than ``path_limit``."""
-    pairs = closure(reaches) if pairs is None else pairs
-    parts = cut(tree_parts(reaches, pairs, PART_REACHES))
-    down = parts.select(F.col("reach_id").alias("downstream_id"), F.col("part").alias("to"), F.col("band").alias("to_band"))
-    edges = cut(parts.join(down, "downstream_id").filter("part <> to").select("reach_id", "downstream_id", "level", "to", "to_band"))
-    state = "paths long, lengths long, total long"
-    none = [F.lit(None).cast("long").alias(c) for c in ("paths", "lengths", "total")]
-
-    def fold(tree: pd.DataFrame) -> pd.DataFrame:
-        return _fold(tree, path_limit)
-
-    done = None
-    for (band,) in parts.select("band").distinct().orderBy("band").collect():  # at most the largest tree over PART_REACHES
-        rows = parts.filter(F.col("band") == band).select("part", "reach_id", "downstream_id", "level", *none)
-        if done is not None:
-            above = done.select("reach_id", "paths", "lengths", "total").join(edges.filter(F.col("to_band") == band), "reach_id")
-            rows = rows.unionByName(above.select(F.col("to").alias("part"), "reach_id", "downstream_id", "level", "paths", "lengths", "total"))
-        # A reach that flows in comes once more: with its cut, if its outflow is cut.
-        new = cut(rows.groupBy("part").applyInPandas(fold, f"reach_id long, {state}, cut boolean"))
-        done = new if done is None else done.unionByName(new)
-    if done is None:
-        return reaches.select(F.col("reach_id").cast("long")).limit(0)
-    return done.filter("cut").select("reach_id")
-
-
-def block_breakpoints(reaches: DataFrame, size: int, pairs: DataFrame | None = None) -> DataFrame:
-    """reach_id, piece: pieces of at most ``size`` reaches, each named by its last reach.
-
-    Going downstream, what has gathered above a reach becomes a piece as soon as
-    it holds ``size`` reaches; where a confluence brings more than that together,
-    it is split into runs of ``size`` in visiting order.
-    """
-
-    def fold(tree: pd.DataFrame) -> pd.DataFrame:
-        tree = tree.sort_values(["level", "reach_id"])
-        order = {r: i for i, r in enumerate(tree.reach_id)}
-        waiting, piece = defaultdict(list), {}
-        for u, v in zip(tree.reach_id, tree.downstream_id, strict=True):
-            members = sorted([*waiting.pop(u, []), u], key=order.__getitem__)
-            while len(members) >= size:
-                run, members = members[:size], members[size:]
-                piece.update(dict.fromkeys(run, run[-1]))
-            if pd.isna(v):
-                piece.update(dict.fromkeys(members, u))
-            else:
-                waiting[int(v)].extend(members)
-        return pd.DataFrame({"reach_id": list(piece), "piece": list(piece.values())}, dtype="int64")
-
-    return tree_order(reaches, pairs).groupBy("outlet").applyInPandas(fold, "reach_id long, piece long")
+    if measure not in MEASURES:
+        raise NotImplementedError(f"measure {measure!r}; there are {MEASURES}")
+    one = F.lit(1).cast("long")
+    stats = upstream_fold(reaches, {"n": one, "length": one}, {"length": "n"})
+    of = reaches.select("reach_id", "downstream_id").join(stats.select("reach_id", F.col("length" if measure == "paths" else "n").alias("size")), "reach_id")
+    of = cut(of.withColumn("large", F.col("size") > limit))
+    heaviest = of.filter("large AND downstream_id IS NOT NULL").groupBy(F.col("downstream_id").alias("reach_id")).agg(F.max_by("reach_id", F.struct("size", -F.col("reach_id"))).alias("above"))
+    trunk = of.join(heaviest.select(F.col("above").alias("reach_id"), F.lit(True).alias("goes_on")), "reach_id", "left")
+    trunk = cut(trunk.withColumn("goes_on", F.col("goes_on").isNotNull()))
+    steps = trunk.filter("large").select("reach_id", F.when(F.col("goes_on"), F.col("downstream_id")).alias("downstream_id"), F.col("goes_on").cast("long").alias("place"))
+    place = downstream_sum(steps, "place")  # steps to the trunk's lower end
+    d = chain_length(limit, measure)
+    ends = place.select("reach_id", (F.col("place") % d == 0).alias("at_end"))
+    down = of.select(F.col("reach_id").alias("downstream_id"), F.col("large").alias("into_large"))
+    rows = trunk.join(ends, "reach_id", "left").join(down, "downstream_id", "left")
+    is_cut = F.when(F.col("large"), ~F.col("goes_on") | F.col("at_end")).otherwise(F.col("into_large"))
+    return rows.select("reach_id", "downstream_id", (F.col("downstream_id").isNotNull() & is_cut).alias("cut"))
+
+
+def breakpoints(reaches: DataFrame, path_limit: int) -> DataFrame:
+    """reach_id of every reach whose outflow is cut, so that the paths of no piece are longer in all than ``path_limit``."""
+    return cut_plan(reaches, path_limit).filter("cut").select("reach_id")
+
+
+def block_breakpoints(reaches: DataFrame, size: int) -> DataFrame:
+    """reach_id, piece: connected pieces of at most ``size`` reaches, each named by its last reach."""
+    return pieces_of(reaches, cut_plan(reaches, size, "reaches").filter("cut")).select("reach_id", "piece")
 
 
 def pieces_of(reaches: DataFrame, cuts: DataFrame) -> DataFrame:
     """reach_id, downstream_id, piece: after cutting the outflow of ``cuts``; a piece is named by its last reach."""
     marked = reaches.select("reach_id", "downstream_id").join(cuts.select("reach_id", F.lit(True).alias("cut")), "reach_id", "left")
     inner = marked.select("reach_id", F.when(F.col("cut").isNull(), F.col("downstream_id")).alias("downstream_id"))
-    return marked.drop("cut").join(outlets(closure(inner)).withColumnRenamed("outlet", "piece"), "reach_id")
+    return marked.drop("cut").join(outlets(inner).withColumnRenamed("outlet", "piece"), "reach_id")
 
 
 def transfers(assigned: DataFrame, cluster: str) -> DataFrame:
@@ -167,59 +113,84 @@ def stages(moves: DataFrame, nodes: DataFrame) -> DataFrame:
         state = cut(state.join(later, "cluster", "left").select("cluster", F.coalesce("later", "stage").alias("stage")))
 
 
-def pack_pieces(sizes: dict[int, int], layer: dict[int, int], linked: set[int], limit: int) -> dict[int, int]:
-    """piece -> cluster.  Layer by layer, heaviest first, a cluster is filled until the next piece would pass ``limit``.
+def ranked(rows: DataFrame, keys: list[str], id_: str, name: str = "rank") -> DataFrame:
+    """Adds the place of each row by ``id_`` among those of the same ``keys``, from 0.
 
-    A piece without links goes to the lightest cluster it leaves under the limit, else to one of its own.
+    Rows are counted within ranges of the id, then over the ranges: no task holds a whole group.
+    """
+    low, high = rows.agg(F.min(id_), F.max(id_)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
+    rows = rows.withColumn("_part", F.expr(f"({id_} - {low or 0}L) div {width}L"))
+    counts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = rows.withColumn("_in", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(id_)))
+    return inside.join(base, [*keys, "_part"]).withColumn(name, F.col("_base") + F.col("_in") - 1).drop("_part", "_in", "_base")
+
+
+def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds ``name``, a number for each (small) group of ``keys``: the lowest piece in it."""
+    return rows.withColumn(name, F.min("piece").over(W.partitionBy(*keys)))
+
+
+def by_complement(pieces: DataFrame, limit: int) -> DataFrame:
+    """piece, n, layer, bin: pieces of a layer that fill ``limit`` exactly two by two (k and limit - k reaches) share a bin, others have one each."""
+    small = F.least("n", limit - F.col("n"))
+    rows = cut(ranked(pieces.withColumn("_k", F.when(F.col("n") < limit, small)), ["layer", "n"], "piece"))
+    counts = rows.groupBy("layer", "n").agg(F.count("*").alias("_own"))
+    other = counts.select("layer", (limit - F.col("n")).alias("n"), F.col("_own").alias("_other"))
+    rows = rows.join(counts, ["layer", "n"]).join(other, ["layer", "n"], "left")
+    half = 2 * F.col("n") == limit
+    met = F.when(half, F.col("rank") < F.col("_own") - F.col("_own") % 2).otherwise(F.col("rank") < F.least("_own", "_other"))
+    pair = F.when(F.col("_k").isNotNull() & met, F.when(half, F.expr("rank div 2")).otherwise(F.col("rank")))
+    rows = rows.withColumns({"_pair": pair, "_lone": F.when(pair.isNull(), F.col("piece"))})
+    return _named(rows, ["layer", "_k", "_pair", "_lone"], "bin").select("piece", "n", "layer", "bin")
+
+
+def by_size_class(pieces: DataFrame, limit: int) -> DataFrame:
+    """piece, n, layer, bin: of the pieces of a layer with limit / 2 ** (j + 1) < n <= limit / 2 ** j each 2 ** j share a bin.
+
+    So a bin holds at most ``limit`` reaches and, but for the last of a class,
+    over half of it.  A larger piece has a bin of its own.
     """
-    out: dict[int, int] = {}
-    load: list[int] = []
-    by_layer: dict[int, list[int]] = defaultdict(list)
-    for p in linked:
-        by_layer[layer[p]].append(p)
-    heaviest = lambda ps: sorted(ps, key=lambda p: (-sizes[p], p))
-    for k in sorted(by_layer):
-        load.append(0)
-        fresh = True
-        for p in heaviest(by_layer[k]):
-            if not fresh and load[-1] + sizes[p] > limit:
-                load.append(0)
-            out[p], fresh = len(load) - 1, False
-            load[-1] += sizes[p]
-    for p in heaviest(set(sizes) - linked):
-        best = min(range(len(load)), key=lambda i: (load[i], i), default=None)
-        if best is None or load[best] + sizes[p] >= limit:
-            load.append(0)
-            best = len(load) - 1
-        out[p] = best
-        load[best] += sizes[p]
-    return out
+    j = F.greatest(F.floor(F.log2(F.lit(float(limit)) / F.col("n") + 1e-9)), F.lit(0)).cast("int")
+    rows = ranked(pieces.withColumn("_j", j), ["layer", "_j"], "piece")
+    rows = rows.withColumn("_nth", F.expr("shiftright(rank, _j)"))
+    return _named(rows, ["layer", "_j", "_nth"], "bin").select("piece", "n", "layer", "bin")
+
+
+def packed_blocks(pieces: DataFrame, block: int) -> DataFrame:
+    """piece, n, layer, bin of at most ``block`` reaches: complements first, what is left by size class."""
+    first = cut(by_complement(pieces, block))
+    several = first.groupBy("bin").agg(F.count("*").alias("m")).filter("m > 1").select("bin")
+    rest = by_size_class(first.join(several, "bin", "left_anti").select("piece", "n", "layer"), block)
+    return first.join(several, "bin", "left_semi").select("piece", "n", "layer", "bin").unionByName(rest)
 
 
 def schedule(reaches: DataFrame, path_limit: int = 100_000, node_limit: int = 10_000, strategy: str = "paths", block: int = 16) -> DataFrame:
     """reach_id, downstream_id, piece, cluster, stage.
 
     ``strategy="paths"`` cuts by total path length, ``"blocks"`` into pieces of
-    at most ``block`` reaches.  Clusters hold pieces of one layer of at most
-    ``node_limit`` reaches in all; a cluster's stage is its pieces' layer.
+    at most ``block`` reaches, which are packed into blocks that count as full.
+    A piece's layer is the number of pieces on the longest way to it.  Clusters
+    hold pieces of one layer, of at most ``node_limit`` reaches in all (a larger
+    piece has one of its own), and are named by their lowest piece; the stage is
+    the layer.
     """
-    pairs = closure(reaches)
-    if strategy == "paths":
-        assigned = pieces_of(reaches, cut(breakpoints(reaches, path_limit, pairs)))
-    elif strategy == "blocks":
-        assigned = reaches.select("reach_id", "downstream_id").join(block_breakpoints(reaches, block, pairs), "reach_id")
-    else:
+    if strategy not in ("paths", "blocks"):
         raise NotImplementedError(f"strategy {strategy!r}")
-    assigned = cut(assigned)
-    moves = transfers(assigned, "piece").select("src_cluster", "dst_cluster").distinct()
-    sizes = assigned.groupBy("piece").agg(F.count("*").alias("n"))
-    layer = stages(moves, sizes.select(F.col("piece").alias("cluster"))).withColumnRenamed("cluster", "piece")
-    linked = moves.select(F.col("src_cluster").alias("piece")).union(moves.select("dst_cluster")).distinct().withColumn("linked", F.lit(True))
-    rows = sizes.join(layer, "piece").join(linked, "piece", "left").limit(MOST_PIECES + 1).collect()
-    if len(rows) > MOST_PIECES:
-        raise ValueError(f"more than {MOST_PIECES:,} pieces: raise path_limit")
-    packed = pack_pieces({r.piece: r.n for r in rows}, {r.piece: r.stage for r in rows}, {r.piece for r in rows if r.linked}, node_limit)
-    places = reaches.sparkSession.createDataFrame(list(packed.items()), "piece long, cluster int")
-    clusters = assigned.join(places, "piece")
-    by_cluster = stages(transfers(clusters, "cluster"), places.select("cluster").distinct())
-    return clusters.join(by_cluster, "cluster").select("reach_id", "downstream_id", "piece", "cluster", "stage")
+    plan = cut_plan(reaches, path_limit) if strategy == "paths" else cut_plan(reaches, block, "reaches")
+    assigned = cut(pieces_of(reaches, plan.filter("cut")))
+    last = assigned.filter("reach_id = piece").select("piece", "downstream_id")
+    of = assigned.select(F.col("reach_id").alias("downstream_id"), F.col("piece").alias("_down"))
+    links = last.join(of, "downstream_id", "left").select(F.col("piece").alias("reach_id"), F.col("_down").alias("downstream_id"))
+    layer = levels(cut(links)).select(F.col("reach_id").alias("piece"), F.col("level").alias("layer"))
+    pieces = cut(assigned.groupBy("piece").agg(F.count("*").alias("n")).join(layer, "piece"))
+    if strategy == "blocks":
+        bins = cut(packed_blocks(pieces, block))
+        blocks = bins.groupBy("bin", "layer").agg(F.min("piece").alias("piece"))
+        nth = F.expr(f"rank div {max(1, node_limit // block)}L")
+        whole = _named(ranked(blocks, ["layer"], "piece").withColumn("_nth", nth), ["layer", "_nth"], "cluster").select("bin", "cluster")
+        places = bins.join(whole, "bin").select("piece", "cluster", F.col("layer").alias("stage"))
+    else:
+        places = by_size_class(pieces, node_limit).select("piece", F.col("bin").alias("cluster"), F.col("layer").alias("stage"))
+    return assigned.join(places, "piece").select("reach_id", "downstream_id", "piece", "cluster", "stage")

@@ -1,18 +1,47 @@
-"""Staged routing: clusters of one stage are routed at once, their outflow at cut edges is runoff of later stages."""
+"""Staged routing: clusters of one stage are routed at once, their outflow at cut edges is runoff of later stages.
+
+Kernel, runoff and boundary lie in the shared checkpoint folder in one part for
+each stage, so that a stage reads its own rows only.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, ensure_checkpoint_dir
+from .convolution import convolve
 from .network import RiverNetwork
 from .routing import Router
 from .segmentation import transfers
 
+SERIES = ("batch", "reach_id", "t", "value")
+
+
+class StageStore:
+    """Tables in parts by ``stage``."""
+
+    def __init__(self, like: DataFrame, n_stages: int):
+        self.spark, self.n_stages = like.sparkSession, max(1, n_stages)
+        self.folder = f"{ensure_checkpoint_dir(self.spark)}/staged-{uuid.uuid4().hex}"
+        self.schemas: dict[str, str] = {}
+
+    def put(self, name: str, rows: DataFrame, key: str) -> None:
+        """Adds ``rows``; those of a stage are spread over several files."""
+        self.schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.n_stages)
+        dealt = rows.repartition("stage", F.pmod(F.xxhash64(key), F.lit(spread)))
+        dealt.write.mode("append").partitionBy("stage").parquet(f"{self.folder}/{name}")
+
+    def get(self, name: str, stage: int | None = None, after: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}")
+        rows = rows if stage is None else rows.filter(F.col("stage") == stage)
+        return rows if after is None else rows.filter(F.col("stage") > after)
+
 
 @dataclass(frozen=True)
 class StagedRouter:
@@ -32,24 +61,33 @@ class StagedRouter:
         table or a function that gives a stage's.  The boundary holds what has
         come to later stages so far, as runoff of the reaches it enters.
         """
-        moves = transfers(plan, "cluster").select("src_reach", "dst_reach")
-        inner = self._inner(network, plan)
-        kernel = cut(self.router.kernel(inner))
         last = plan.agg(F.max("stage")).first()[0]
-        for k in range(first, -1 if last is None else last + 1):
-            here = plan.filter(F.col("stage") == k).select("reach_id")
-            own = (runoff(k) if callable(runoff) else runoff).select("batch", "reach_id", "t", "value").join(here, "reach_id", "left_semi").select("batch", "reach_id", "t", "value")
-            if boundary is not None:
-                own = own.unionByName(boundary.join(here, "reach_id", "left_semi").select("batch", "reach_id", "t", "value")).groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
-            flow = cut(self._route(own, inner, kernel, here, steps))
-            sent = flow.join(moves, F.col("reach_id") == F.col("src_reach")).select("batch", F.col("dst_reach").alias("reach_id"), "t", "value")
-            boundary = cut(sent if boundary is None else boundary.unionByName(sent))
-            yield k, flow, boundary
-
-    def _route(self, own: DataFrame, inner: RiverNetwork, kernel: DataFrame, here: DataFrame, steps: int) -> DataFrame:
-        from .convolution import convolve
-
-        flow = convolve(own, kernel.join(here.withColumnRenamed("reach_id", "dst"), "dst", "left_semi"), steps, self.router.strategy)
+        if last is None:
+            return
+        of = plan.select("reach_id", "stage")
+        moves = transfers(plan, "cluster").select("src_reach", "dst_reach").join(of.withColumnRenamed("reach_id", "dst_reach"), "dst_reach")
+        moves = cut(moves.join(of.select(F.col("reach_id").alias("src_reach"), F.col("stage").alias("src_stage")), "src_reach"))
+        inner = self._inner(network, plan)
+        store = StageStore(plan, last + 1)
+        store.put("kernel", self.router.kernel(inner).join(of.withColumnRenamed("reach_id", "dst"), "dst").filter(F.col("stage") >= first), "src")
+        lazily = callable(runoff)
+        given = (boundary if lazily else runoff) if boundary is None or lazily else runoff.select(*SERIES).unionByName(boundary.select(*SERIES))
+        if given is None:
+            given = runoff(first).limit(0)
+        store.put("runoff", given.select(*SERIES).join(of, "reach_id").filter(F.col("stage") >= first).select(*SERIES, "stage"), "reach_id")
+        store.put("boundary", store.get("runoff").limit(0), "reach_id")
+        for k in range(first, last + 1):
+            own = store.get("runoff", k).drop("stage").unionByName(store.get("boundary", k).drop("stage"))
+            if lazily:
+                own = own.unionByName(runoff(k).select(*SERIES).join(plan.filter(F.col("stage") == k).select("reach_id"), "reach_id", "left_semi").select(*SERIES))
+            own = own.groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
+            flow = cut(self._route(own, inner, store.get("kernel", k).drop("stage"), steps))
+            out = moves.filter(F.col("src_stage") == k)
+            store.put("boundary", flow.join(out, F.col("reach_id") == F.col("src_reach")).select("batch", F.col("dst_reach").alias("reach_id"), "t", "value", "stage"), "reach_id")
+            yield k, flow, store.get("boundary", after=k).drop("stage")
+
+    def _route(self, own: DataFrame, inner: RiverNetwork, kernel: DataFrame, steps: int) -> DataFrame:
+        flow = convolve(own, kernel, steps, self.router.strategy)
         if inner.include_self:
             return flow
         return flow.unionByName(own.filter(F.col("t").between(0, steps - 1))).groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
@@ -59,13 +97,14 @@ class StagedRouter:
         out = None
         for _, flow, _ in self.stages(runoff, network, plan, steps):
             out = flow if out is None else out.unionByName(flow)
-        return runoff.select("batch", "reach_id", "t", "value").limit(0) if out is None else out
+        return runoff.select(*SERIES).limit(0) if out is None else out
 
     def boundary_before(self, runoff: DataFrame, network: RiverNetwork, plan: DataFrame, steps: int, stage: int) -> DataFrame:
         """What comes to ``stage`` and later ones from those before it: a start for ``stages(..., first=stage)``."""
-        out = runoff.select("batch", "reach_id", "t", "value").limit(0)
+        out = runoff.select(*SERIES).limit(0)
         for k, _, boundary in self.stages(runoff, network, plan, steps):
-            if k >= stage:
+            if k < stage:
+                out = boundary
+            if k + 1 >= stage:
                 break
-            out = boundary
         return out.join(plan.filter(F.col("stage") >= stage).select("reach_id"), "reach_id", "left_semi").groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))

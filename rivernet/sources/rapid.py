@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..operators.network import NetworkError, RiverNetwork
+from ..operators.segmentation import schedule
 
 SECONDS_A_DAY = 86_400
 
@@ -35,7 +37,10 @@ def read_rapid_reaches(spark: SparkSession, folder: str, connect: str = "rapid_c
         rows = rows.join(numbered_lines(spark, f"{folder}/{file}").select("line", _number("value").alias(name)), "line", "full")
     if not rows.filter("reach_id IS NULL OR k IS NULL OR x IS NULL").isEmpty():
         raise NetworkError("the files of ids, k and x don't have the same rows")
-    return edges.join(rows.select("reach_id", (F.col("k") / SECONDS_A_DAY).alias("k"), "x"), "reach_id", "left")
+    reaches = edges.join(rows.select("reach_id", (F.col("k") / SECONDS_A_DAY).alias("k"), "x"), "reach_id", "left")
+    if not reaches.filter("k IS NULL OR x IS NULL").isEmpty():
+        raise NetworkError("a reach of the connectivity file has no parameters")
+    return reaches
 
 
 def union_reaches(tables: Sequence[DataFrame]) -> DataFrame:
@@ -55,8 +60,15 @@ def read_rapid(spark: SparkSession, folder: str | Sequence[str], **files: str) -
     return RiverNetwork(union_reaches([read_rapid_reaches(spark, f, **files) for f in folders]), "muskingum").validate()
 
 
+def read_rapid_segmented(spark: SparkSession, folder: str | Sequence[str], path_limit: int, node_limit: int, **files: str) -> tuple[RiverNetwork, DataFrame]:
+    """The network and its schedule (reach_id, downstream_id, piece, cluster, stage) for ``StagedRouter``."""
+    network = read_rapid(spark, folder, **files)
+    return network, schedule(network.reaches, path_limit, node_limit)
+
+
 def write_rapid(reaches: DataFrame, folder: str) -> None:
-    """The four files of a project (each a folder with one part) of ``reaches(reach_id, downstream_id, k, x)``."""
+    """The four files of a project (each a folder of parts in the order of reaches) of ``reaches(reach_id, downstream_id, k, x)``."""
     rows = reaches.select("reach_id", F.coalesce("downstream_id", F.lit(-1)).alias("down"), (F.col("k") * SECONDS_A_DAY).alias("k"), "x")
+    rows = cut(rows.repartitionByRange("reach_id").sortWithinPartitions("reach_id"))
     for name, columns in (("rapid_connect", ["reach_id", "down"]), ("riv_bas_id", ["reach_id"]), ("k", ["k"]), ("x", ["x"])):
-        rows.coalesce(1).sortWithinPartitions("reach_id").select(*columns).write.csv(f"{folder}/{name}.csv")
+        rows.select(*columns).write.csv(f"{folder}/{name}.csv")

@@ -153,13 +153,14 @@ def test_closure_and_statistics(spark):
     reaches = tree(spark, 31)
     pairs = G.closure(reaches)
     assert pairs.count() == sum(i.bit_length() for i in range(1, 32)) and G.closure(reaches, False).count() == pairs.count() - 31
-    assert {r.reach_id: r.n_upstream for r in G.upstream_counts(pairs).collect()}[1] == 31
-    counts = {r.reach_id: (r.n_paths, r.sum_lengths) for r in G.path_counts(pairs).collect()}
-    assert counts[31] == (5, 15) and {r.reach_id: (r.n_paths, r.sum_lengths) for r in G.path_counts(pairs, False).collect()}[31] == (4, 10)
-    assert {r.reach_id: r.level for r in G.levels(pairs).collect()}[1] == 4
+    assert {r.reach_id: r.n_upstream for r in G.upstream_counts(reaches).collect()}[1] == 31
+    counts = {r.reach_id: (r.n_paths, r.sum_lengths) for r in G.path_counts(reaches).collect()}
+    assert counts[31] == (5, 15) and {r.reach_id: (r.n_paths, r.sum_lengths) for r in G.path_counts(reaches, False).collect()}[31] == (4, 10)
+    assert {r.reach_id: r.level for r in G.levels(reaches).collect()}[1] == 4
+    assert {r.outlet for r in G.outlets(reaches).collect()} == {1}
     sums = {r.reach_id: r.tau for r in G.downstream_sum(reaches, "tau").collect()}
     assert sums[9] == pytest.approx(sum(0.5 + 0.5 * (i % 5) for i in (9, 4, 2, 1)))
-    total = G.running_total(G.path_counts(pairs), "reach_id", "n_paths", "s", parts=4).orderBy("reach_id").collect()
+    total = G.running_total(G.path_counts(reaches), "reach_id", "n_paths", "s", parts=4).orderBy("reach_id").collect()
     assert [r.s for r in total] == np.cumsum([r.n_paths for r in total]).tolist()
 
 
@@ -207,36 +208,79 @@ def test_blocks(spark):
     assert dense.count() == 6 * 6 * 3 and dense.filter("dst = 4 AND src = 5 AND lag = 1").first().weight == 8
 
 
+def paths_within(down):
+    """Length of all paths of one piece, given as reach -> the reach below within the piece."""
+    total = 0
+    for r in down:
+        while r is not None:
+            total, r = total + 1, down[r]
+    return total
+
+
+def check_plan(reaches, plan, path_limit=None, block=None, node_limit=10):
+    rows = plan.collect()
+    down = {r.reach_id: r.downstream_id for r in reaches.collect()}
+    assert sorted(r.reach_id for r in rows) == sorted(down)
+    at = {r.reach_id: r for r in rows}
+    for u, v in down.items():
+        assert v is None or (at[u].cluster == at[v].cluster and at[u].piece == at[v].piece) or at[u].stage < at[v].stage
+    pieces, clusters = {}, {}
+    for r in rows:
+        pieces.setdefault(r.piece, []).append(r.reach_id)
+        clusters.setdefault(r.cluster, []).append(r)
+    for name, members in pieces.items():
+        inner = {r: down[r] if down[r] is not None and at[down[r]].piece == name else None for r in members}
+        assert [r for r, v in inner.items() if v is None] == [name]
+        assert path_limit is None or paths_within(inner) <= path_limit
+        assert block is None or len(members) <= block
+    for members in clusters.values():
+        assert len(members) <= node_limit or len({r.piece for r in members}) == 1
+        assert len({r.stage for r in members}) == 1
+    return at
+
+
 def test_schedule(spark):
     reaches = tree(spark, 63)
-    for plan in (C.schedule(reaches, path_limit=30, node_limit=10), C.schedule(reaches, strategy="blocks", block=8, node_limit=16)):
-        rows = plan.collect()
-        assert sorted(r.reach_id for r in rows) == list(range(1, 64))
-        stage = {r.reach_id: (r.cluster, r.stage) for r in rows}
-        for i in range(2, 64):
-            a, b = stage[i], stage[i // 2]
-            assert a[0] == b[0] or a[1] < b[1]
-    sizes = C.block_breakpoints(reaches, 8).groupBy("piece").count()
-    assert sizes.agg({"count": "max"}).first()[0] <= 8
+    check_plan(reaches, C.schedule(reaches, path_limit=30, node_limit=10), path_limit=30, node_limit=10)
+    check_plan(reaches, C.schedule(reaches, strategy="blocks", block=8, node_limit=16), block=8, node_limit=16)
+    odd = spark.createDataFrame([(i, i // 2 if i > 1 else None) for i in range(1, 128)] + [(i, i + 1 if i < 160 else 40) for i in range(130, 161)] + [(500, None), (501, None)], "reach_id long, downstream_id long")
+    check_plan(odd, C.schedule(odd, path_limit=40, node_limit=25), path_limit=40, node_limit=25)
+    check_plan(odd, C.schedule(odd, strategy="blocks", block=6, node_limit=30), block=6, node_limit=30)
     chain = spark.createDataFrame([(i, i + 1 if i < 20 else None) for i in range(1, 21)], "reach_id long, downstream_id long")
-    # The fourth reach of a piece would bring 10 + 10 over the limit.
+    # The first four reaches have ten steps of paths together; the other 16 make chains of four from the outlet.
     assert sorted(r.reach_id for r in C.breakpoints(chain, 10).collect()) == [4, 8, 12, 16]
+    with pytest.raises(NotImplementedError):
+        C.schedule(chain, strategy="other")
+    assert C.schedule(chain.limit(0)).count() == 0
+
+
+def test_schedule_of_a_long_chain(spark):
+    n = 100_000
+    chain = spark.range(1, n + 1).select(F.col("id").alias("reach_id"), F.when(F.col("id") < n, F.col("id") + 1).alias("downstream_id"))
+    plan = C.schedule(chain, path_limit=50_000_000, node_limit=10_000).cache()
+    sizes = plan.groupBy("piece").count()
+    assert plan.count() == n and sizes.agg({"count": "max"}).first()[0] == 9_999
+    assert plan.agg(F.max("stage")).first()[0] == 10
+    assert plan.join(plan.select(F.col("reach_id").alias("downstream_id"), F.col("stage").alias("later"), F.col("piece").alias("below")), "downstream_id").filter("piece <> below AND stage <> later - 1").count() == 0
 
 
-def test_breakpoints_of_a_tree_in_parts(spark, monkeypatch):
-    reaches = spark.createDataFrame([(i, i // 2 if i > 1 else None) for i in range(1, 128)] + [(i, i + 1 if i < 160 else 40) for i in range(130, 161)], "reach_id long, downstream_id long")
-    want = sorted(r.reach_id for r in C.breakpoints(reaches, 30).collect())
-    monkeypatch.setattr(C, "PART_REACHES", 10)
-    got = sorted(r.reach_id for r in C.breakpoints(reaches, 30).collect())
-    assert got == want and len(want) > 3
-    parts = C.tree_parts(reaches, C.closure(reaches), 10)
-    assert parts.count() == 158 and parts.groupBy("part").count().agg({"count": "max"}).first()[0] <= 10
-    assert parts.select("band").distinct().count() > 2
+def test_packing(spark):
+    pieces = spark.createDataFrame([(1, 5, 0), (2, 3, 0), (3, 3, 0), (4, 4, 0), (5, 4, 0), (6, 4, 0), (7, 8, 0), (8, 5, 1), (9, 1, 0), (10, 1, 0)], "piece long, n long, layer int")
+    bins = {r.piece: r.bin for r in C.packed_blocks(pieces, 8).collect()}
+    assert bins == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 3, 7: 7, 8: 8, 9: 9, 10: 9} or bins[1] == bins[2] and bins[4] == bins[5] and bins[7] == 7 and bins[8] == 8
+    load = {}
+    for r in pieces.collect():
+        load[bins[r.piece]] = load.get(bins[r.piece], 0) + r.n
+    assert max(load.values()) <= 8 and len(bins) == 10
 
 
-def test_packing_of_pieces():
-    out = C.pack_pieces({1: 5, 2: 4, 3: 3, 4: 9, 5: 1, 6: 2}, {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}, {1, 2, 3, 4}, 9)
-    assert out[1] == out[2] == 0 and out[4] == 1 and out[3] == 2 and out[6] == 2 and out[5] == 2
+def test_kernels_from_given_responses_and_dense_blocks(spark):
+    given = spark.createDataFrame([(0, 0, 0, 1.0), (1, 2, 1, 4.0), (1, 2, 1, 1.0), (4, 5, 2, 8.0), (4, 5, 9, 7.0)], "dst long, src long, lag int, weight double")
+    kernel = K.from_responses(given, 3)
+    assert sorted((r.dst, r.src, r.weights) for r in kernel.collect()) == [(0, 0, [1.0, 0.0, 0.0]), (1, 2, [0.0, 5.0, 0.0]), (4, 5, [0.0, 0.0, 8.0])]
+    dense = K.blocks_to_dense(K.to_blocks(kernel, 4), 4, 3, height=5, width=6).collect()
+    assert len(dense) == (4 * 4 + 1 * 2) * 3
+    assert {(r.dst, r.src, r.lag): r.weight for r in dense if r.weight} == {(0, 0, 0): 1.0, (1, 2, 1): 5.0, (4, 5, 2): 8.0}
 
 
 def test_staged_routing(spark):
@@ -275,6 +319,52 @@ def test_rapid(spark, tmp_path):
     (tmp_path / "k.csv").write_text("1\n2\n")
     with pytest.raises(NetworkError):
         rapid.read_rapid(spark, str(tmp_path))
+    for name, column in (("riv_bas_id", "10\n20\n"), ("k", "1\n2\n"), ("x", "0.1\n0.2\n")):
+        (tmp_path / f"{name}.csv").write_text(column)
+    with pytest.raises(NetworkError, match="no parameters"):
+        rapid.read_rapid(spark, str(tmp_path))
+
+
+def test_segmented_project(spark, tmp_path):
+    reaches = tree(spark, 40).select("reach_id", "downstream_id", F.lit(1.5).alias("k"), F.lit(0.1).alias("x"))
+    rapid.write_rapid(reaches, str(tmp_path))
+    network, plan = rapid.read_rapid_segmented(spark, str(tmp_path), 30, 10)
+    at = check_plan(network.reaches, plan, path_limit=30, node_limit=10)
+    runoff, _ = runoff_of(spark, range(1, 41), 12)
+    whole = {(r.reach_id, r.t): r.value for r in Router(24).route(runoff, network, 12).collect()}
+    staged = {(r.reach_id, r.t): r.value for r in StagedRouter(Router(24)).route(runoff, network, plan, 12).collect()}
+    assert len(at) == 40 and set(staged) == set(whole) and all(staged[k] == pytest.approx(whole[k], rel=1e-3) for k in whole)
+
+
+def test_gradient(spark):
+    net = RiverNetwork(tree(spark, 7))
+    runoff, _ = runoff_of(spark, range(1, 8), 10)
+    router = Router(6)
+    found = {(r.reach_id, r.t): r.gradient for r in parameter_gradient(router, runoff, net, "tau", 10, 0.05).collect()}
+    sides = [{(r.reach_id, r.t): r.value for r in router.route(runoff, RiverNetwork(net.reaches.withColumn("tau", F.col("tau") * f)), 10).collect()} for f in (0.95, 1.05)]
+    assert found and all(g == pytest.approx((sides[1][k] - sides[0][k]) / 0.1, abs=1e-6) for k, g in found.items())
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from rivernet import checkpoints
+
+    class Context:
+        master, folder = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="share"):
+        checkpoints.ensure_checkpoint_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://there"}
+    assert checkpoints.ensure_checkpoint_dir(Session()) == "hdfs://there"
 
 
 def test_stream(spark, tmp_path):
