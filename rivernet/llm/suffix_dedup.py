@@ -14,6 +14,7 @@ and spills to disk.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,9 @@ from .common import cut, text_of
 from .near_dedup import by_group
 from .shingles import _BASE, _BASE_INV, _BYTE, mixed, powers
 
-LENGTH, STRETCH, PREFIX = 400, 290, 160  # STRETCH: bytes of about 50 words
+LENGTH, STRETCH, PREFIX = 400, 290, 120  # STRETCH: bytes of about 50 words
 SEGMENT, PLACE_BITS = 1 << 19, 22
-BROADCAST_ROWS, FEW_CONTENTS, GROUP_ROWS, SALTS = 500_000, 2_000, 1_000, 16
+BROADCAST_ROWS, FEW_CONTENTS, GROUP_ROWS = 500_000, 2_000, 1_000
 SHARE, HEAVY_AT, HEAVY = 1 / 64, 8, 10_000  # where to look for names that many rows hold; decides the dealing only
 
 
@@ -168,17 +169,19 @@ def repeated_samples(samples: DataFrame, heavy: np.ndarray) -> DataFrame:
     return salted.repartition("deal").sortWithinPartitions("name").mapInArrow(runs, samples.schema)
 
 
-def open_tuples(texts: DataFrame, opened: DataFrame, length: int, whole: bool) -> DataFrame:
-    """The strings of ``length`` bytes in ``opened(mark, n_bytes, start, end, name, content)``.
+def open_tuples(texts: DataFrame, opened: DataFrame) -> DataFrame:
+    """deal, name, content, wanted, offset, data: the bytes [start, end) of the texts named in ``opened(mark, n_bytes, start, end, ...)``.
 
-    ``whole``: name, content, data, one row each.  Otherwise name, content, at,
-    key: one row for each string, by its hash.
+    offset is the place of the sample in them.
     """
-    by_text = opened.groupBy("mark", "n_bytes").agg(F.collect_list(F.struct("start", "end", "content", "name")).alias("open"))
+    carried = ["deal", "name", "content", "wanted", "offset"]
+    by_text = opened.groupBy("mark", "n_bytes").agg(F.collect_list(F.struct("start", "end", *carried)).alias("open"))
     few = by_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marks = by_text.select(F.col("mark").alias("m"), F.col("n_bytes").alias("n"))
     some = texts.join(F.broadcast(marks) if few else marks, (F.col("mark") == F.col("m")) & (F.col("n_bytes") == F.col("n")), "left_semi")
     rows = some.dropDuplicates(["mark", "n_bytes"]).join(by_text, ["mark", "n_bytes"]).select("text", "open")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+    batch_of = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=[*carried, "data"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,27 +191,15 @@ def open_tuples(texts: DataFrame, opened: DataFrame, length: int, whole: bool) -
                 data = value.as_buffer()
                 for s in samples.as_py():
                     part = data[s["start"] : s["end"]]
-                    if whole:
-                        held.append((s["name"], s["content"], part.to_pybytes()))
-                    else:
-                        n = len(part) - length + 1
-                        h = _hashes(_prefix_sums(np.frombuffer(part, np.uint8)), slice(0, n), slice(length, length + n)).view(np.int64)
-                        held.append((np.full(n, s["name"]), np.full(n, s["content"]), np.arange(n, dtype=np.int16), h))
+                    held.append((*(s[c] for c in carried), part.to_pybytes()))
                     size += len(part)
                     if size >= SEGMENT:
-                        yield _open_batch(held, whole)
+                        yield batch_of(held)
                         held, size = [], 0
             if held:
-                yield _open_batch(held, whole)
+                yield batch_of(held)
 
-    return rows.mapInArrow(strings, "name long, content long, data binary" if whole else "name long, content long, at short, key long")
-
-
-def _open_batch(rows: list[tuple], whole: bool) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    if whole:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["name", "content", "data"])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["name", "content", "at", "key"])
+    return rows.mapInArrow(strings, "deal long, name long, content long, wanted boolean, offset int, data binary")
 
 
 def _slices(batch: pa.RecordBatch, key: str, rows: int) -> Iterator[pa.RecordBatch]:
@@ -222,56 +213,111 @@ def _slices(batch: pa.RecordBatch, key: str, rows: int) -> Iterator[pa.RecordBat
         start = end
 
 
-def repeated_in_names(tuples: DataFrame, length: int) -> DataFrame:
-    """name, content, at: the strings that more than one content of a name holds, each name (of few contents) in one task."""
+def _width(length: int) -> int:
+    """Places of the sample in a string that make a range: as many as there are ranges, so that a content has the fewest rows in all."""
+    return math.isqrt(length - PREFIX) + 1
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in by_group(batches, "name", GROUP_ROWS) for part in _slices(whole, "name", GROUP_ROWS)):
-            name, content, parts = np.asarray(batch.column("name")), np.asarray(batch.column("content")), batch.column("data").to_pylist()
+
+def common_cores(tuples: DataFrame, length: int) -> DataFrame:
+    """name, content, range, key: what all strings share, by its hash, in which the sample's place lies in one range."""
+    width = _width(length)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, content, offset = (np.asarray(batch.column(c)) for c in ("name", "content", "offset"))
+            parts = batch.column("data").to_pylist()
             size = np.fromiter(map(len, parts), np.int64, len(parts))
-            n = size - length + 1
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(np.cumsum(size) - size, n) + inside
-            key = _hashes(_prefix_sums(np.frombuffer(b"".join(parts), np.uint8)), start, start + length)
-            group, owner, place = np.repeat(name, n), np.repeat(content, n), inside.astype(np.int16)
-            order = np.lexsort((owner, key, group))
-            group, key, owner, place = group[order], key[order], owner[order], place[order]
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1]))))
-            end = np.append(new[1:], len(key))
-            keep = np.repeat(owner[new] != owner[end - 1], end - new)
-            yield pa.RecordBatch.from_arrays([pa.array(group[keep]), pa.array(owner[keep]), pa.array(place[keep])], names=["name", "content", "at"])
+            base, sums = np.cumsum(size) - size, _prefix_sums(np.frombuffer(b"".join(parts), np.uint8))
+            for k, low in enumerate(range(0, length - PREFIX + 1, width)):
+                high = min(low + width - 1, length - PREFIX)
+                at = np.flatnonzero((offset >= low) & (offset - (size - length) <= high))
+                key = _hashes(sums, (base + offset - low)[at], (base + offset + length - high)[at]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(content[at]), pa.array(np.full(len(at), k, np.int32)), pa.array(key)], names=["name", "content", "range", "key"])
 
-    return tuples.repartition("name").sortWithinPartitions("name").mapInArrow(found, "name long, content long, at short")
+    return tuples.mapInArrow(cores, "name long, content long, range int, key long")
 
 
-def repeated_by_key(tuples: DataFrame) -> DataFrame:
-    """The same of names with many contents: aggregated before the shuffle, then met by salted keys."""
-    keys = tuples.groupBy("name", "key").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("name", "key")
-    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return tuples.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int")).join(salted, ["name", "key", "salt"]).select("name", "content", "at")
+def repeated_in_parts(tuples: DataFrame, length: int, rest: bool) -> DataFrame:
+    """name, content, s, e: strings s..e of wanted contents that several contents in one ``deal`` of a name hold.
+
+    With ``rest``, key marks further rows of single strings for what lies in
+    different deals: of each string that one content of a deal holds (alone:
+    whether it is wanted), and one row for each that several do; but only in
+    the ranges that ``tuples`` name in ``open``.
+    """
+    width = _width(length)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in by_group(batches, "deal", GROUP_ROWS) for part in _slices(whole, "deal", GROUP_ROWS)):
+            deal, name, content, wanted = (np.asarray(batch.column(c)) for c in ("deal", "name", "content", "wanted"))
+            parts = batch.column("data").to_pylist()
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            n = size - length + 1
+            inside = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            start = np.repeat(np.cumsum(size) - size, n) + inside
+            key = _hashes(_prefix_sums(np.frombuffer(b"".join(parts), np.uint8)), start, start + length).view(np.int64)
+            row = np.repeat(np.arange(len(parts)), n)
+            order = np.lexsort((content[row], key, name[row], deal[row]))
+            of, by = row[order], key[order]
+            new = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]) | (name[of[1:]] != name[of[:-1]]) | (deal[of[1:]] != deal[of[:-1]]))))
+            end = np.append(new[1:], len(by))
+            several = content[of[new]] != content[of[end - 1]]
+            twice = np.empty(len(by), bool)
+            twice[order] = np.repeat(several, end - new)
+            hit = twice & wanted[row]
+            goes_on = np.zeros(len(by) + 1, bool)
+            goes_on[1:-1] = hit[1:] & hit[:-1] & (row[1:] == row[:-1])
+            s, e = np.flatnonzero(hit & ~goes_on[:-1]), np.flatnonzero(hit & ~goes_on[1:])
+            columns = [pa.array(name[row[s]]), pa.array(content[row[s]]), pa.array(inside[s]), pa.array(inside[e])]
+            names = ["name", "content", "s", "e"]
+            if rest:
+                columns, names = [*columns, pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.bool_())], [*names, "key", "alone"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if rest:
+                of = (np.asarray(batch.column("offset"))[row] - inside) // width
+                is_open = (np.asarray(batch.column("open"))[row] >> of & 1).astype(bool)
+                one = order[new[several]]
+                k = np.concatenate((one[is_open[one]], np.flatnonzero(~twice & is_open)))
+                alone = wanted[row[k]] & ~twice[k]
+                yield pa.RecordBatch.from_arrays([pa.array(name[row[k]]), pa.array(content[row[k]]), pa.array(inside[k]), pa.array(inside[k]), pa.array(key[k]), pa.array(alone)], names=names)
+
+    return tuples.repartition("deal").sortWithinPartitions("deal").mapInArrow(found, "name long, content long, s int, e int" + ", key long, alone boolean" * rest)
 
 
 def held_twice(texts: DataFrame, opened: DataFrame, names: DataFrame, length: int) -> DataFrame:
-    """name, content, at of the strings of ``opened`` that several contents of one of ``names(name, contents)`` hold."""
-    known = opened.join(names.select("name", (F.col("contents") > FEW_CONTENTS).alias("many")), "name")
-    found = repeated_in_names(open_tuples(texts, known.filter("NOT many"), length, True), length)
-    if not names.filter(F.col("contents") > FEW_CONTENTS).isEmpty():
-        found = found.unionByName(repeated_by_key(cut(open_tuples(texts, known.filter("many"), length, False))))
-    return found.distinct()
+    """name, content, s, e: the strings of wanted rows of ``opened`` that several contents of one of ``names(name, contents)`` hold.
+
+    A name with more than FEW_CONTENTS contents is dealt in parts of about so
+    many; strings that lie in one part each are then met by their hash, where
+    what a range of them has in common is found in several contents at all.
+    """
+    known = opened.join(names.select("name", F.ceil(F.col("contents") / FEW_CONTENTS).alias("parts")), "name")
+    known = known.withColumn("deal", F.when(F.col("parts") == 1, F.col("name")).otherwise(F.xxhash64("name", F.pmod(F.xxhash64("content"), F.col("parts")))))
+    found = repeated_in_parts(open_tuples(texts, known.filter("parts = 1")), length, False)
+    if names.filter(F.col("contents") > FEW_CONTENTS).isEmpty():
+        return found
+    tuples = cut(open_tuples(texts, known.filter("parts > 1")))
+    cores, by = common_cores(tuples, length), ["name", "range", "key"]
+    shared = cores.groupBy(*by).agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select(*by)
+    opened_ranges = cores.join(shared, by).groupBy("name", "content").agg(F.bit_or(F.expr("shiftleft(1L, range)")).alias("open"))
+    ranged = tuples.join(opened_ranges, ["name", "content"], "left").withColumn("open", F.coalesce("open", F.lit(0).cast("long")))
+    large = cut(repeated_in_parts(ranged, length, True))
+    single = large.filter("key IS NOT NULL")
+    keys = single.groupBy("name", "key").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("name", "key")
+    met = single.filter("alone").join(keys, ["name", "key"])
+    columns = ["name", "content", "s", "e"]
+    return found.unionByName(large.filter("key IS NULL").select(*columns)).unionByName(met.select(*columns))
 
 
 def repeated_ranges(texts: DataFrame, samples: DataFrame) -> DataFrame:
     """mark, n_bytes, range: bytes [start, end) of each text that lie in repeated strings; overlapping, unordered."""
     id_ = ["name", "content"]
     samples = samples.filter("more >= 0").withColumn("start", F.col("place") - F.col("back"))
-    contents = cut(samples.groupBy(*id_).agg(F.count("*").alias("n"), F.min(F.struct("mark", "n_bytes", "start", (F.col("start") + F.col("more") + LENGTH).alias("end"))).alias("one")))
+    contents = cut(samples.groupBy(*id_).agg(F.count("*").alias("n"), F.min(F.struct("mark", "n_bytes", "start", (F.col("start") + F.col("more") + LENGTH).alias("end"), F.col("back").cast("int").alias("offset"))).alias("one")))
     names = cut(contents.groupBy("name").agg(F.count("*").alias("contents")).filter("contents > 1"))
-    found = held_twice(texts, contents.select(*id_, "one.*"), names, LENGTH)
-    once = contents.filter("n = 1").select(*id_)
-    runs = found.join(once, id_).groupBy(*id_).agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("at"))
-    starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
-    ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
-    partly = runs.select(*id_, F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("run")).select(*id_, "run.s", "run.e")
+    partly = held_twice(texts, contents.select(*id_, "one.*", (F.col("n") == 1).alias("wanted")), names, LENGTH)
     wholly = contents.filter("n > 1").select(*id_, F.lit(0).alias("s"), F.lit(None).cast("int").alias("e"))
     covered = samples.select("mark", "n_bytes", "start", "more", *id_).join(partly.unionByName(wholly), id_)
     return covered.select("mark", "n_bytes", F.struct((F.col("start") + F.col("s")).alias("start"), (F.col("start") + F.coalesce("e", "more") + LENGTH).alias("end")).alias("range")).distinct()
@@ -289,7 +335,7 @@ def sharing_texts(texts: DataFrame, samples: DataFrame) -> DataFrame:
     left = contexts.filter("NOT equal").select("name", "one.mark", "one.n_bytes").join(seen, of, "left_anti").select("name").distinct()
     names = cut(names.join(left, "name", "left_semi").select("name", "contents"))
     start = F.greatest(F.col("one.place") - (STRETCH - PREFIX), F.lit(0))
-    opened = contexts.select("name", F.xxhash64("one.mark", "one.n_bytes").alias("content"), "one.mark", "one.n_bytes", start.alias("start"), (F.col("one.place") + STRETCH).alias("end"))
+    opened = contexts.select("name", F.xxhash64("one.mark", "one.n_bytes").alias("content"), "one.mark", "one.n_bytes", start.alias("start"), (F.col("one.place") + STRETCH).alias("end"), (F.col("one.place") - start).cast("int").alias("offset"), (~F.col("equal")).alias("wanted"))
     found = held_twice(texts, opened, names, STRETCH).select("name", "content").distinct()
     return opened.select("name", "content", *of).join(found, ["name", "content"]).select(*of).unionByName(seen).distinct()
 
