@@ -10,7 +10,7 @@ from rivernet.operators import convolution as V
 from rivernet.operators import kernel as K
 from rivernet.operators import segmentation as C
 from rivernet.operators.network import NetworkError, RiverNetwork, check_runoff, from_edges
-from rivernet.operators.routing import Router, parameter_sweep
+from rivernet.operators.routing import Router, parameter_gradient, parameter_sweep
 from rivernet.operators.staged import StagedRouter
 from rivernet.sources import rapid
 
