@@ -6,6 +6,8 @@ from tokenizers import Tokenizer
 
 from rivernet.llm import near_dedup, packing, pii, toxicity
 
+from .test_text_operators import ODD, docs_of
+
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +34,17 @@ def test_stages_against_single_steps(spark, tmp_path):
     rows = out["packing"].collect()
     assert sorted(r.doc_tokens for r in rows if r.start == 0) == want
     assert zlib.crc32(np.array([1], "<u4").tobytes()) in {r.ids_crc32 for r in rows if r.length == 1}
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_odd_rows_empty_tables_and_reruns(spark, tmp_path, rows):
+    first, last = docs_of(spark, rows), []
+    for turn in range(2):
+        docs = first
+        for name, stage in pipeline.STAGES:
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{turn}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{turn}-{name}")
+            if name != "packing":
+                assert docs.columns == first.columns
+        last.append(sorted(map(repr, docs.collect())))
+    assert last[0] == last[1] and bool(last[0]) == bool(rows)
