@@ -331,8 +331,8 @@ def test_segmented_project(spark, tmp_path):
     network, plan = rapid.read_rapid_segmented(spark, str(tmp_path), 30, 10)
     at = check_plan(network.reaches, plan, path_limit=30, node_limit=10)
     runoff, _ = runoff_of(spark, range(1, 41), 12)
-    whole = {(r.reach_id, r.t): r.value for r in Router(24).route(runoff, network, 12).collect()}
-    staged = {(r.reach_id, r.t): r.value for r in StagedRouter(Router(24)).route(runoff, network, plan, 12).collect()}
+    whole = {(r.reach_id, r.t): r.value for r in Router(80).route(runoff, network, 12).collect()}
+    staged = {(r.reach_id, r.t): r.value for r in StagedRouter(Router(80)).route(runoff, network, plan, 12).collect()}
     assert len(at) == 40 and set(staged) == set(whole) and all(staged[k] == pytest.approx(whole[k], rel=1e-3) for k in whole)
 
 
