@@ -20,7 +20,7 @@ from .common import WHITE, cut, let, running, text_of, words_of
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 GENERALISED, REMOVED = 4, 5
 GENERALISE_AT, REMOVE_AT, LEAST_TOGETHER = 0.7, 0.9, 3
-BROADCAST_ROWS, SALTS, STRIP = 500_000, 32, 4096
+BROADCAST_ROWS, SALTS, STRIP, ALTERNATIVES = 500_000, 32, 4096, 64
 # Possessive forms of the patterns; a look-behind keeps each run from being tried again at every character.
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = (
@@ -113,15 +113,14 @@ def disclosing_terms(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at
     return scored.filter(F.col("disclosure") >= generalise_at).select("term", "entity", "disclosure")
 
 
-def telling_texts(rows: DataFrame, levels: DataFrame, few: bool) -> DataFrame:
-    """mark, n of the texts that hold a term of ``levels(term, level)``.
+def telling_words(rows: DataFrame, levels: DataFrame, few: bool) -> DataFrame:
+    """mark, n, word, level: the words of each text that are in ``levels(term, level)``, once each.
 
     ``few`` levels are broadcast; many are met by salted keys, as a term may be in a great part of the texts.
     """
-    words = rows.select("mark", "n", F.explode(F.array_distinct(F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w)))).alias("term"))
-    if few:
-        return words.join(F.broadcast(levels), "term", "left_semi").select("mark", "n").distinct()
-    return _salted(words.distinct(), levels).select("mark", "n").distinct()
+    words = rows.select("mark", "n", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word")).withColumn("term", F.xxhash64("word"))
+    hit = words.join(F.broadcast(levels), "term") if few else _salted(words.distinct(), levels)
+    return hit.select("mark", "n", "word", "level").distinct()
 
 
 def _salted(words: DataFrame, levels: DataFrame) -> DataFrame:
@@ -130,19 +129,31 @@ def _salted(words: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def term_spans(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """mark_of, n_of, terms: the spans of disclosing terms in each text that holds any, with their entity or without."""
+    """mark_of, n_of, terms: the spans of disclosing terms in each text that holds any, with their entity or without.
+
+    A text with up to ALTERNATIVES different ones is searched for just these; of
+    one with more every word is looked up.
+    """
     level = F.when(F.col("disclosure") >= remove_at, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
     levels = cut(disclosing_terms(rows, least, generalise_at).groupBy("term").agg(F.max(level).alias("level")))
     few = levels.count() <= BROADCAST_ROWS
-    hit = cut(telling_texts(rows, levels, few))
-    marks = hit.select(F.col("mark").alias("m"), F.col("n").alias("k"))
-    marks = F.broadcast(marks) if hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else marks
-    texts = rows.select("mark", "n", "text").join(marks, (F.col("mark") == F.col("m")) & (F.col("n") == F.col("k")), "left_semi").dropDuplicates(["mark", "n"])
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("word"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    words = lambda k: F.array_sort(F.collect_list(F.when(F.col("level") == k, quoted))).alias(f"of_{k}")
+    by_text = cut(telling_words(rows, levels, few).groupBy(F.col("mark").alias("m"), F.col("n").alias("k")).agg(*map(words, (GENERALISED, REMOVED)), (F.count("*") > ALTERNATIVES).alias("many")))
+    of = [F.col("mark").alias("mark_of"), F.col("n").alias("n_of")]
+    texts = rows.select("mark", "n", "text").join(by_text, (F.col("mark") == F.col("m")) & (F.col("n") == F.col("k"))).dropDuplicates(["mark", "n"])
+    whole = lambda c: F.concat(F.lit("(?iu)(?<![^\\x20\\x09-\\x0D])(?:"), F.array_join(c, "|"), F.lit(")(?![^\\x20\\x09-\\x0D])"))
+    none = F.array().cast(FOUND)
+    found = [F.when(F.size(f"of_{k}") > 0, matches(F.col("text"), whole(f"of_{k}"), k)).otherwise(none) for k in (GENERALISED, REMOVED)]
+    some = texts.filter("NOT many").select(*of, F.concat(*found).alias("terms"))
+    if by_text.filter("many").isEmpty():
+        return some
     word = F.lit(f"{WHITE[0]}^{WHITE[1:]}")
-    words = texts.select("mark", "n", F.explode(F.transform(matches(F.col("text"), word, GENERALISED), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lower(s["value"])).alias("term")))).alias("w")).select("mark", "n", "w.*")
-    found = words.join(F.broadcast(levels), "term") if few else _salted(words, levels)
+    each = F.transform(matches(F.col("text"), word, GENERALISED), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lower(s["value"])).alias("term")))
+    every = texts.filter("many").select("mark", "n", F.explode(each).alias("w")).select("mark", "n", "w.*")
     span = F.struct("start", F.col("level").alias("kind"), "end", F.lit("").alias("value"))
-    return found.groupBy(F.col("mark").alias("mark_of"), F.col("n").alias("n_of")).agg(F.collect_list(span).alias("terms"))
+    met = every.join(F.broadcast(levels), "term") if few else _salted(every, levels)
+    return some.unionByName(met.groupBy(*of).agg(F.collect_list(span).alias("terms")))
 
 
 def apart(base: Column, terms: Column) -> Column:

@@ -150,9 +150,11 @@ def disclosing(texts, least=3):
     return levels
 
 
-def test_disclosing_terms_against_brute_force(spark):
+@pytest.mark.parametrize("alternatives", [64, 0])
+def test_disclosing_terms_against_brute_force(spark, monkeypatch, alternatives):
     import random
 
+    monkeypatch.setattr(pii, "ALTERNATIVES", alternatives)
     rng = random.Random(3)
     names, places = [f"name{i}" for i in range(12)], [f"Place{i}" for i in range(30)]
     texts = []
