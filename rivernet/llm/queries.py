@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprint, mixing, near_dedup, packing, pii, suffix_dedup, token_count, toxicity, url_filter
+from . import ann, collocation, fingerprint, grid_search, mixing, near_dedup, ngram_join, packing, pii, suffix_dedup, token_count, toxicity, url_filter
 from .common import table
 
 
@@ -50,9 +50,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_grouped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_classifier_chain, op2_simhash, op3_anisotropic_search, op4_disclosure, op5_url_vocabulary, op6_chosen_path, op7_binary_packing, op8_induced_sorting, op9_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_classifier_chain, op2_simhash, op3_anisotropic_search, op4_disclosure, op5_url_vocabulary, op6_chosen_path, op7_binary_packing, op8_induced_sorting, op9_source_mixing, op10_token_counts, op11_quotient_collocations, op12_grouped_prefix, op13_treap_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_vocabulary": url_filter.oracle_sql(), "op6_chosen_path": near_dedup.oracle_sql(), "op8_induced_sorting": suffix_dedup.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}
+    return {
+        "op5_url_vocabulary": url_filter.oracle_sql(), "op6_chosen_path": near_dedup.oracle_sql(), "op8_induced_sorting": suffix_dedup.oracle_sql(), "op9_source_mixing": mixing.oracle_sql(),
+        "op11_quotient_collocations": collocation.oracle_sql(), "op12_grouped_prefix": ngram_join.oracle_sql(), "op13_treap_search": grid_search.oracle_sql(),
+    }
