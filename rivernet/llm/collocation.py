@@ -27,7 +27,7 @@ from .tokens import byte_set, runs_of, some_texts
 LEAST, LONGEST, TOP, SCALE = 100, 5, 2_000, 1_000
 BREAK = byte_set(*map(ord, ".,;:!?"), range(0x0A, 0x0E))
 WORD = ~(BREAK | byte_set(0x20, 0x09))
-TEXT_BYTES, FILTER_WORDS = 1 << 22, 1 << 22  # text of one filter; words of all texts for each range of quotients
+TEXT_BYTES, FILTER_WORDS = 1 << 23, 1 << 22  # text of one filter; words of all texts for each range of quotients
 MOST_KNOWN, BITMAP_BITS = 1 << 22, 26
 ROUNDS = 3
 
@@ -37,17 +37,18 @@ ROUNDS = 3
 
 @dataclass(frozen=True)
 class Packing:
-    """Phrases of up to LONGEST ids of ``id_bits`` bits, and their length, in ``parts`` numbers of ``part_bits`` bits."""
+    """Phrases of up to ``longest`` ids of ``id_bits`` bits, and their length, in ``parts`` numbers of ``part_bits`` bits."""
 
     id_bits: int
+    longest: int = LONGEST
 
     @property
     def parts(self) -> int:
-        return max(2, -(-(3 + LONGEST * self.id_bits) // 60))
+        return max(2, -(-(3 + self.longest * self.id_bits) // 60))
 
     @property
     def part_bits(self) -> int:
-        return -(-(3 + LONGEST * self.id_bits) // self.parts)
+        return -(-(3 + self.longest * self.id_bits) // self.parts)
 
     @property
     def mask(self) -> np.uint64:
@@ -70,9 +71,9 @@ class Packing:
             left, at, bits = left >> np.uint64(n) if n < 64 else np.zeros_like(left), at + n, bits - n
 
     def unpack(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths, and ids [phrases, LONGEST] of which the first few count."""
-        ids = np.zeros((len(packed), LONGEST), np.uint64)
-        for k in range(LONGEST):
+        """Lengths, and ids [phrases, longest] of which the first few count."""
+        ids = np.zeros((len(packed), self.longest), np.uint64)
+        for k in range(self.longest):
             at, got = 3 + k * self.id_bits, 0
             while got < self.id_bits:
                 part, low = divmod(at + got, self.part_bits)
@@ -236,7 +237,7 @@ def _words(rows: pa.RecordBatch, texts: list[bytes], seed: int) -> tuple[bytes,
 
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """lang, word, key, n of ``docs(lang, text)``; first_word and last_word differ where words of any languages share a key."""
+    """lang, word, key, n of ``docs(lang, text)``."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in some_texts(batches, "text", TEXT_BYTES):
@@ -246,8 +247,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(names, pa.string()).take(pa.array(lang[first])), words, pa.array(n.astype(np.int64))], names=["key", "lang", "word", "n"])
 
     found = docs.select("lang", "text").mapInArrow(words, "key long, lang string, word string, n long")
-    name = F.struct("lang", "word")
-    return found.groupBy("key").agg(F.sum("n").alias("n"), F.min(name).alias("first"), F.max(name).alias("last"))
+    return found.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, words: Known, seed: int, lengths: tuple[int, ...], pairs: Known | None, least: int, ranges: int) -> DataFrame:
@@ -256,7 +256,7 @@ def phrase_counts(docs: DataFrame, words: Known, seed: int, lengths: tuple[int,
     All words of a phrase must be ``words``, and with ``pairs`` all two words in
     a row one of these: others can't be frequent enough.
     """
-    packing = Packing(words.id_bits)
+    packing = Packing(words.id_bits, max(lengths))
     high = min(ranges.bit_length() - 1, packing.part_bits - 1)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((words, pairs))
@@ -288,7 +288,7 @@ def phrase_counts(docs: DataFrame, words: Known, seed: int, lengths: tuple[int,
             entries, counts = _merge(packing, [from_filter(packing, b, high, part) for b in blobs])
             often = counts >= least
             length, ids = packing.unpack(packing.restore(entries[often]))
-            keys = words.keys(ids.reshape(-1)).reshape(ids.shape)[np.arange(LONGEST) < length[:, None]]
+            keys = words.keys(ids.reshape(-1)).reshape(ids.shape)[np.arange(packing.longest) < length[:, None]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([lists, pa.array(counts[often].astype(np.int64))], names=["ids", "n"])
 
@@ -319,11 +319,11 @@ def candidate_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     seed = 0
     while True:
         counts = cut(word_counts(docs, seed))
-        if counts.filter("first <> last").isEmpty():
+        if counts.groupBy("key").agg(F.count("*").alias("words")).filter("words > 1").isEmpty():
             break
-        seed += 1  # two words share a key: take other keys
-    totals = counts.groupBy(F.col("first.lang").alias("lang")).agg(F.sum("n").alias("total"))
-    frequent = cut(counts.filter(F.col("n") >= least).select("key", "first.*", "n").join(totals, "lang"))
+        seed += 1  # two words, of one language or of two, share a key: take other keys
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    frequent = cut(counts.filter(F.col("n") >= least).select("key", "lang", "word", "n").join(totals, "lang"))
     n_words = counts.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, n_words // FILTER_WORDS)
     words = Known(frequent, "key")
