@@ -28,6 +28,18 @@ def reduce_kernel(fine: np.ndarray, substeps: int, mode: str) -> np.ndarray:
     return out
 
 
+def reduce_kernel_back(coarse: np.ndarray, substeps: int, mode: str) -> np.ndarray:
+    """The adjoint of ``reduce_kernel``: a gradient by weights at the native step as one by fine weights."""
+    check_mode(mode)
+    if substeps == 1:
+        return coarse
+    if mode == "sample":
+        return np.repeat(coarse, substeps, axis=1)
+    later = np.arange(substeps) / substeps
+    ahead = np.hstack((coarse[:, 1:], np.zeros((len(coarse), 1))))
+    return (coarse[:, :, None] * (1 - later) + ahead[:, :, None] * later).reshape(len(coarse), -1)
+
+
 def upsample(series: DataFrame, substeps: int, value: str = "value") -> DataFrame:
     """Holds each value over ``substeps`` fine steps; the total stays."""
     if substeps == 1:

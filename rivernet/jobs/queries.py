@@ -8,18 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, ensure_checkpoint_dir
+from ..checkpoints import ensure_checkpoint_dir, settled
 from ..functions import sampling, spectral
 from ..functions.irf import REGISTRY
 from ..operators import closure as G
 from ..operators import convolution as V
 from ..operators import kernel as K
 from ..operators import segmentation as C
+from ..operators.gradients import loss_gradient as reverse_gradient
 from ..operators.network import RiverNetwork
 from ..operators.routing import Router, parameter_gradient, parameter_sweep
 from ..operators.staged import StagedRouter
 from ..sources import rapid
 from ..sources import river_tables as data
+from ..sources.series_files import read_series, write_series
 
 WINDOW, STEPS, SUBSTEPS, PIECE = 8, data.MONTHS, 4, 8
 FLOW_UNIT = 997.0
@@ -93,7 +95,11 @@ def components(spark, sf_dir):
 
 def ancestors(spark, sf_dir):
     reaches = data.admin(spark, sf_dir)
-    return G.ancestors(G.closure(reaches), reaches.filter("reach_id < 1000").select("reach_id"))
+    return G.upstream_sets(reaches, reaches.filter("reach_id < 1000").select("reach_id"))
+
+
+def tour_intervals(spark, sf_dir):
+    return G.intervals(data.heap(spark, sf_dir))
 
 
 def upstream_count(spark, sf_dir):
@@ -196,6 +202,21 @@ def param_gradient(spark, sf_dir):
     return found.select("batch", "reach_id", "t", rounded("gradient", 2, FLOW_UNIT).alias("gradient"))
 
 
+def loss_gradient(spark, sf_dir):
+    """Of half the sum of squared discharges, by every parameter of every reach."""
+    network, router, x = RiverNetwork(data.heap(spark, sf_dir)), Router(WINDOW), _series(spark, sf_dir)
+    found = reverse_gradient(router, settled(router.route(x, network, STEPS)), x, network)
+    return found.select("reach_id", "param", rounded("value", 4, 1e12).alias("value"))
+
+
+def series_files(spark, sf_dir):
+    """Runoff written as series files and read again, the winter months of a range of reaches of each file."""
+    folder = f"{ensure_checkpoint_dir(spark)}/series-{uuid.uuid4().hex}"
+    x = _series(spark, sf_dir)
+    write_series(x, folder, STEPS, files=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _series_rows(read_series(spark, folder, values=1 << 16).filter("t >= 12 AND t < 60 AND reach_id > 10"))
+
+
 def chain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chain32 cut after every eighth reach; the stage is the place in the chain."""
     reaches = data.chain32(spark, sf_dir).select("reach_id", "downstream_id")
@@ -238,12 +259,12 @@ def block_pieces(spark, sf_dir):
 
 def route_staged(spark, sf_dir):
     network = RiverNetwork(data.chain32(spark, sf_dir))
-    return flow(StagedRouter(Router(WINDOW)).route(_series(spark, sf_dir), network, cut(chain_plan(spark, sf_dir)), STEPS))
+    return flow(StagedRouter(Router(WINDOW)).route(_series(spark, sf_dir), network, settled(chain_plan(spark, sf_dir)), STEPS))
 
 
 def staged_warm_start(spark, sf_dir):
     network = RiverNetwork(data.chain32(spark, sf_dir))
-    return flow(StagedRouter(Router(WINDOW)).boundary_before(_series(spark, sf_dir), network, cut(chain_plan(spark, sf_dir)), STEPS, 2))
+    return flow(StagedRouter(Router(WINDOW)).boundary_before(_series(spark, sf_dir), network, settled(chain_plan(spark, sf_dir)), STEPS, 2))
 
 
 def adjoint_dx(spark, sf_dir):
@@ -295,8 +316,8 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         f.__name__: f
         for f in (
-            closure_pairs, prefix_sum, path_log_product, spectrum, spectrum_inverse, path_counts, path_cumsum, topo_level, components, ancestors, upstream_count,
-            resample_phi, resample_pool, resample_last, resample_tri, kernel_block, kernel_block_roundtrip, kernel_block_dense, kernel_given, kernel_dense, route_param_override, route_targets, route_daily, param_sweep, param_gradient,
+            closure_pairs, prefix_sum, path_log_product, spectrum, spectrum_inverse, path_counts, path_cumsum, topo_level, components, ancestors, tour_intervals, upstream_count,
+            resample_phi, resample_pool, resample_last, resample_tri, kernel_block, kernel_block_roundtrip, kernel_block_dense, kernel_given, kernel_dense, route_param_override, route_targets, route_daily, param_sweep, param_gradient, loss_gradient, series_files,
             transfers, transfer_tables, cluster_ranges, stage_layers, segment_breakpoints, schedule, schedule_blocks, block_pieces, route_staged, staged_warm_start,
             adjoint_dx, adjoint_dw, adjoint_closure, adjoint_prefix, rapid_ingest, rapid_union, rapid_segmented,
         )
@@ -307,6 +328,6 @@ def queries() -> dict[str, Query]:
     out |= {
         "kernel_subres_avg": kernel_rows("muskingum", SUBSTEPS, "avg"), "kernel_subres_sample": kernel_rows("linear_storage", SUBSTEPS, "sample"),
         "route_diag_off": route("linear_storage", include_self=False), "route_batched": route("linear_storage", batch="o_orderstatus"),
-        "route_subres": route("linear_storage", Router(WINDOW, SUBSTEPS, "avg")), "conv_packed": route("linear_storage", Router(WINDOW, strategy="packed")),
+        "route_subres": route("linear_storage", Router(WINDOW, SUBSTEPS, "avg")), "conv_packed": route("linear_storage", Router(WINDOW, strategy="packed")), "conv_blocks": route("linear_storage", Router(WINDOW, strategy="blocks")),
     }
     return out

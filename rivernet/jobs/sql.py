@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.segmentation import exact_patterns
 from .queries import FLOW_UNIT, PIECE, STEPS, SUBSTEPS, WINDOW
 
 PI2 = "6.283185307179586::DOUBLE"
@@ -131,17 +132,41 @@ def scheduled(path_limit: int, node_limit: int) -> str:
 
 
 def scheduled_blocks(block: int, node_limit: int) -> str:
+    patterns = ", ".join(f"({k + 1}, {[p.count(n) for n in range(1, block)]})" for k, p in enumerate(exact_patterns(block)))
+    sizes = f"range(1, {block})"
     return f"""WITH RECURSIVE {reaches()}, {PAIRS}, {cuts(block, "reaches")},
-nth AS (SELECT *, row_number() OVER (PARTITION BY layer, n ORDER BY piece) - 1 AS rank, count(*) OVER (PARTITION BY layer, n) AS own FROM pieces),
-met AS (SELECT a.piece, a.n, a.layer, least(a.n, {block} - a.n) AS k, CASE WHEN a.n >= {block} THEN NULL WHEN 2 * a.n = {block} THEN CASE WHEN a.rank < a.own - a.own % 2 THEN a.rank // 2 END
-  WHEN a.rank < least(a.own, o.own) THEN a.rank END AS pair FROM nth a LEFT JOIN (SELECT DISTINCT layer, n, own FROM nth) o ON o.layer = a.layer AND o.n = {block} - a.n),
-lone AS (SELECT piece, n, layer FROM met WHERE pair IS NULL),
+nth AS (SELECT *, row_number() OVER (PARTITION BY layer, n ORDER BY piece) - 1 AS rank FROM pieces),
+counts AS (SELECT layer, n, count(*) AS c FROM pieces GROUP BY layer, n),
+patterns(step, needs) AS (VALUES {patterns}),
+fill(layer, step, had, times, needs) AS (SELECT layer, 0, list(coalesce(c, 0) ORDER BY n), 0::BIGINT, NULL::INT[] FROM (SELECT layer, unnest({sizes}) AS n FROM (SELECT DISTINCT layer FROM pieces)) LEFT JOIN counts USING (layer, n) GROUP BY layer
+  UNION ALL SELECT layer, step, had, list_min(list_transform(list_filter({sizes}, lambda i: needs[i] > 0), lambda i: had[i] // needs[i])), needs
+  FROM (SELECT f.layer, p.step, list_transform({sizes}, lambda i: f.had[i] - f.times * coalesce(f.needs[i], 0)) AS had, p.needs FROM fill f JOIN patterns p ON p.step = f.step + 1)),
+fills AS (SELECT f.layer, c.n, f.step, f.needs[c.n] AS each, c.c - f.had[c.n] AS low, c.c - f.had[c.n] + f.times * f.needs[c.n] AS high FROM fill f JOIN counts c ON c.layer = f.layer AND c.n < {block} WHERE f.times > 0 AND f.needs[c.n] > 0),
+met AS (SELECT a.piece, a.layer, f.step, (a.rank - f.low) // f.each AS place FROM nth a JOIN fills f ON f.layer = a.layer AND f.n = a.n AND a.rank >= f.low AND a.rank < f.high),
+lone AS (SELECT piece, n, layer FROM pieces WHERE piece NOT IN (SELECT piece FROM met)),
 {size_class("lone", block, "rest")},
-bins AS (SELECT piece, layer, min(piece) OVER (PARTITION BY layer, k, pair) AS bin FROM met WHERE pair IS NOT NULL UNION ALL SELECT piece, layer, bin FROM rest),
+bins AS (SELECT piece, layer, min(piece) OVER (PARTITION BY layer, step, place) AS bin FROM met UNION ALL SELECT piece, layer, bin FROM rest),
 blocks AS (SELECT bin, layer, min(bin) OVER (PARTITION BY layer, nth) AS cluster FROM (SELECT bin, layer, (row_number() OVER (PARTITION BY layer ORDER BY bin) - 1) // {node_limit // block} AS nth FROM (SELECT DISTINCT bin, layer FROM bins)))
 SELECT reach_id, downstream_id, piece, cluster, b.layer AS stage FROM assigned JOIN bins b USING (piece) JOIN blocks USING (bin)"""
 
 
+def loss_gradient() -> str:
+    """Forwards: how each pair's weights change with the parameter of each reach on its path, against what the loss says of the weights."""
+    n = WINDOW
+    slope = "(power(1 - x, t) - CASE WHEN t > 0 THEN x * t * power(1 - x, t - 1) ELSE 0 END) * -x * x"
+    return f"""WITH RECURSIVE {kernel("linear_storage")}, {runoff()}, flow AS ({conv()}),
+by_weight AS (SELECT p.dst, p.src, (y.t - x.t) AS lag, sum(x.value * y.value) AS g FROM pairs p JOIN runoff x ON x.reach_id = p.src JOIN flow y ON y.reach_id = p.dst AND y.batch = x.batch AND y.t - x.t BETWEEN 0 AND {n - 1} GROUP BY ALL),
+moved AS (SELECT reach_id, k, sum(s * cos({PI2} * k * t / {n})) AS re, -sum(s * sin({PI2} * k * t / {n})) AS im FROM (SELECT reach_id, t, {slope} AS s FROM (SELECT reach_id, t, 1 / (1 + tau) AS x FROM reaches, (SELECT unnest(range({n})) AS t))), (SELECT unnest(range({n})) AS k) GROUP BY ALL),
+own AS (SELECT reach_id, k, sum(w * cos({PI2} * k * t / {n})) AS re, -sum(w * sin({PI2} * k * t / {n})) AS im FROM w, (SELECT unnest(range({n})) AS k) GROUP BY ALL),
+ratio AS (SELECT reach_id, k, (m.re * o.re + m.im * o.im) / (o.re * o.re + o.im * o.im) AS re, (m.im * o.re - m.re * o.im) / (o.re * o.re + o.im * o.im) AS im FROM moved m JOIN own o USING (reach_id, k)),
+on_path AS (SELECT a.src, a.dst, b.dst AS reach_id FROM pairs a JOIN pairs b ON b.src = a.src AND b.dist <= a.dist WHERE EXISTS (SELECT 1 FROM by_weight g WHERE g.src = a.src AND g.dst = a.dst)),
+by_freq AS (SELECT o.src, o.dst, o.reach_id, p.k, exp(la) * (cos(ph) * re - sin(ph) * im) AS re, exp(la) * (cos(ph) * im + sin(ph) * re) AS im FROM on_path o JOIN path p ON p.src = o.src AND p.dst = o.dst JOIN ratio r ON r.reach_id = o.reach_id AND r.k = p.k),
+change AS (SELECT b.src, b.dst, b.reach_id, t AS lag, sum(re * cos({PI2} * b.k * t / {n}) - im * sin({PI2} * b.k * t / {n})) / {n} AS v FROM by_freq b, (SELECT unnest(range({n})) AS t) GROUP BY ALL),
+cut AS (SELECT c.src, c.dst, c.reach_id, c.lag, CASE WHEN f.w > 0 THEN v ELSE 0 END AS v, f.w AS fine FROM change c JOIN fine f ON f.src = c.src AND f.dst = c.dst AND f.t = c.lag),
+whole AS (SELECT *, sum(v) OVER (PARTITION BY src, dst, reach_id) AS v_sum, sum(fine) OVER (PARTITION BY src, dst, reach_id) AS s FROM cut)
+SELECT reach_id, 'tau' AS param, {rounded("sum(g * (v - fine / s * v_sum) / s)", 4, "1e12")} AS value FROM whole JOIN by_weight g USING (src, dst, lag) GROUP BY reach_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     with_pairs = lambda network, sql: f"WITH RECURSIVE {reaches(network)}, {PAIRS} {sql}"
     weights = f"SELECT dst, src, lag, {rounded('weight')} AS weight FROM kernel"
@@ -188,6 +213,12 @@ SELECT batch, reach_id, t, {rounded("value", 6, str(FLOW_UNIT))} AS value FROM (
         "param_gradient": "SELECT batch, reach_id, t, " + rounded("sum(CASE WHEN param_set = 'high' THEN value ELSE -value END) / 0.2", 2, str(FLOW_UNIT)) + " AS gradient FROM ("
         + " UNION ALL ".join(f"SELECT '{name}' AS param_set, * FROM (WITH RECURSIVE {kernel('linear_storage', tau=f'tau * {by}::DOUBLE')}, {runoff()} {conv()})" for name, by in (("low", 0.9), ("high", 1.1)))
         + ") GROUP BY ALL",
+        "tour_intervals": with_pairs("heap", """SELECT p.src AS reach_id, sum(CASE WHEN r.downstream_id IS NULL THEN 0 ELSE 1 + coalesce(earlier, 0) END)::BIGINT AS place, any_value(own.size) AS size
+FROM pairs p JOIN reaches r ON r.reach_id = p.dst JOIN (SELECT dst, count(*) AS size FROM pairs GROUP BY dst) own ON own.dst = p.src
+LEFT JOIN (SELECT reach_id, sum(size) OVER (PARTITION BY downstream_id ORDER BY reach_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM reaches JOIN (SELECT dst AS reach_id, count(*) AS size FROM pairs GROUP BY dst) USING (reach_id)) e ON e.reach_id = p.dst GROUP BY p.src"""),
+        "series_files": series("SELECT * FROM runoff WHERE t >= 12 AND t < 60 AND reach_id > 10"),
+        "loss_gradient": loss_gradient(),
         "transfers": planned("SELECT * FROM moves"),
         "transfer_tables": planned("SELECT row_number() OVER (ORDER BY src_cluster, src_reach) - 1 AS transfer_id, * FROM moves"),
         "cluster_ranges": planned('SELECT cluster, (sum(n) OVER (ORDER BY cluster) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY cluster))::BIGINT AS "end" FROM (SELECT cluster, count(*) AS n FROM plan GROUP BY cluster)'),
@@ -213,6 +244,7 @@ UNION ALL SELECT r.downstream_id, -(dist + 1 + src % 3)::DOUBLE FROM pairs JOIN
         "route_batched": routed("linear_storage", batch="o_orderstatus"),
         "route_subres": routed("linear_storage", f=s),
         "conv_packed": routed("linear_storage"),
+        "conv_blocks": routed("linear_storage"),
     }
     for name in ("linear_storage", "muskingum", "nash_cascade", "hayami", "pure_lag"):
         out[f"kernel_{name}"] = f"WITH RECURSIVE {kernel(name)} {weights}"

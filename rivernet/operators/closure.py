@@ -1,7 +1,7 @@
 """Who drains to whom: closure, downstream sums and what follows from them.
 
 All loops double their reach each round, so a network of depth d takes about
-log2(d) rounds; each round's tables are checkpointed.
+log2(d) rounds; each round's table is written and read again (``Rounds``).
 """
 
 from __future__ import annotations
@@ -12,24 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import Rounds, settled
 from .network import NetworkError
 
+RUN = 4096  # places that one row expands to
 
 def closure(reaches: DataFrame, include_self: bool = True) -> DataFrame:
     """src, dst, dist: every reach with each reach its water comes to; raises on a cycle."""
     edges = reaches.select("reach_id", "downstream_id")
     pairs = edges.select(F.col("reach_id").alias("src"), F.col("reach_id").alias("dst"), F.lit(0).alias("dist"))
-    jump = edges.filter("downstream_id IS NOT NULL").select(F.col("reach_id").alias("src"), F.col("downstream_id").alias("mid"))
+    jumps = Rounds(edges.filter("downstream_id IS NOT NULL").select(F.col("reach_id").alias("src"), F.col("downstream_id").alias("mid")))
     step, most = 1, None
-    while not jump.isEmpty():
+    while not jumps.table.isEmpty():
         most = most or reaches.count()
         if step > most:
             raise NetworkError("the network has a cycle")
+        jump = jumps.table
         # Only the new pairs are written: those of earlier rounds stay where they are.
         far = jump.join(pairs.withColumnRenamed("src", "mid"), "mid").select("src", "dst", (F.col("dist") + step).alias("dist"))
-        pairs = pairs.unionByName(cut(far))
-        jump = cut(jump.join(jump.select(F.col("src").alias("mid"), F.col("mid").alias("next")), "mid").select("src", F.col("next").alias("mid")))
+        pairs = pairs.unionByName(settled(far))
+        jumps.put(jump.join(jump.select(F.col("src").alias("mid"), F.col("mid").alias("next")), "mid").select("src", F.col("next").alias("mid")))
         step *= 2
     return pairs if include_self else pairs.filter("dist > 0")
 
@@ -41,16 +43,19 @@ def _add(a: Column, b: Column, is_array: bool) -> Column:
 def downstream_sum(reaches: DataFrame, value: str) -> DataFrame:
     """reach_id and the sum of ``value`` (number or array) from each reach to its outlet, both included."""
     is_array = reaches.schema[value].dataType.typeName() == "array"
-    state = cut(reaches.select("reach_id", F.col("downstream_id").alias("next"), F.col(value).alias("acc")))
+    rounds = Rounds(reaches.select("reach_id", F.col("downstream_id").alias("next"), F.col(value).alias("acc")))
     step, most = 1, None
-    while not state.filter("next IS NOT NULL").isEmpty():
+    while not rounds.table.filter("next IS NOT NULL").isEmpty():
         most = most or reaches.count()
         if step > most:
             raise NetworkError("the network has a cycle")
+        state = rounds.table
         ahead = state.select(F.col("reach_id").alias("next"), F.col("next").alias("after"), F.col("acc").alias("more"))
-        state = cut(state.join(ahead, "next", "left").select("reach_id", F.col("after").alias("next"), _add(F.col("acc"), F.col("more"), is_array).alias("acc")))
+        # Rows at their outlet are carried over, not joined again.
+        moved = state.filter("next IS NOT NULL").join(ahead, "next", "left").select("reach_id", F.col("after").alias("next"), _add(F.col("acc"), F.col("more"), is_array).alias("acc"))
+        rounds.put(moved.unionByName(state.filter("next IS NULL")))
         step *= 2
-    return state.select("reach_id", F.col("acc").alias(value))
+    return rounds.table.select("reach_id", F.col("acc").alias(value))
 
 
 def upstream_fold(reaches: DataFrame, sums: Mapping[str, Column], along: Mapping[str, str] | None = None) -> DataFrame:
@@ -62,19 +67,20 @@ def upstream_fold(reaches: DataFrame, sums: Mapping[str, Column], along: Mapping
     no pairs of reaches are made.
     """
     along = along or {}
-    state = cut(reaches.select("reach_id", F.col("downstream_id").alias("next"), *(c.alias(n) for n, c in sums.items()), F.lit(0).alias("level")))
+    rounds = Rounds(reaches.select("reach_id", F.col("downstream_id").alias("next"), *(c.alias(n) for n, c in sums.items()), F.lit(0).alias("level")))
     step, most = 1, None
-    while not state.filter("next IS NOT NULL").isEmpty():
+    while not rounds.table.filter("next IS NOT NULL").isEmpty():
         most = most or reaches.count()
         if step > most:
             raise NetworkError("the network has a cycle")
+        state = rounds.table
         moved = [F.sum(F.col(n) + step * F.col(along[n]) if n in along else F.col(n)).alias(f"_{n}") for n in sums]
         sent = state.filter("next IS NOT NULL").groupBy(F.col("next").alias("_to")).agg(*moved, (F.max("level") + step).alias("_level"))
         ahead = state.select(F.col("reach_id").alias("next"), F.col("next").alias("_after"))
         both = state.join(sent, F.col("reach_id") == F.col("_to"), "left").join(ahead, "next", "left")
-        state = cut(both.select("reach_id", F.col("_after").alias("next"), *(F.when(F.col("_to").isNull(), F.col(n)).otherwise(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums), F.greatest("level", F.coalesce("_level", F.lit(0))).alias("level")))
+        rounds.put(both.select("reach_id", F.col("_after").alias("next"), *(F.when(F.col("_to").isNull(), F.col(n)).otherwise(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums), F.greatest("level", F.coalesce("_level", F.lit(0))).alias("level")))
         step *= 2
-    return state.drop("next")
+    return rounds.table.drop("next")
 
 
 def path_counts(reaches: DataFrame, include_self: bool = True) -> DataFrame:
@@ -96,6 +102,42 @@ def running_total(df: DataFrame, order: str, value: str, name: str, parts: int =
     return rows.withColumn("_in", inside).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
 
 
+def running_within(rows: DataFrame, keys: list[str], order: str, value: str, name: str, parts: int = 256) -> DataFrame:
+    """Adds the running sum of ``value`` by a unique long ``order`` among rows of the same ``keys`` (not null): within ranges of it, then over these."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+    rows = rows.withColumn("_part", F.expr(f"({order} - {low or 0}L) div {width}L"))
+    sums = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_n"))
+    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = rows.withColumn("_in", F.sum(value).over(W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return inside.join(base, [*keys, "_part"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
+
+
+def intervals(reaches: DataFrame) -> DataFrame:
+    """reach_id, place, size: all that drains through a reach, itself included, has the places from its own on, ``size`` of them.
+
+    Places count from 0.  They are those of a tour of the forest that comes to a
+    reach before all upstream of it: a reach lies behind its downstream one by
+    the sizes of its earlier siblings, and these steps are summed to the outlet.
+    """
+    sized = settled(reaches.select("reach_id", "downstream_id").join(upstream_counts(reaches).withColumnRenamed("n_upstream", "size"), "reach_id"))
+    siblings = sized.withColumns({"_last": F.col("downstream_id").isNull(), "_down": F.coalesce("downstream_id", F.lit(0).cast("long"))})
+    steps = running_within(siblings, ["_last", "_down"], "reach_id", "size", "_total").withColumn("step", F.col("_total") - F.col("size") + F.when(F.col("_last"), 0).otherwise(1))
+    place = downstream_sum(steps.select("reach_id", "downstream_id", "step"), "step").withColumnRenamed("step", "place")
+    return sized.select("reach_id", "size").join(place, "reach_id").select("reach_id", "place", "size")
+
+
+def upstream_sets(reaches: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """dst, src: the reaches upstream of each (of those in ``of(reach_id)``), as ranges of places; the closure isn't needed."""
+    at = settled(intervals(reaches))
+    ends = at.select(F.col("reach_id").alias("dst"), (F.col("place") + 1).alias("low"), (F.col("place") + F.col("size") - 1).alias("high")).filter("low <= high")
+    if of is not None:
+        ends = ends.join(of.select(F.col("reach_id").alias("dst")), "dst", "left_semi")
+    runs = ends.select("dst", "high", F.explode(F.sequence("low", "high", F.lit(RUN))).alias("low"))
+    wanted = runs.select("dst", F.explode(F.sequence("low", F.least(F.col("low") + RUN - 1, "high"))).alias("place"))
+    return wanted.join(at.select("place", F.col("reach_id").alias("src")), "place").select("dst", "src")
+
+
 def levels(reaches: DataFrame) -> DataFrame:
     """reach_id, level: steps from the farthest headwater."""
     return upstream_fold(reaches, {})
@@ -103,16 +145,18 @@ def levels(reaches: DataFrame) -> DataFrame:
 
 def outlets(reaches: DataFrame) -> DataFrame:
     """reach_id, outlet: the tree a reach belongs to is named by its last reach."""
-    state = cut(reaches.select("reach_id", F.coalesce("downstream_id", "reach_id").alias("outlet"), F.col("downstream_id").isNotNull().alias("moving")))
-    rounds, most = 1, None
-    while not state.filter("moving").isEmpty():
+    rounds = Rounds(reaches.select("reach_id", F.coalesce("downstream_id", "reach_id").alias("outlet"), F.col("downstream_id").isNotNull().alias("moving")))
+    step, most = 1, None
+    while not rounds.table.filter("moving").isEmpty():
         most = most or reaches.count()
-        if rounds > 2 * most:
+        if step > 2 * most:
             raise NetworkError("the network has a cycle")
+        state = rounds.table
         ahead = state.select(F.col("reach_id").alias("outlet"), F.col("outlet").alias("_next"))
-        state = cut(state.join(ahead, "outlet").select("reach_id", F.col("_next").alias("outlet"), (F.col("_next") != F.col("outlet")).alias("moving")))
-        rounds *= 2
-    return state.drop("moving")
+        moved = state.filter("moving").join(ahead, "outlet").select("reach_id", F.col("_next").alias("outlet"), (F.col("_next") != F.col("outlet")).alias("moving"))
+        rounds.put(moved.unionByName(state.filter("NOT moving")))
+        step *= 2
+    return rounds.table.drop("moving")
 
 
 def ancestors(pairs: DataFrame, of: DataFrame | None = None) -> DataFrame:

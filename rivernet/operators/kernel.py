@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import settled
 from ..functions import sampling, spectral
-from ..functions.irf import get_irf
-from .closure import closure, downstream_sum
+from ..functions.irf import Irf, get_irf
+from .closure import closure, downstream_sum, running_total
 from .network import RiverNetwork
 
 
@@ -18,10 +22,28 @@ def responses(network: RiverNetwork, window: int, substeps: int = 1) -> DataFram
     if window < 1 or substeps < 1:
         raise ValueError("window and substeps are positive integers")
     irf = get_irf(network.irf)
-    weights = irf.build({p: F.col(p) for p in irf.params}, window * substeps, 1 / substeps)
+    n, dt = window * substeps, 1 / substeps
+    if irf.vectorised:
+        return _vectorised(network.reaches.select("reach_id", "downstream_id", *(F.col(p).cast("double").alias(p) for p in irf.params)), irf, n, dt)
+    weights = irf.build({p: F.col(p) for p in irf.params}, n, dt)
     return network.reaches.select("reach_id", "downstream_id", weights.alias("irf"))
 
 
+def _vectorised(rows: DataFrame, irf: Irf, n: int, dt: float) -> DataFrame:
+    weigh, params, name = irf.vectorised, irf.params, irf.name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            weights = np.asarray(weigh({p: np.asarray(b.column(p)) for p in params}, n, dt), np.float64)
+            if weights.shape != (b.num_rows, n):
+                raise ValueError(f"{name} gave weights of shape {weights.shape} for {b.num_rows} reaches of {n} samples")
+            yield pa.RecordBatch.from_arrays([b.column("reach_id"), b.column("downstream_id"), spectral._lists(weights)], names=["reach_id", "downstream_id", "irf"])
+
+    return rows.mapInArrow(run, "reach_id long, downstream_id long, irf array<double>")
+
+
 def path_spectra(network: RiverNetwork, window: int, substeps: int = 1, pairs: DataFrame | None = None) -> DataFrame:
     """dst, src, spectrum: log spectrum of the product over the path, as a difference of two sums to the outlet."""
     spectra = spectral.log_spectrum(responses(network, window, substeps))
@@ -61,9 +83,9 @@ def to_blocks(kernel: DataFrame, block: int, flip: bool = False) -> DataFrame:
 
 def block_index(blocks: DataFrame) -> DataFrame:
     """block, block_row, block_col, cells: the blocks that hold anything, numbered by row and column."""
-    counts = cut(blocks.groupBy("block_row", "block_col").agg(F.count("*").alias("cells")))
-    rows = counts.groupBy("block_row").agg(F.count("*").alias("n"))
-    base = rows.select("block_row", F.coalesce(F.sum("n").over(W.orderBy("block_row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    counts = settled(blocks.groupBy("block_row", "block_col").agg(F.count("*").alias("cells")))
+    rows = settled(counts.groupBy("block_row").agg(F.count("*").alias("n")))
+    base = running_total(rows, "block_row", "n", "total").select("block_row", (F.col("total") - F.col("n")).alias("base"))
     nth = F.row_number().over(W.partitionBy("block_row").orderBy("block_col"))
     return counts.withColumn("nth", nth).join(base, "block_row").select((F.col("base") + F.col("nth") - 1).alias("block"), "block_row", "block_col", "cells")
 

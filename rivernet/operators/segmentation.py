@@ -9,16 +9,20 @@ a tree or the pieces in one place are needed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
-from .closure import downstream_sum, levels, outlets, upstream_fold
+from ..checkpoints import Rounds, settled
+from .closure import downstream_sum, levels, outlets, running_total, upstream_fold
 
 MEASURES = ("paths", "reaches")
 RANGES = 256
+PARTS = 4  # pieces of a block that is filled exactly
 
 
 def chain_length(limit: int, measure: str) -> int:
@@ -41,10 +45,10 @@ def cut_plan(reaches: DataFrame, limit: int, measure: str = "paths") -> DataFram
     one = F.lit(1).cast("long")
     stats = upstream_fold(reaches, {"n": one, "length": one}, {"length": "n"})
     of = reaches.select("reach_id", "downstream_id").join(stats.select("reach_id", F.col("length" if measure == "paths" else "n").alias("size")), "reach_id")
-    of = cut(of.withColumn("large", F.col("size") > limit))
+    of = settled(of.withColumn("large", F.col("size") > limit))
     heaviest = of.filter("large AND downstream_id IS NOT NULL").groupBy(F.col("downstream_id").alias("reach_id")).agg(F.max_by("reach_id", F.struct("size", -F.col("reach_id"))).alias("above"))
     trunk = of.join(heaviest.select(F.col("above").alias("reach_id"), F.lit(True).alias("goes_on")), "reach_id", "left")
-    trunk = cut(trunk.withColumn("goes_on", F.col("goes_on").isNotNull()))
+    trunk = settled(trunk.withColumn("goes_on", F.col("goes_on").isNotNull()))
     steps = trunk.filter("large").select("reach_id", F.when(F.col("goes_on"), F.col("downstream_id")).alias("downstream_id"), F.col("goes_on").cast("long").alias("place"))
     place = downstream_sum(steps, "place")  # steps to the trunk's lower end
     d = chain_length(limit, measure)
@@ -81,36 +85,42 @@ def transfers(assigned: DataFrame, cluster: str) -> DataFrame:
 
 def transfer_tables(moves: DataFrame) -> DataFrame:
     """Adds transfer_id, counted from 0 within each sending cluster and then over them."""
-    moves = cut(moves)
-    counts = moves.groupBy("src_cluster").agg(F.count("*").alias("n"))
-    base = counts.select("src_cluster", F.coalesce(F.sum("n").over(W.orderBy("src_cluster").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    moves = settled(moves)
+    counts = settled(moves.groupBy("src_cluster").agg(F.count("*").alias("n")))
+    base = running_total(counts, "src_cluster", "n", "total").select("src_cluster", (F.col("total") - F.col("n")).alias("base"))
     nth = F.row_number().over(W.partitionBy("src_cluster").orderBy("src_reach"))
     return moves.withColumn("nth", nth).join(base, "src_cluster").select((F.col("base") + F.col("nth") - 1).alias("transfer_id"), "src_cluster", "dst_cluster", "src_reach", "dst_reach")
 
 
 def cluster_ranges(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
     """cluster, start, end: the place of each cluster's reaches when all lie in a row."""
-    counts = assigned.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
-    end = F.sum("n").over(W.orderBy("cluster").rowsBetween(W.unboundedPreceding, 0))
-    return counts.select("cluster", (end - F.col("n")).alias("start"), end.alias("end"))
+    counts = settled(assigned.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n")))
+    return running_total(counts, "cluster", "n", "end").select("cluster", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def stages(moves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """cluster, stage for ``nodes(cluster)``: 0 without upstream clusters, else one more than the latest of them; raises on a cycle."""
-    links = cut(moves.select("src_cluster", "dst_cluster").distinct())
-    state = cut(nodes.select("cluster", F.lit(0).alias("stage")))
-    most = None
-    k = 0
+    """cluster, stage for ``nodes(cluster)``: 0 without upstream clusters, else one more than the latest of them; raises on a cycle.
+
+    Where every cluster drains to one other at most they are levels of a forest,
+    found in log2(stages) rounds; else a round a stage.
+    """
+    links = settled(moves.select("src_cluster", "dst_cluster").distinct())
+    if links.groupBy("src_cluster").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        forest = nodes.select("cluster").distinct().join(links, F.col("cluster") == F.col("src_cluster"), "left").select(F.col("cluster").alias("reach_id"), F.col("dst_cluster").alias("downstream_id"))
+        return levels(forest).select(F.col("reach_id").alias("cluster"), F.col("level").alias("stage"))
+    reached, latest = Rounds(nodes.select("cluster", F.lit(0).alias("stage"))), None
+    most, k = None, 0
     while True:
         k += 1
-        later = state.filter(F.col("stage") == k - 1).join(links, F.col("cluster") == F.col("src_cluster")).select(F.col("dst_cluster").alias("cluster"), F.lit(k).alias("later")).distinct()
-        later = cut(later)
-        if later.isEmpty():
-            return state
+        here = reached.table if latest is None else latest.table
+        later = here.join(links, F.col("cluster") == F.col("src_cluster")).select(F.col("dst_cluster").alias("cluster"), F.lit(k).alias("stage")).distinct()
+        latest = Rounds(later)
+        if latest.table.isEmpty():
+            return reached.table
         most = most or nodes.count()
         if k > most:
             raise ValueError("clusters depend on each other in a cycle")
-        state = cut(state.join(later, "cluster", "left").select("cluster", F.coalesce("later", "stage").alias("stage")))
+        reached.put(reached.table.unionByName(latest.table).groupBy("cluster").agg(F.max("stage").alias("stage")))
 
 
 def ranked(rows: DataFrame, keys: list[str], id_: str, name: str = "rank") -> DataFrame:
@@ -132,18 +142,53 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.withColumn(name, F.min("piece").over(W.partitionBy(*keys)))
 
 
-def by_complement(pieces: DataFrame, limit: int) -> DataFrame:
-    """piece, n, layer, bin: pieces of a layer that fill ``limit`` exactly two by two (k and limit - k reaches) share a bin, others have one each."""
-    small = F.least("n", limit - F.col("n"))
-    rows = cut(ranked(pieces.withColumn("_k", F.when(F.col("n") < limit, small)), ["layer", "n"], "piece"))
-    counts = rows.groupBy("layer", "n").agg(F.count("*").alias("_own"))
-    other = counts.select("layer", (limit - F.col("n")).alias("n"), F.col("_own").alias("_other"))
-    rows = rows.join(counts, ["layer", "n"]).join(other, ["layer", "n"], "left")
-    half = 2 * F.col("n") == limit
-    met = F.when(half, F.col("rank") < F.col("_own") - F.col("_own") % 2).otherwise(F.col("rank") < F.least("_own", "_other"))
-    pair = F.when(F.col("_k").isNotNull() & met, F.when(half, F.expr("rank div 2")).otherwise(F.col("rank")))
-    rows = rows.withColumns({"_pair": pair, "_lone": F.when(pair.isNull(), F.col("piece"))})
-    return _named(rows, ["layer", "_k", "_pair", "_lone"], "bin").select("piece", "n", "layer", "bin")
+@cache
+def exact_patterns(limit: int, parts: int = PARTS) -> tuple[tuple[int, ...], ...]:
+    """All ways to write ``limit`` as 2 to ``parts`` sizes, fewer parts first, then the larger sizes first."""
+
+    def ways(left: int, n: int, most: int) -> Iterator[tuple[int, ...]]:
+        if n == 1:
+            if left <= most:
+                yield (left,)
+            return
+        for first in range(min(most, left - n + 1), -(-left // n) - 1, -1):
+            yield from ((first, *rest) for rest in ways(left - first, n - 1, first))
+
+    return tuple(p for n in range(2, parts + 1) for p in ways(limit, n, limit - 1))
+
+
+def _fill(sizes: pd.DataFrame, limit: int, parts: int) -> pd.DataFrame:
+    """layer, n, pattern, each, low, high: which ranks of a layer's pieces of n reaches go to a pattern, ``each`` to a block.
+
+    ``sizes(layer, n, count)`` has a row for each size in one layer.  Every
+    pattern in turn is taken as often as what is left allows.
+    """
+    left = dict(zip(sizes["n"].tolist(), sizes["count"].tolist(), strict=True))
+    used, rows, layer = dict.fromkeys(left, 0), [], sizes["layer"].iloc[0]
+    for k, pattern in enumerate(exact_patterns(limit, parts)):
+        each = {n: pattern.count(n) for n in pattern}
+        times = min(left.get(n, 0) // m for n, m in each.items())
+        for n, m in each.items() if times else ():
+            rows.append((layer, n, k, m, used[n], used[n] + times * m))
+            left[n] -= times * m
+            used[n] += times * m
+    return pd.DataFrame(rows, columns=["layer", "n", "pattern", "each", "low", "high"])
+
+
+def exact_blocks(pieces: DataFrame, limit: int, parts: int = PARTS) -> DataFrame:
+    """piece, n, layer, bin of those pieces that fill blocks of ``limit`` exactly, two to ``parts`` of a layer to a block.
+
+    Sizes are counted by layer, patterns of sizes are laid over the counts, and
+    pieces go to them by their rank in layer and size: no task sees the pieces
+    of a layer, only its counts, ``limit`` rows at most.
+    """
+    rows = settled(ranked(pieces.select("piece", "n", "layer"), ["layer", "n"], "piece"))
+    counts = rows.filter(F.col("n") < limit).groupBy("layer", "n").agg(F.count("*").alias("count"))
+    fills = counts.groupBy("layer").applyInPandas(lambda sizes: _fill(sizes, limit, parts), "layer int, n long, pattern int, each long, low long, high long")
+    by_size = settled(fills.groupBy("layer", "n").agg(F.collect_list(F.struct("low", "high", "pattern", "each")).alias("fills")))
+    met = rows.join(by_size, ["layer", "n"]).withColumn("f", F.get(F.filter("fills", lambda f: (f["low"] <= F.col("rank")) & (F.col("rank") < f["high"])), F.lit(0)))
+    met = met.filter("f IS NOT NULL").select("piece", "n", "layer", F.col("f.pattern").alias("_pattern"), F.expr("(rank - f.low) div f.each").alias("_nth"))
+    return _named(met, ["layer", "_pattern", "_nth"], "bin").select("piece", "n", "layer", "bin")
 
 
 def by_size_class(pieces: DataFrame, limit: int) -> DataFrame:
@@ -159,11 +204,10 @@ def by_size_class(pieces: DataFrame, limit: int) -> DataFrame:
 
 
 def packed_blocks(pieces: DataFrame, block: int) -> DataFrame:
-    """piece, n, layer, bin of at most ``block`` reaches: complements first, what is left by size class."""
-    first = cut(by_complement(pieces, block))
-    several = first.groupBy("bin").agg(F.count("*").alias("m")).filter("m > 1").select("bin")
-    rest = by_size_class(first.join(several, "bin", "left_anti").select("piece", "n", "layer"), block)
-    return first.join(several, "bin", "left_semi").select("piece", "n", "layer", "bin").unionByName(rest)
+    """piece, n, layer, bin of at most ``block`` reaches: exactly filled ones first, what is left by size class."""
+    full = settled(exact_blocks(pieces, block))
+    rest = by_size_class(pieces.join(full.select("piece"), "piece", "left_anti").select("piece", "n", "layer"), block)
+    return full.unionByName(rest)
 
 
 def schedule(reaches: DataFrame, path_limit: int = 100_000, node_limit: int = 10_000, strategy: str = "paths", block: int = 16) -> DataFrame:
@@ -179,14 +223,14 @@ def schedule(reaches: DataFrame, path_limit: int = 100_000, node_limit: int = 10
     if strategy not in ("paths", "blocks"):
         raise NotImplementedError(f"strategy {strategy!r}")
     plan = cut_plan(reaches, path_limit) if strategy == "paths" else cut_plan(reaches, block, "reaches")
-    assigned = cut(pieces_of(reaches, plan.filter("cut")))
+    assigned = settled(pieces_of(reaches, plan.filter("cut")))
     last = assigned.filter("reach_id = piece").select("piece", "downstream_id")
     of = assigned.select(F.col("reach_id").alias("downstream_id"), F.col("piece").alias("_down"))
     links = last.join(of, "downstream_id", "left").select(F.col("piece").alias("reach_id"), F.col("_down").alias("downstream_id"))
-    layer = levels(cut(links)).select(F.col("reach_id").alias("piece"), F.col("level").alias("layer"))
-    pieces = cut(assigned.groupBy("piece").agg(F.count("*").alias("n")).join(layer, "piece"))
+    layer = levels(settled(links)).select(F.col("reach_id").alias("piece"), F.col("level").alias("layer"))
+    pieces = settled(assigned.groupBy("piece").agg(F.count("*").alias("n")).join(layer, "piece"))
     if strategy == "blocks":
-        bins = cut(packed_blocks(pieces, block))
+        bins = settled(packed_blocks(pieces, block))
         blocks = bins.groupBy("bin", "layer").agg(F.min("piece").alias("piece"))
         nth = F.expr(f"rank div {max(1, node_limit // block)}L")
         whole = _named(ranked(blocks, ["layer"], "piece").withColumn("_nth", nth), ["layer", "_nth"], "cluster").select("bin", "cluster")

@@ -1,7 +1,9 @@
 """Staged routing: clusters of one stage are routed at once, their outflow at cut edges is runoff of later stages.
 
-Kernel, runoff and boundary lie in the shared checkpoint folder in one part for
-each stage, so that a stage reads its own rows only.
+Kernel and inflow lie in tables of the shared checkpoint folder, in parts by
+stage and in buckets by the reach at which they meet.  A stage reads its own
+parts only, and its inflow is summed and joined with its kernel bucket by bucket,
+without an exchange of either; what comes out is dealt by the reach it comes to.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, ensure_checkpoint_dir
+from ..checkpoints import ensure_checkpoint_dir, settled
 from .convolution import convolve
 from .network import RiverNetwork
 from .routing import Router
@@ -23,22 +25,22 @@ SERIES = ("batch", "reach_id", "t", "value")
 
 
 class StageStore:
-    """Tables in parts by ``stage``."""
+    """Tables in parts by ``stage`` and buckets by a key, the same number for each table."""
 
-    def __init__(self, like: DataFrame, n_stages: int):
-        self.spark, self.n_stages = like.sparkSession, max(1, n_stages)
-        self.folder = f"{ensure_checkpoint_dir(self.spark)}/staged-{uuid.uuid4().hex}"
-        self.schemas: dict[str, str] = {}
+    def __init__(self, like: DataFrame):
+        self.spark = like.sparkSession
+        self.name = f"staged_{uuid.uuid4().hex}"
+        self.folder = f"{ensure_checkpoint_dir(self.spark)}/{self.name}"
+        self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def put(self, name: str, rows: DataFrame, key: str) -> None:
-        """Adds ``rows``; those of a stage are spread over several files."""
-        self.schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.n_stages)
-        dealt = rows.repartition("stage", F.pmod(F.xxhash64(key), F.lit(spread)))
-        dealt.write.mode("append").partitionBy("stage").parquet(f"{self.folder}/{name}")
+        """Adds ``rows``: they are dealt as buckets are, so that a task writes one bucket, a file for each stage of it."""
+        table = f"{self.name}_{name}"
+        dealt = rows.repartition(self.buckets, key).sortWithinPartitions("stage", key)
+        dealt.write.format("parquet").mode("append").partitionBy("stage").bucketBy(self.buckets, key).option("path", f"{self.folder}/{name}").saveAsTable(table)
 
     def get(self, name: str, stage: int | None = None, after: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}")
+        rows = self.spark.table(f"{self.name}_{name}")
         rows = rows if stage is None else rows.filter(F.col("stage") == stage)
         return rows if after is None else rows.filter(F.col("stage") > after)
 
@@ -66,25 +68,28 @@ class StagedRouter:
             return
         of = plan.select("reach_id", "stage")
         moves = transfers(plan, "cluster").select("src_reach", "dst_reach").join(of.withColumnRenamed("reach_id", "dst_reach"), "dst_reach")
-        moves = cut(moves.join(of.select(F.col("reach_id").alias("src_reach"), F.col("stage").alias("src_stage")), "src_reach"))
+        moves = settled(moves.join(of.select(F.col("reach_id").alias("src_reach"), F.col("stage").alias("src_stage")), "src_reach"))
         inner = self._inner(network, plan)
-        store = StageStore(plan, last + 1)
+        inner = RiverNetwork(settled(inner.reaches), inner.irf, inner.include_self)
+        store = StageStore(plan)
         store.put("kernel", self.router.kernel(inner).join(of.withColumnRenamed("reach_id", "dst"), "dst").filter(F.col("stage") >= first), "src")
         lazily = callable(runoff)
-        given = (boundary if lazily else runoff) if boundary is None or lazily else runoff.select(*SERIES).unionByName(boundary.select(*SERIES))
-        if given is None:
-            given = runoff(first).limit(0)
-        store.put("runoff", given.select(*SERIES).join(of, "reach_id").filter(F.col("stage") >= first).select(*SERIES, "stage"), "reach_id")
-        store.put("boundary", store.get("runoff").limit(0), "reach_id")
+        given = runoff(first).limit(0) if lazily else runoff
+        inflow = given.select(*SERIES).withColumn("from_above", F.lit(False))
+        if boundary is not None:
+            inflow = inflow.unionByName(boundary.select(*SERIES).withColumn("from_above", F.lit(True)))
+        store.put("inflow", inflow.join(of, "reach_id").filter(F.col("stage") >= first), "reach_id")
         for k in range(first, last + 1):
-            own = store.get("runoff", k).drop("stage").unionByName(store.get("boundary", k).drop("stage"))
             if lazily:
-                own = own.unionByName(runoff(k).select(*SERIES).join(plan.filter(F.col("stage") == k).select("reach_id"), "reach_id", "left_semi").select(*SERIES))
-            own = own.groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
-            flow = cut(self._route(own, inner, store.get("kernel", k).drop("stage"), steps))
-            out = moves.filter(F.col("src_stage") == k)
-            store.put("boundary", flow.join(out, F.col("reach_id") == F.col("src_reach")).select("batch", F.col("dst_reach").alias("reach_id"), "t", "value", "stage"), "reach_id")
-            yield k, flow, store.get("boundary", after=k).drop("stage")
+                own = runoff(k).select(*SERIES).join(plan.filter(F.col("stage") == k).select("reach_id", "stage"), "reach_id")
+                store.put("inflow", own.withColumn("from_above", F.lit(False)), "reach_id")
+            into = store.get("inflow", k).groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
+            flow = settled(self._route(into, inner, store.get("kernel", k).drop("stage"), steps))
+            if k < last:
+                out = moves.filter(F.col("src_stage") == k)
+                below = flow.join(out, F.col("reach_id") == F.col("src_reach")).select("batch", F.col("dst_reach").alias("reach_id"), "t", "value", F.lit(True).alias("from_above"), "stage")
+                store.put("inflow", below, "reach_id")
+            yield k, flow, store.get("inflow", after=k).filter("from_above").select(*SERIES)
 
     def _route(self, own: DataFrame, inner: RiverNetwork, kernel: DataFrame, steps: int) -> DataFrame:
         flow = convolve(own, kernel, steps, self.router.strategy)

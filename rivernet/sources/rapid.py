@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import settled
 from ..operators.network import NetworkError, RiverNetwork
 from ..operators.segmentation import schedule
 
@@ -19,7 +19,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line, value: the rows of a text file in order, numbered from 0 by split, then within each split."""
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"))
     counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
-    base = counts.select("file", "block", F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = counts.select("file", "block", F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row a split
     nth = F.row_number().over(W.partitionBy("file", "block").orderBy("id"))
     return lines.withColumn("nth", nth).join(base, ["file", "block"]).select((F.col("base") + F.col("nth") - 1).alias("line"), "value")
 
@@ -69,6 +69,6 @@ def read_rapid_segmented(spark: SparkSession, folder: str | Sequence[str], path_
 def write_rapid(reaches: DataFrame, folder: str) -> None:
     """The four files of a project (each a folder of parts in the order of reaches) of ``reaches(reach_id, downstream_id, k, x)``."""
     rows = reaches.select("reach_id", F.coalesce("downstream_id", F.lit(-1)).alias("down"), (F.col("k") * SECONDS_A_DAY).alias("k"), "x")
-    rows = cut(rows.repartitionByRange("reach_id").sortWithinPartitions("reach_id"))
-    for name, columns in (("rapid_connect", ["reach_id", "down"]), ("riv_bas_id", ["reach_id"]), ("k", ["k"]), ("x", ["x"])):
-        rows.select(*columns).write.csv(f"{folder}/{name}.csv")
+    rows = settled(rows)
+    for name, columns in (("rapid_connect", ["reach_id", "down"]), ("riv_bas_id", ["reach_id"]), ("k", ["reach_id", "k"]), ("x", ["reach_id", "x"])):
+        rows.select(*columns).repartitionByRange("reach_id").sortWithinPartitions("reach_id").select(*columns[-1:] if name in ("k", "x") else columns).write.csv(f"{folder}/{name}.csv")
