@@ -1,10 +1,10 @@
 """Jaccard join of word n-gram sets by grouped prefixes.
 
 A set's n-grams are ordered from rare to frequent.  Two sets of a similarity of
-at least the threshold share one of their first few n-grams, their prefixes.
+at least the threshold share SHARED of their first few n-grams, their prefixes.
 Sets of one size with the same prefix form a group; only groups are joined, by
-the n-grams of their prefixes, and pairs are filtered by size and by the places
-of the shared n-gram.  What is left is expanded to the members of the groups and
+the n-grams of their prefixes, and pairs are filtered by size, by the places of
+the shared n-grams and by their number.  What is left is expanded to the members of the groups and
 every link is confirmed on whole sets.  (Bouros, Ge and Mamoulis,
 "Spatio-textual similarity joins", 2012.)
 
@@ -29,13 +29,14 @@ from .tokens import some_texts
 
 WIDTH, PERCENT = 4, 85
 CELLS, SLICE = 1 << 21, 1 << 16
+SHARED = 4  # n-grams that the prefixes of a pair must have in common; they are so much longer
 FEW = 16  # groups in the list of an n-gram whose pairs are taken one by one
 LIST_ROWS, CLASS_NGRAMS, TEXT_BYTES = 20_000, 4_000_000, 1 << 21
 
 
 def prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
-    """N-grams of a set of ``size`` of which a set that is alike must hold one: those that may all be missing, and one more."""
-    return size - -(-size * percent // 100) + 1
+    """N-grams of a set of ``size`` of which a set that is alike must hold SHARED: those that may all be missing, and so many more."""
+    return np.minimum(size, size - -(-size * percent // 100) + SHARED)
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -107,8 +108,8 @@ def prefixes(texts: DataFrame, table: np.ndarray, width: int, percent: int) -> D
             size = np.diff(offsets)
             of = np.repeat(np.arange(len(size)), size)
             h = h[np.lexsort((h, bits[(h & np.uint64(CELLS - 1)).astype(np.int64)], of))]
-            take = np.arange(len(h)) - np.repeat(offsets[:-1], size) < np.repeat(prefix_size(size, percent), size)
-            h, ends = h[take], np.concatenate(([0], np.cumsum(np.where(size > 0, prefix_size(size, percent), 0))))
+            length = prefix_size(size, percent)
+            h, ends = h[np.arange(len(h)) - np.repeat(offsets[:-1], size) < np.repeat(length, size)], np.concatenate(([0], np.cumsum(length)))
             key = lambda salt: mixed(np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(salt)), dtype=np.uint64)))[ends]) + mixed(size.astype(np.uint64))).view(np.int64)  # noqa: B023, E731
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(size), lists, pa.array(key(0x9E3779B97F4A7C15)), pa.array(key(0xD1B54A32D192ED03))], names=["rep", "size", "prefix", "key_a", "key_b"])
@@ -117,15 +118,19 @@ def prefixes(texts: DataFrame, table: np.ndarray, width: int, percent: int) -> D
 
 
 def group_links(groups: DataFrame, percent: int) -> DataFrame:
-    """a, b, listed: pairs of groups that may hold links, by an n-gram of both prefixes.
+    """a, b, listed: pairs of groups that may hold links, by the n-grams of both prefixes.
 
     ``groups(rep, size, prefix)``.  Of an n-gram with up to FEW groups all pairs
-    come that pass the filters.  Of one with more (listed), links which connect
-    all groups whose sizes are near enough in a row; no pairs are made of them.
+    come that pass the filters of size and place.  Of one with more (listed),
+    links which connect all groups whose sizes are near enough in a row; no
+    pairs are made of them.  A pair that shares none of the latter must share
+    SHARED of the former (or as many as it must have in common at all).
     """
     rows = groups.select("rep", "size", F.posexplode("prefix").alias("place", "ngram")).select("ngram", "rep", F.col("size").cast("int").alias("size"), "place")
     dealt = rows.repartition("ngram").sortWithinPartitions("ngram", "size", "rep")
-    names = ["a", "b", "listed"]
+    names = ["a", "b", "listed", "need"]
+
+    shared = SHARED
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # ngram, size and head of the last row, whose list the next piece may go on with
@@ -139,18 +144,19 @@ def group_links(groups: DataFrame, percent: int) -> DataFrame:
             goes_on = last is not None and ngram[0] == last[0]
             if goes_on:
                 length[of == 0] = FEW + 1
-            a, b, listed = [], [], []
+            a, b, listed, need = [], [], [], []
             few = np.flatnonzero((length > 1) & (length <= FEW))
             for gap in range(1, FEW):
                 i, j = few[:-gap], few[gap:]
                 i, j = i[of[i] == of[j]], j[of[i] == of[j]]
                 if not len(i):
                     break
-                most = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
-                ok = (100 * size[i] >= percent * size[j]) & (most >= least_overlap(size[i], size[j], percent))
+                most, least = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]), least_overlap(size[i], size[j], percent)
+                ok = (100 * size[i] >= percent * size[j]) & (most >= least)
                 a.append(rep[i[ok]])
                 b.append(rep[j[ok]])
                 listed.append(np.zeros(len(a[-1]), bool))
+                need.append(np.minimum(least[ok], shared))
             starts = new | (100 * np.append(size[:1], size[:-1]) < percent * size)
             head = rep[np.maximum.accumulate(np.where(starts, np.arange(len(rep)), 0))]
             if goes_on and 100 * last[1] >= percent * size[0]:
@@ -159,10 +165,13 @@ def group_links(groups: DataFrame, percent: int) -> DataFrame:
             a.append(head[many])
             b.append(rep[many])
             listed.append(np.ones(len(many), bool))
+            need.append(np.zeros(len(many), np.int64))
             last = ngram[-1], size[-1], head[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(listed))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(listed)), pa.array(np.concatenate(need))], names=names)
 
-    return dealt.mapInArrow(links, "a long, b long, listed boolean").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("listed").alias("listed"))
+    found = dealt.mapInArrow(links, "a long, b long, listed boolean, need long").filter("a <> b")
+    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("listed").alias("listed"), F.count("*").alias("n"), F.max("need").alias("need"))
+    return pairs.filter("listed OR n >= need").select("a", "b", "listed")
 
 
 def by_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +202,24 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``members(rep, ...)`` with shingles, the sorted set of the text of doc_id = rep."""
-    few = members.select("rep").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    """``members(grp, rep)`` with shingles, the sorted set of the text of doc_id = rep.  Texts meet their groups first, so that sets are dealt once."""
+    by_rep = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("grp").alias("grps"))  # FEW * prefix of them at most, or the blocks of a class
+    few = by_rep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(by_rep) if few else by_rep, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, some in some_texts(batches, "text", TEXT_BYTES):
             offsets, h = shingle_sets(some, width)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("grps"), pa.array([h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["rep", "grps", "shingles"])
 
-    return texts.mapInArrow(sets, "rep long, shingles binary").filter("length(shingles) > 0").join(members, "rep")
+    rows = texts.mapInArrow(sets, "rep long, grps array<long>, shingles binary").filter("length(shingles) > 0")
+    return rows.select(F.explode("grps").alias("grp"), "rep", "shingles")
 
 
 def confirmed_pairs(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: those of ``pairs(a, b)`` whose sets are alike; the sets of all partners of ``a`` meet in one group, FEW * prefix of them at most."""
     members = pairs.select(F.col("a").alias("grp"), F.col("b").alias("rep")).unionByName(pairs.select(F.col("a").alias("grp"), F.col("a").alias("rep")).distinct())
-    rows = _sets_of(docs, members, width).select("grp", "rep", "shingles")
+    rows = _sets_of(docs, members, width)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_group(batches, "grp", 512):
@@ -224,10 +234,9 @@ def confirmed_pairs(docs: DataFrame, pairs: DataFrame, width: int, percent: int)
 
 
 def confirmed_in_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: links confirmed on whole sets, enough to connect the sets of each class (``classes(rep, cls)``) that are linked."""
-    rows = _sets_of(docs, classes, width).select("rep", "cls", "shingles")
-    counts = rows.groupBy("cls").agg(F.sum(F.length("shingles") / 8).alias("n"))
-    rows = in_blocks(rows, "cls", "rep", counts, CLASS_NGRAMS).select("grp", "rep", "shingles")
+    """a, b: links confirmed on whole sets, enough to connect the sets of each class (``classes(rep, cls, size)``) that are linked."""
+    counts = classes.groupBy("cls").agg(F.sum("size").alias("n"))
+    rows = _sets_of(docs, in_blocks(classes, "cls", "rep", counts, CLASS_NGRAMS).select("grp", "rep"), width)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_group(batches, "grp", 512):
@@ -261,13 +270,16 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     texts = docs.join(F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
     heads = cut(prefixes(texts, frequency_table(texts, width), width, percent).filter("size > 0"))
     by = ["size", "key_a", "key_b"]
-    links = cut(group_links(heads.groupBy(*by).agg(F.min("rep").alias("rep"), F.first("prefix").alias("prefix")), percent))
-    several = cut(heads.groupBy(*by).agg(F.min("rep").alias("grp"), F.max("rep").alias("last")).filter("grp <> last"))
+    groups = cut(heads.groupBy(*by).agg(F.min("rep").alias("grp"), F.max("rep").alias("last")))
+    firsts = groups.select(F.col("grp").alias("rep")).distinct()
+    links = cut(group_links(heads.join(F.broadcast(firsts) if groups.count() <= BROADCAST_ROWS else firsts, "rep", "left_semi"), percent))
+    several = groups.filter("grp <> last")
     members = heads.select(*by, "rep").join(several.select(*by, "grp"), by).select(F.col("grp").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     whole = several.select("grp").distinct()
     has = lambda c: whole.select(F.col("grp").alias(c), F.lit(True).alias(f"{c}_several"))
     links = cut(links.join(has("a"), "a", "left").join(has("b"), "b", "left").select("a", "b", F.coalesce(F.col("listed") | F.col("a_several") | F.col("b_several"), F.lit(False)).alias("in_class")))
     classes = components(links.filter("in_class").select("a", "b").unionByName(members)).select(F.col("node").alias("rep"), F.col("label").alias("cls"))
+    classes = classes.join(heads.groupBy("rep").agg(F.max("size").alias("size")), "rep")
     found = confirmed_pairs(docs, links.filter("NOT in_class").select("a", "b"), width, percent).unionByName(confirmed_in_classes(docs, classes, width, percent))
     repeated = some.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     twice = some.join(repeated, "doc_id").join(sets, of_set).filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
