@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import Rounds
 from .common import cut
 from .shingles import mixed, shingle_sets
 
@@ -257,11 +258,12 @@ def candidate_links(nodes: DataFrame, trees: int = TREES, percent: int = PERCENT
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest id reachable; nodes without links are left out.
 
-    Alternating large and small stars; each round is checkpointed.
+    Alternating large and small stars; each round's links are written and read again.
     """
-    e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    rounds = Rounds(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = None
     while True:
+        e = rounds.table
         new = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if (new["n"], new["h"]) == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
@@ -271,7 +273,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        rounds.put(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -352,17 +354,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates: that of the smallest doc_id, once (of several rows that of the least hash).  Rows without a doc_id stay."""
+    """``docs`` with one document of each class of near-duplicates: that of the smallest doc_id, once.
+
+    Of several rows with one doc_id that of the least hash over all columns but
+    maps stays; rows that differ in maps only count as equal, and either stays.
+    Rows without a doc_id, and texts without words, stay.  Very long texts enter
+    whole; an empty table gives an empty result; columns may have any names.
+    """
     found = cut(near_duplicates(docs, width, percent, trees))
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone"))
     several = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_several"))
     small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # Rows go through the joins as a whole, so that their columns' names meet none of ours.
+    left = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row")).join(small(gone), F.col("_id") == F.col("_gone"), "left_anti")
     several = small(several)
-    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    twice = left.join(several, F.col("doc_id") == F.col("_several"), "left_semi").select("doc_id", F.struct("*").alias("_row"), F.xxhash64(*hashed).alias("_hash"))
-    once = twice.groupBy("doc_id").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
-    return left.join(several, F.col("doc_id") == F.col("_several"), "left_anti").unionByName(once)
+    hashed = [F.col("_row")[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    twice = left.join(several, F.col("_id") == F.col("_several"), "left_semi")
+    once = twice.groupBy("_id").agg(F.min_by("_row", F.xxhash64(*hashed)).alias("_row"))
+    return left.join(several, F.col("_id") == F.col("_several"), "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def oracle_sql(percent: int = PERCENT) -> str:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rivernet.llm import ann, near_dedup, packing, shingles, toxicity
@@ -115,6 +116,23 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100, 150: 150, 200: 150}
 
 
+def test_components_of_a_long_chain(spark):
+    """A chain of 100,000 links in shuffled order."""
+    n = 100_000
+    ids = spark.range(n).select((F.col("id") * 7919 % n).alias("a"))
+    found = near_dedup.components(ids.withColumn("b", F.col("a") + 1))
+    assert tuple(found.agg(F.count("*"), F.max("label")).first()) == (n + 1, 0)
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 1, 2, 3), (2, "a b c d e f g", 1, 2, 3), (None, "a b c d e f g", 1, 2, 3), (3, None, 1, 2, 3), (3, None, 0, 2, 3), (4, "h", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _several int, _row int")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == [(1, "a b c d e f g"), (3, None), (4, "h"), (None, "a b c d e f g")]
+    assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 # --- packing
 
 
