@@ -51,22 +51,29 @@ def _samples(n: int, weight: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: weight(t.cast("double")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that isn't computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _total(weights: Column) -> Column:
     return F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
 
 
 def _normalised(weights: Column) -> Column:
-    total = _total(weights)
-    return F.transform(weights, lambda w: w / total)
+    return _once(weights, lambda ws: _once(_total(ws), lambda total: F.transform(ws, lambda w: w / total)))
 
 
 def _normalised_slopes(weights: Column, log_slopes: Mapping[str, Column]) -> dict[str, Column]:
     """Slopes of weights that sum to 1, from those of their logarithms before they were made to."""
-    out = {}
-    for name, slope in log_slopes.items():
-        mean = _total(F.zip_with(weights, slope, lambda w, s: w * s))
-        out[name] = F.zip_with(weights, slope, lambda w, s: w * (s - mean))  # noqa: B023
-    return out
+
+    def centred(ws: Column, slopes: Column) -> Column:
+        return _once(_total(F.zip_with(ws, slopes, lambda w, s: w * s)), lambda mean: F.zip_with(ws, slopes, lambda w, s: w * (s - mean)))
+
+    def of(slope: Column) -> Column:
+        return _once(weights, lambda ws: _once(slope, lambda slopes: centred(ws, slopes)))
+
+    return {name: of(slope) for name, slope in log_slopes.items()}
 
 
 def pure_lag(p: Params, n: int, dt: float) -> Column:
@@ -150,8 +157,7 @@ def hayami(p: Params, n: int, dt: float) -> Column:
         t, gap = _wave(p, i, dt)
         return F.ln(p["L"]) - math.log(2) - 0.5 * (math.log(math.pi) + F.ln(p["D"]) + 3 * F.ln(t)) - gap * gap / (4 * p["D"] * t)
 
-    logs = _samples(n, log_weight)
-    return _normalised(F.transform(logs, lambda v: F.exp(v - F.array_max(logs))))
+    return _normalised(_once(_samples(n, log_weight), lambda logs: _once(F.array_max(logs), lambda most: F.transform(logs, lambda v: F.exp(v - most)))))
 
 
 def hayami_slopes(p: Params, n: int, dt: float) -> dict[str, Column]:
@@ -174,8 +180,8 @@ def hayami_rescaled(p: Params, n: int, dt: float) -> Column:
         t, gap = _wave(p, i, dt)
         return gap * gap / (4 * p["D"] * t)
 
-    costs = _samples(n, cost)
-    return _normalised(F.zip_with(costs, _samples(n, lambda i: F.pow(i + 1, F.lit(-1.5))), lambda c, thinned: thinned * F.exp(F.array_min(costs) - c)))
+    thinned = _samples(n, lambda i: F.pow(i + 1, F.lit(-1.5)))
+    return _normalised(_once(_samples(n, cost), lambda costs: _once(F.array_min(costs), lambda least: F.zip_with(costs, thinned, lambda c, w: w * F.exp(least - c)))))
 
 
 def _since(p: Params, i: Column, dt: float) -> Column:

@@ -217,7 +217,9 @@ class SeriesReader(ds.DataSourceReader):
         inside = (ids >= self.low) & (ids < self.high)
         return inside if self.wanted is None else inside & np.isin(ids, self.wanted)
 
-    def read(self, part: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Split | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # what Spark asks for where there are no splits
+            return
         system, _ = _open(self.path)
         with system.open_input_file(part.path) as f:
             v, by_time, ids, _ = self.matrix(f)
