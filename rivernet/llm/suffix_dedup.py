@@ -6,7 +6,8 @@ suffixes only those are taken whose first ``PREFIX`` bytes hash lowest in some
 string of ``STRETCH`` or of ``LENGTH`` bytes.  Their tuples are dealt and sorted
 by the hash of that prefix, their name; names that occur once drop out.  A
 second round names the strings that a sample stands for; what both rounds leave
-open is compared within its name.  Two strings count as equal if their names and
+open is compared within its name, and names of very many strings are sampled
+once more by longer prefixes.  Two strings count as equal if their names and
 their own hashes, 128 bits in all, are.  No task holds a shard: sorting streams,
 and spills to disk.
 """
@@ -28,7 +29,7 @@ from .shingles import _BASE, _BASE_INV, _BYTE, mixed, powers
 
 LENGTH, STRETCH, PREFIX = 400, 290, 120  # STRETCH: bytes of about 50 words
 SEGMENT, PLACE_BITS = 1 << 19, 22
-BROADCAST_ROWS, FEW_CONTENTS, GROUP_ROWS = 500_000, 2_000, 1_000
+BROADCAST_ROWS, FEW_CONTENTS, GROUP_ROWS, FEW_BYTES = 500_000, 2_000, 1_000, 24
 SHARE, HEAVY_AT, HEAVY = 1 / 64, 8, 10_000  # where to look for names that many rows hold; decides the dealing only
 
 
@@ -240,7 +241,7 @@ def common_cores(tuples: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_in_parts(tuples: DataFrame, length: int, rest: bool) -> DataFrame:
-    """name, content, s, e: strings s..e of wanted contents that several contents in one ``deal`` of a name hold.
+    """name, content, tag, s, e: strings s..e of wanted rows that several contents in one ``deal`` of a name hold; ``tag`` tells rows apart.
 
     With ``rest``, key marks further rows of single strings for what lies in
     different deals: of each string that one content of a deal holds (alone:
@@ -251,7 +252,7 @@ def repeated_in_parts(tuples: DataFrame, length: int, rest: bool) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in by_group(batches, "deal", GROUP_ROWS) for part in _slices(whole, "deal", GROUP_ROWS)):
-            deal, name, content, wanted = (np.asarray(batch.column(c)) for c in ("deal", "name", "content", "wanted"))
+            deal, name, content, tag, wanted = (np.asarray(batch.column(c)) for c in ("deal", "name", "content", "tag", "wanted"))
             parts = batch.column("data").to_pylist()
             size = np.fromiter(map(len, parts), np.int64, len(parts))
             n = size - length + 1
@@ -270,8 +271,8 @@ def repeated_in_parts(tuples: DataFrame, length: int, rest: bool) -> DataFrame:
             goes_on = np.zeros(len(by) + 1, bool)
             goes_on[1:-1] = hit[1:] & hit[:-1] & (row[1:] == row[:-1])
             s, e = np.flatnonzero(hit & ~goes_on[:-1]), np.flatnonzero(hit & ~goes_on[1:])
-            columns = [pa.array(name[row[s]]), pa.array(content[row[s]]), pa.array(inside[s]), pa.array(inside[e])]
-            names = ["name", "content", "s", "e"]
+            columns = [pa.array(name[row[s]]), pa.array(content[row[s]]), pa.array(tag[row[s]]), pa.array(inside[s]), pa.array(inside[e])]
+            names = ["name", "content", "tag", "s", "e"]
             if rest:
                 columns, names = [*columns, pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.bool_())], [*names, "key", "alone"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -281,24 +282,90 @@ def repeated_in_parts(tuples: DataFrame, length: int, rest: bool) -> DataFrame:
                 one = order[new[several]]
                 k = np.concatenate((one[is_open[one]], np.flatnonzero(~twice & is_open)))
                 alone = wanted[row[k]] & ~twice[k]
-                yield pa.RecordBatch.from_arrays([pa.array(name[row[k]]), pa.array(content[row[k]]), pa.array(inside[k]), pa.array(inside[k]), pa.array(key[k]), pa.array(alone)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(name[row[k]]), pa.array(content[row[k]]), pa.array(tag[row[k]]), pa.array(inside[k]), pa.array(inside[k]), pa.array(key[k]), pa.array(alone)], names=names)
 
-    return tuples.repartition("deal").sortWithinPartitions("deal").mapInArrow(found, "name long, content long, s int, e int" + ", key long, alone boolean" * rest)
+    return tuples.repartition("deal").sortWithinPartitions("deal").mapInArrow(found, "name long, content long, tag long, s int, e int" + ", key long, alone boolean" * rest)
 
 
 def held_twice(texts: DataFrame, opened: DataFrame, names: DataFrame, length: int) -> DataFrame:
-    """name, content, s, e: the strings of wanted rows of ``opened`` that several contents of one of ``names(name, contents)`` hold.
-
-    A name with more than FEW_CONTENTS contents is dealt in parts of about so
-    many; strings that lie in one part each are then met by their hash, where
-    what a range of them has in common is found in several contents at all.
-    """
-    known = opened.join(names.select("name", F.ceil(F.col("contents") / FEW_CONTENTS).alias("parts")), "name")
-    known = known.withColumn("deal", F.when(F.col("parts") == 1, F.col("name")).otherwise(F.xxhash64("name", F.pmod(F.xxhash64("content"), F.col("parts")))))
-    found = repeated_in_parts(open_tuples(texts, known.filter("parts = 1")), length, False)
+    """name, content, s, e: the strings of wanted rows of ``opened`` that several contents of one of ``names(name, contents)`` hold."""
+    known = opened.join(names.select("name", (F.col("contents") > FEW_CONTENTS).alias("large")), "name").withColumn("deal", F.col("name"))
+    found = repeated_in_parts(open_tuples(texts, known.filter("NOT large")).withColumn("tag", F.col("content")), length, False).select("name", "content", "s", "e")
     if names.filter(F.col("contents") > FEW_CONTENTS).isEmpty():
         return found
-    tuples = cut(open_tuples(texts, known.filter("parts > 1")))
+    large = cut(open_tuples(texts, known.filter("large")).drop("deal").withColumn("tag", F.col("content")))
+    return found.unionByName(in_large_names(large, length, _halfway(PREFIX, length)).select("name", F.col("tag").alias("content"), "s", "e"))
+
+
+def _halfway(prefix: int, length: int) -> int:
+    return (prefix + length) // 2
+
+
+def refined(tuples: DataFrame, length: int, prefix: int) -> DataFrame:
+    """name, content, tag, wanted, base, name2, tag2, more, offset, data: samples by a longer prefix of the strings in ``tuples``.
+
+    The name goes into name2, so samples of different names stay apart; tag2 is
+    the hash of a sample's strings.  These are base and the ``more`` behind it of
+    the row named by name and tag.
+    """
+
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, GROUP_ROWS):
+                batch = whole.slice(at, GROUP_ROWS)
+                parts = batch.column("data").to_pylist()
+                ends = np.cumsum([len(p) for p in parts])
+                data = b"".join(parts)
+                place, first, last, names, strings, _ = sample(data, ends[:-1], length, prefix, length)
+                of = np.searchsorted(ends, place, "right")
+                base = first - np.concatenate(([0], ends[:-1]))[of]
+                row = pa.array(of)
+                columns = [batch.column(c).take(row) for c in ("name", "content", "tag", "wanted")]
+                columns += [pa.array(base.astype(np.int32)), pa.array(mixed(names ^ mixed(np.asarray(batch.column("name"))[of].view(np.uint64))).view(np.int64)), pa.array(strings.view(np.int64))]
+                columns += [pa.array((last - first).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array([data[s:e] for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "content", "tag", "wanted", "base", "name2", "tag2", "more", "offset", "data"])
+
+    return tuples.select("name", "content", "tag", "wanted", "data").mapInArrow(samples, "name long, content long, tag long, wanted boolean, base int, name2 long, tag2 long, more int, offset int, data binary")
+
+
+def in_large_names(tuples: DataFrame, length: int, prefix: int) -> DataFrame:
+    """name, tag, s, e: the strings of wanted rows that several contents of a name hold; for names with more than FEW_CONTENTS contents.
+
+    ``tuples(name, content, tag, wanted, offset, data)``.  The strings are
+    sampled anew by a longer prefix, halfway to their length: what shares the
+    name's prefix alone then has different names.  A sample that several
+    contents have is repeated as a whole; it goes on as two rows, of different
+    contents, for others to meet.  Names that are still large are sampled once
+    more.  Only strings that share all but FEW_BYTES are compared one by one.
+    """
+    if length - prefix < FEW_BYTES:
+        return by_strings(tuples, length)
+    by = ["name2", "tag2"]
+    rows = cut(refined(tuples, length, prefix))
+    one = F.struct("content", "name", "tag", "base", "wanted", "offset", "data")
+    groups = cut(rows.groupBy(*by).agg(F.min(one).alias("one"), F.max("content").alias("last"), F.bool_or("wanted").alias("wanted")).withColumn("several", F.col("one.content") != F.col("last")))
+    end = F.col("base") + F.col("more")
+    wholly = rows.filter("wanted").join(groups.filter("several").select(*by), by).select("name", "tag", F.col("base").alias("s"), end.alias("e"))
+    sizes = cut(groups.groupBy("name2").agg(F.count("*").alias("contents")).filter("contents > 1"))
+    contents = F.explode(F.when(F.col("several"), F.array("one.content", "last")).otherwise(F.array("one.content")))
+    ones = groups.join(sizes, "name2").select(F.col("name2").alias("name"), contents.alias("content"), F.col("tag2").alias("tag"), (~F.col("several") & F.col("wanted")).alias("wanted"), "one.offset", "one.data", "contents")
+    found = repeated_in_parts(ones.filter(F.col("contents") <= FEW_CONTENTS).drop("contents").withColumn("deal", F.col("name")), length, False).select("name", "tag", "s", "e")
+    if not sizes.filter(F.col("contents") > FEW_CONTENTS).isEmpty():
+        found = found.unionByName(in_large_names(cut(ones.filter(F.col("contents") > FEW_CONTENTS).drop("contents")), length, _halfway(prefix, length)))
+    of = rows.filter("wanted").select(F.col("name2").alias("of_name"), F.col("tag2").alias("of_tag"), "name", "tag", "base")
+    inner = found.select(F.col("name").alias("of_name"), F.col("tag").alias("of_tag"), "s", "e").join(of, ["of_name", "of_tag"])
+    return wholly.unionByName(inner.select("name", "tag", (F.col("base") + F.col("s")).alias("s"), (F.col("base") + F.col("e")).alias("e")))
+
+
+def by_strings(tuples: DataFrame, length: int) -> DataFrame:
+    """The same string by string, without a group of all contents of a name.
+
+    Names are dealt in parts of about FEW_CONTENTS contents; strings that lie in
+    one part each are then met by their hash, where what a range of them has in
+    common is found in several contents at all.
+    """
+    parts = tuples.groupBy("name").agg(F.ceil(F.count("*") / FEW_CONTENTS).alias("parts"))
+    tuples = tuples.join(parts, "name").withColumn("deal", F.xxhash64("name", F.pmod(F.xxhash64("content"), F.col("parts")))).drop("parts")
     cores, by = common_cores(tuples, length), ["name", "range", "key"]
     shared = cores.groupBy(*by).agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select(*by)
     opened_ranges = cores.join(shared, by).groupBy("name", "content").agg(F.bit_or(F.expr("shiftleft(1L, range)")).alias("open"))
@@ -307,8 +374,8 @@ def held_twice(texts: DataFrame, opened: DataFrame, names: DataFrame, length: in
     single = large.filter("key IS NOT NULL")
     keys = single.groupBy("name", "key").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("name", "key")
     met = single.filter("alone").join(keys, ["name", "key"])
-    columns = ["name", "content", "s", "e"]
-    return found.unionByName(large.filter("key IS NULL").select(*columns)).unionByName(met.select(*columns))
+    columns = ["name", "tag", "s", "e"]
+    return large.filter("key IS NULL").select(*columns).unionByName(met.select(*columns))
 
 
 def repeated_ranges(texts: DataFrame, samples: DataFrame) -> DataFrame:

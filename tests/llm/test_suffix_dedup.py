@@ -85,9 +85,25 @@ def test_sliding_min():
         assert (suffix_dedup.sliding_min(v, w) == [v[i : i + w].min() for i in range(len(v) - w + 1)]).all()
 
 
-def test_names_with_many_contents_and_heavy_names(spark, monkeypatch):
+@pytest.mark.parametrize("few_bytes", [suffix_dedup.FEW_BYTES, 200, 1000])
+def test_names_with_many_contents_and_heavy_names(spark, monkeypatch, few_bytes):
+    """Large names are sampled by longer prefixes until none is large, or are compared string by string (1000: at once)."""
+    monkeypatch.setattr(suffix_dedup, "FEW_BYTES", few_bytes)
     monkeypatch.setattr(suffix_dedup, "FEW_CONTENTS", 1)
     monkeypatch.setattr(suffix_dedup, "SHARE", 1.0)
     monkeypatch.setattr(suffix_dedup, "HEAVY_AT", 2)
     test_random_repeats(spark, 7)
     test_passages_of_fifty_words_between_texts(spark)
+
+
+def test_a_passage_in_many_surroundings(spark, monkeypatch):
+    """One passage of 390 bytes in many texts, alone and with what makes some of them share more; periodic texts; copies."""
+    monkeypatch.setattr(suffix_dedup, "FEW_CONTENTS", 3)
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    line = noise(390)
+    texts = [noise(rng.randint(0, 300)) + line + noise(rng.randint(0, 300)) for _ in range(25)]
+    tails = [noise(40) for _ in range(3)]
+    texts += [noise(rng.randint(100, 300)) + line + tails[i % 3][: 5 + 3 * i] + noise(200) for i in range(12)]
+    texts += [line * 3, "xy" * 500, "xy" * 450 + line, texts[0], noise(100) + line + noise(250) + line + noise(50)]
+    check(spark, texts)
