@@ -87,6 +87,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector over the power of 2 at its largest component: cosines stay the same to the last bit, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def fit(x: np.ndarray, n_leaves: int, rounds: int = 8) -> Index:
     """x: unit vectors of the sample."""
     rng = np.random.default_rng(0)
@@ -164,7 +169,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
 
     The leaves and centres are fitted on at most ``sample_rows`` rows, by a hash
     of vec_id; every row is indexed.  Vectors that are null, zero, or hold null
-    or non-finite components, and those of an unusual length, take no part.
+    or non-finite components, and those of an unusual length, take no part;
+    very large and very small components do.
     So do rows without a vec_id.  A vec_id that several rows have is asked once,
     with the least of its vectors, and none of its own rows answers it; as
     candidates repeated rows count one by one.  Large leaves are split into
@@ -216,11 +222,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
         out = ([], [], [])
         if cands.num_rows and queries.num_rows:
             cands = cands.sort_by("vec_id")
-            ids, x = np.asarray(cands.column("vec_id")), _matrix(cands.column("vec").combine_chunks())
+            ids, x = np.asarray(cands.column("vec_id")), scaled(_matrix(cands.column("vec").combine_chunks()))
             codes = np.frombuffer(b"".join(cands.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             along, across = np.asarray(cands.column("along")), np.asarray(cands.column("across"))
             norm = np.sqrt((x * x).sum(axis=1))
-            qs = _matrix(queries.column("vec").combine_chunks())
+            qs = scaled(_matrix(queries.column("vec").combine_chunks()))
             for q_id, q, table in zip(queries.column("query_id").to_pylist(), qs, index.tables(unit(qs)), strict=True):
                 about = sum(table[s][codes[:, s]] for s in range(codes.shape[1]))
                 other, size = np.flatnonzero(ids != q_id), np.sqrt(q @ q)

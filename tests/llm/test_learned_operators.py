@@ -274,3 +274,13 @@ def test_near_copies_that_share_their_codes(spark):
         got[r.query_id].append(r.vec_id)
     hits = sum(len(set(got[q]) & {v for v, _ in w}) for q, w in want.items())
     assert hits >= 0.99 * sum(map(len, want.values()))
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 8))
+    size = np.array([1.0, 1e200, 1e-200, 1e300])[np.arange(120) % 4]
+    schema = "vec_id long, embedding array<double>"
+    plain, odd = (spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, sizes, strict=True))], schema) for sizes in (np.ones(120), size))
+    want, got = ({(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(t).collect()} for t in (plain, odd))
+    assert set(got) == set(want) and all(got[k][0] == v[0] and got[k][1] == pytest.approx(v[1], rel=1e-12) for k, v in want.items())
