@@ -162,9 +162,9 @@ def kernel_given(spark, sf_dir):
 
 
 def kernel_dense(spark, sf_dir):
-    reaches = data.heap(spark, sf_dir)
-    top = reaches.filter("reach_id < 64")  # the trunk: a dense view is for few reaches
-    dense = K.to_dense(K.build_kernel(RiverNetwork(reaches), WINDOW), top, WINDOW)
+    """A dense matrix for each chain of 32 reaches."""
+    chains = data.chain32(spark, sf_dir).select("reach_id", F.expr("(reach_id - 1) div 32").alias("grp"))
+    dense = K.to_dense_groups(_chain_kernel(spark, sf_dir), chains, WINDOW)
     return dense.select("dst", "src", "lag", rounded("weight").alias("weight"))
 
 

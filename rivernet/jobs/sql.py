@@ -203,8 +203,8 @@ SELECT b.r * 16 + x.i AS dst, b.c * 16 + y.i AS src, l.lag::INT AS lag, {rounded
   (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN kernel k ON k.dst = b.r * 16 + x.i AND k.src = b.c * 16 + y.i AND k.lag = l.lag""",
         "kernel_given": f"""WITH RECURSIVE {kernel("linear_storage", "chain32")}, given AS (SELECT * FROM kernel WHERE weight > 1e-3)
 SELECT p.dst, p.src, l.lag::INT AS lag, {rounded("coalesce(weight, 0)")} AS weight FROM (SELECT DISTINCT dst, src FROM given) p, (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN given g ON g.dst = p.dst AND g.src = p.src AND g.lag = l.lag""",
-        "kernel_dense": f"""WITH RECURSIVE {kernel("linear_storage")} SELECT a.reach_id AS dst, b.reach_id AS src, l.lag::INT AS lag, {rounded("coalesce(weight, 0)")} AS weight
-FROM reaches a, reaches b, (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN kernel k ON k.dst = a.reach_id AND k.src = b.reach_id AND k.lag = l.lag WHERE a.reach_id < 64 AND b.reach_id < 64""",
+        "kernel_dense": f"""WITH RECURSIVE {kernel("linear_storage", "chain32")} SELECT a.reach_id AS dst, b.reach_id AS src, l.lag::INT AS lag, {rounded("coalesce(weight, 0)")} AS weight
+FROM reaches a JOIN reaches b ON (a.reach_id - 1) // 32 = (b.reach_id - 1) // 32, (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN kernel k ON k.dst = a.reach_id AND k.src = b.reach_id AND k.lag = l.lag""",
         "route_param_override": routed("linear_storage", tau="tau * 2"),
         "route_targets": routed("linear_storage", where=" AND dst < 8"),
         "route_daily": f"""WITH RECURSIVE {kernel("linear_storage", "events")}, runoff AS (SELECT event_type AS batch, user_id + 1 AS reach_id, day(ts) - 1 AS t, sum(value)::DOUBLE AS value FROM events GROUP BY ALL)

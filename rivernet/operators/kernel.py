@@ -126,3 +126,18 @@ def to_dense(kernel: DataFrame, of: DataFrame, window: int) -> DataFrame:
     grid = ids.select(F.col("reach_id").alias("dst"), every.alias("src")).select("dst", "src", lags.alias("lag"))
     cells = long_kernel(kernel).groupBy("dst", "src", "lag").agg(F.sum("weight").alias("weight"))
     return grid.join(cells, ["dst", "src", "lag"], "left").select("dst", "src", "lag", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def to_dense_groups(kernel: DataFrame, of: DataFrame, window: int) -> DataFrame:
+    """dst, src, lag, weight of every cell among reaches of one group of ``of(reach_id, grp)``; weights given twice add up.
+
+    A matrix for each group, as large as the square of its reaches: for groups of
+    a bounded size, such as the pieces of a schedule, of which there may be any
+    number.
+    """
+    rows, columns = (of.select("grp", F.col("reach_id").alias(c)) for c in ("dst", "src"))
+    held = kernel.join(rows, "dst").join(columns, ["grp", "src"]).groupBy("dst", "src", "grp").agg(F.collect_list("weights").alias("all"))  # a kernel has a row a pair, unless it was put together by hand
+    zeros = F.array_repeat(F.lit(0.0), window)
+    total = F.aggregate(F.col("all"), zeros, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
+    grid = rows.join(columns, "grp").join(held, ["grp", "dst", "src"], "left")
+    return grid.select("dst", "src", F.posexplode(F.when(F.col("all").isNull(), zeros).otherwise(total)).alias("lag", "weight"))

@@ -96,6 +96,13 @@ def test_kernel_and_inflow_of_a_stage_meet_without_an_exchange(spark):
     assert joined.count() == kernel.filter("stage = 1").count() * 5 and into.agg(F.sum("value")).first()[0] == pytest.approx(2 * runoff.agg(F.sum("value")).first()[0])
 
 
+def test_dense_matrices_of_groups(spark):
+    kernel = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 2, [3.0, 0.0]), (1, 2, [1.0, 1.0]), (3, 1, [9.0, 9.0])], "dst long, src long, weights array<double>")
+    of = spark.createDataFrame([(1, 0), (2, 0), (3, 7)], "reach_id long, grp int")
+    got = {(r.dst, r.src, r.lag): r.weight for r in K.to_dense_groups(kernel, of, 2).collect()}
+    assert len(got) == 2 * 2 * 2 + 2 and {k: v for k, v in got.items() if v} == {(1, 1, 0): 1.0, (1, 1, 1): 2.0, (1, 2, 0): 4.0, (1, 2, 1): 1.0}
+
+
 # --- series files ---
 
 
