@@ -88,12 +88,23 @@ def marked(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"mark": F.xxhash64("text"), "n": F.length("text"), "base": base_spans(F.col("text"))})
 
 
+def _held_by(seed: int) -> Column:
+    """Aggregate: a hash of the set of texts of a group's rows, each text once."""
+    return F.bit_xor(F.xxhash64("mark", "n", F.lit(seed)))
+
+
 def disclosing_terms(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """term, entity, disclosure of terms over the threshold.
+    """term, disclosure: the terms over the threshold, each with the most it discloses of any entity.
 
     ``rows`` are documents as from ``marked``.  Terms are lower-cased words, by
     hash.  Every document counts, copies too; a pair counts from ``least``
     documents on.  disclosure = pmi(term, entity) / -ln p(entity).
+
+    A term that lies in more than N ** (1 - threshold) * n_entity ** threshold
+    of N documents can't reach the threshold, so frequent words drop out before
+    pairs are counted.  Entities that the same texts hold are one class, and so
+    are terms: lists of many values that several texts share make one pair, not
+    the product of their lengths.
     """
     total = rows.count()
     # Copies of a text count through ``copies``; the texts come in once rare entities are gone.
@@ -101,24 +112,33 @@ def disclosing_terms(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at
     values = F.transform("base", lambda s: F.xxhash64(F.lower(s["value"])))
     texts = cut(some.select("mark", "n", F.array_distinct(values).alias("values")).groupBy("mark", "n").agg(F.count("*").alias("copies"), F.first("values").alias("values")))
     holding = texts.select("mark", "n", "copies", F.explode("values").alias("entity"))
-    known = holding.groupBy("entity").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") >= least)
-    by_text = holding.join(known, "entity").groupBy(F.col("mark").alias("m"), F.col("n").alias("k")).agg(F.first("copies").alias("copies"), F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
-    hashes = F.array_distinct(F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w)))
-    held = some.select("mark", "n", "text").join(by_text, (F.col("mark") == F.col("m")) & (F.col("n") == F.col("k"))).dropDuplicates(["mark", "n"])
-    pairs = held.select("copies", F.explode("entities").alias("e"), hashes.alias("terms")).select("copies", "e.*", F.explode("terms").alias("term"))
-    together = pairs.groupBy("term", "entity", "n_entity").agg(F.sum("copies").alias("n_both")).filter(F.col("n_both") >= least)
-    terms = rows.select(F.explode(hashes).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    known = cut(holding.groupBy("entity").agg(F.sum("copies").alias("n_entity"), _held_by(1).alias("e1"), _held_by(2).alias("e2")).filter(F.col("n_entity") >= least))
+    of_entities = ["n_entity", "e1", "e2"]
+    by_text = cut(holding.join(known, "entity").select("mark", "n", "copies", *of_entities).distinct())
+    at_most = lambda n: F.pow(F.lit(float(max(total, 1))), F.lit(1 - generalise_at)) * F.pow(n, F.lit(generalise_at)) * (1 + 1e-9)
+    most = known.agg(at_most(F.max("n_entity")).alias("most")).first()["most"] or 0.0
+    hashes = F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(F.lower(w))))
+    terms = cut(rows.select(F.explode(hashes).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term").between(least, most)))
+    marks = by_text.select(F.col("mark").alias("m"), F.col("n").alias("k")).distinct()
+    held = some.select("mark", "n", "text").join(marks, (F.col("mark") == F.col("m")) & (F.col("n") == F.col("k")), "left_semi").dropDuplicates(["mark", "n"])
+    words = held.select("mark", "n", F.explode(hashes).alias("term"))
+    words = cut(words.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "term"))
+    of_terms = ["n_term", "t1", "t2"]
+    classes = cut(words.groupBy("term").agg(F.first("n_term").alias("n_term"), _held_by(1).alias("t1"), _held_by(2).alias("t2")))
+    held_classes = words.select("mark", "n", "term").join(classes, "term").select("mark", "n", *of_terms).distinct()
+    pairs = held_classes.join(by_text, ["mark", "n"]).filter(F.col("n_term") <= at_most(F.col("n_entity")))
+    together = pairs.groupBy(*of_terms, *of_entities).agg(F.sum("copies").alias("n_both")).filter(F.col("n_both") >= least)
     pmi = F.ln(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    scored = together.join(terms, "term").withColumn("disclosure", F.try_divide(pmi, F.ln(F.lit(float(total)) / F.col("n_entity"))))
-    return scored.filter(F.col("disclosure") >= generalise_at).select("term", "entity", "disclosure")
+    scored = together.withColumn("disclosure", F.try_divide(pmi, F.ln(F.lit(float(total)) / F.col("n_entity")))).filter(F.col("disclosure") >= generalise_at)
+    return classes.join(scored.groupBy(*of_terms).agg(F.max("disclosure").alias("disclosure")), of_terms).select("term", "disclosure")
 
 
 def telling_words(rows: DataFrame, levels: DataFrame, few: bool) -> DataFrame:
-    """mark, n, word, level: the words of each text that are in ``levels(term, level)``, once each.
+    """mark, n, word, level: the words of each text whose lower-cased form is in ``levels(term, level)``, as they stand there, once each.
 
     ``few`` levels are broadcast; many are met by salted keys, as a term may be in a great part of the texts.
     """
-    words = rows.select("mark", "n", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word")).withColumn("term", F.xxhash64("word"))
+    words = rows.select("mark", "n", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).withColumn("term", F.xxhash64(F.lower("word")))
     hit = words.join(F.broadcast(levels), "term") if few else _salted(words.distinct(), levels)
     return hit.select("mark", "n", "word", "level").distinct()
 
@@ -131,8 +151,9 @@ def _salted(words: DataFrame, levels: DataFrame) -> DataFrame:
 def term_spans(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """mark_of, n_of, terms: the spans of disclosing terms in each text that holds any, with their entity or without.
 
-    A text with up to ALTERNATIVES different ones is searched for just these; of
-    one with more every word is looked up.
+    A word is a term if the hash of its lower-cased form is one's.  A text with
+    up to ALTERNATIVES different ones is searched for just these words, as they
+    stand there; of one with more every word is looked up: the same words.
     """
     level = F.when(F.col("disclosure") >= remove_at, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
     levels = cut(disclosing_terms(rows, least, generalise_at).groupBy("term").agg(F.max(level).alias("level")))
@@ -142,7 +163,7 @@ def term_spans(rows: DataFrame, least: int = LEAST_TOGETHER, generalise_at: floa
     by_text = cut(telling_words(rows, levels, few).groupBy(F.col("mark").alias("m"), F.col("n").alias("k")).agg(*map(words, (GENERALISED, REMOVED)), (F.count("*") > ALTERNATIVES).alias("many")))
     of = [F.col("mark").alias("mark_of"), F.col("n").alias("n_of")]
     texts = rows.select("mark", "n", "text").join(by_text, (F.col("mark") == F.col("m")) & (F.col("n") == F.col("k"))).dropDuplicates(["mark", "n"])
-    whole = lambda c: F.concat(F.lit("(?iu)(?<![^\\x20\\x09-\\x0D])(?:"), F.array_join(c, "|"), F.lit(")(?![^\\x20\\x09-\\x0D])"))
+    whole = lambda c: F.concat(F.lit("(?<![^\\x20\\x09-\\x0D])(?:"), F.array_join(c, "|"), F.lit(")(?![^\\x20\\x09-\\x0D])"))
     none = F.array().cast(FOUND)
     found = [F.when(F.size(f"of_{k}") > 0, matches(F.col("text"), whole(f"of_{k}"), k)).otherwise(none) for k in (GENERALISED, REMOVED)]
     some = texts.filter("NOT many").select(*of, F.concat(*found).alias("terms"))
@@ -179,7 +200,8 @@ def find_personal_data(docs: DataFrame, least: int = LEAST_TOGETHER) -> DataFram
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term of every row.
 
     Null and empty texts have no spans.  Repeated rows give the same spans each.
-    Offsets are code points, the end exclusive.
+    Offsets are code points, the end exclusive.  Very long texts are searched
+    whole; an empty table gives an empty result; further columns are left out.
     """
     rows = marked(docs.select("doc_id", "text"))
     slim = cut(rows.select("doc_id", "mark", "n", F.transform("base", lambda s: s.dropFields("value").withField("value", F.lit(""))).alias("base")))
@@ -213,7 +235,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, least: int = LEAST_TOGETHER) -> DataFrame:
-    """``docs`` with personal data and disclosing terms masked in text; n_chars, if there, follows.  Null texts stay null."""
+    """``docs`` with personal data and disclosing terms masked in text; n_chars, if there, follows.
+
+    Null texts stay null, repeated rows are masked alike, very long texts whole.
+    An empty table stays empty; columns may have any names.
+    """
     rows = marked(docs.select(F.struct("*").alias("_row"), "text"))
     out = with_spans(rows, term_spans(rows.select("text", "mark", "n", "base"), least))
     out = out.withColumn("_text", F.when(F.size("spans") == 0, F.col("_row.text")).otherwise(masked(F.col("text"), F.col("spans"))))

@@ -173,6 +173,32 @@ def test_disclosing_terms_against_brute_force(spark, monkeypatch, alternatives):
         assert got[i].spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in want), t
 
 
+@pytest.mark.parametrize("alternatives", [64, 65, 0])
+def test_terms_are_found_alike_however_many_there_are(spark, monkeypatch, alternatives):
+    """Words whose lower-cased forms differ from what a search without case finds (dotted capital I, final sigma), among 63, 64 and 65 terms of a text."""
+    monkeypatch.setattr(pii, "ALTERNATIVES", alternatives)
+    for many in (61, 62, 63):
+        words = ["\u0130STANBULX", "\u03a3\u0395\u03a3", *(f"Word{i}q" for i in range(many))]
+        text = " ".join(words) + " me@b.example"
+        rows = [(i, text if i < 4 else f"other text {i}", "en", "a", 0, "x") for i in range(40)] + [(90, "\u0130STANBULX i\u0307stanbulx \u03c3\u03b5\u03c2 \u03c3\u03b5\u03c3 word0Q istanbulx", "en", "a", 0, "x")]
+        found = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+        assert found[0].n_term == many + 2 and found[0].spans == found[3].spans and found[30].n_term == 0
+        assert found[90].spans == "term:0:9,term:10:20,term:21:24,term:29:35"
+
+
+def test_long_lists_that_several_texts_share(spark):
+    import time
+
+    began = time.time()
+    values = [f"u{i}@b.example" for i in range(20_000)]
+    rows = [(k, " ".join(values[k:] + values[:k]) + f" list{k} Falcon", "en", "a", 0, "x") for k in range(4)] + [(10 + i, f"Falcon text {i}" if i < 2 else f"plain text {i}", "en", "a", 0, "x") for i in range(60)]
+    found = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+    # falcon: ln(4 * 64 / (6 * 4)) / ln(64 / 4) = 0.85
+    assert all(found[k].n_email == 20_000 and found[k].n_term == 1 for k in range(4))
+    assert found[10].spans == found[11].spans == "term:0:6" and found[20].spans == ""
+    assert time.time() - began < 60
+
+
 def test_very_many_matches_in_a_text(spark):
     import time
 
