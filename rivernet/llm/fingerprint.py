@@ -123,7 +123,9 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, every: int = 20
     ``n_near``: for rows whose doc_id ``every`` divides, how many other rows have
     a fingerprint within ``radius`` bits; null for the rest.  Null texts count
     as empty, rows with a null doc_id come last in the order, repeated rows
-    follow each other.  The one row of a table is its own next document.
+    follow each other.  The one row of a table is its own next document, an empty
+    table gives an empty result.  Very long texts enter whole; further columns
+    are left out.
     """
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")

@@ -338,7 +338,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     A null doc_id links with nothing (component_id null, kept).  Texts without
     words (null, empty) have no shingles and are linked with nothing.  Rows that
-    repeat a doc_id count as one document.  Very long texts enter whole.
+    repeat a doc_id count as one document.  Very long texts enter whole; an empty
+    table gives an empty result; further columns are left out.
     """
     all_rows = cut(sketches(docs, width))
     sets = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("minhash").alias("minhash"))

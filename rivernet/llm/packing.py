@@ -120,7 +120,9 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, length
     Sequences are numbered from 0, the longest bucket first; within a bucket,
     groups of pieces (by hash) are numbered at once and their offsets added, so
     no bucket passes one task.  Every document has at least its end id, empty
-    and null texts too; repeated rows are packed one by one.
+    and null texts too; repeated rows, and rows without a doc_id, are packed one
+    by one.  Very long texts are cut whole; an empty table gives an empty result;
+    further columns are left out.
     """
     pieces = cut(document_pieces(docs, tokenizer, ranks, length, end_id, with_ids)).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most 12 * groups rows

@@ -89,7 +89,9 @@ def count_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, cache_wo
     Words are runs without ASCII blanks; each is read as UTF-8 bytes behind a
     blank, in the vocabulary's byte symbols.  Null and empty texts count 0;
     repeated rows are counted one by one; ``vocabulary`` must lie on every
-    executor.  The cache of word lengths is bounded and only saves time.
+    executor.  The cache of word lengths is bounded and only saves time.  Very
+    long texts are read whole; an empty table gives an empty result; further
+    columns are left out.
     """
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])

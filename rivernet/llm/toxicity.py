@@ -173,7 +173,9 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, threshold: f
     """doc_id, p_<category> for each category, toxic (the last one's probability reaches the threshold), kept.
 
     Null and empty texts are judged by the intercepts.  Repeated rows are judged
-    one by one.  Without labels, or where all agree, a category gets that value.
+    one by one, rows with a null doc_id too.  Very long texts enter whole.  An
+    empty table gives an empty result; without labels, or where all agree, a
+    category gets that value.  Further columns are left out.
     """
     out = score(docs.select("doc_id", "text"), train(docs, labels, chain, sample_rows))
     p = [F.get("p", F.lit(j)).alias(f"p_{name}") for j, (name, _, _) in enumerate(chain)]
@@ -182,6 +184,11 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, threshold: f
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, chain=CHAIN, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, as they are."""
+    """The rows of ``docs`` that are not toxic, as they are.
+
+    Null and empty texts are judged by the intercepts, repeated rows and rows
+    without a doc_id one by one.  Very long texts enter whole; an empty table
+    stays empty; columns may have any names.
+    """
     out = score(docs, train(docs, labels, chain, sample_rows)).filter(F.get("p", F.lit(len(chain) - 1)) < threshold)
     return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))

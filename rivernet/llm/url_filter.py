@@ -98,8 +98,9 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     """page_id, host, path, rule, verdict, strict, soft.
 
     A null url, or one without ``://``, has an empty host and path and meets no
-    rule; its terms still count.  Repeated rows are judged row by row; columns
-    other than page_id and url are left out.
+    rule; its terms still count.  Repeated rows are judged row by row, urls of any
+    length whole; an empty table gives an empty result; columns other than
+    page_id and url are left out.
     """
     if len(soft) + len(strict) > MOST_TERMS or len(rules) > MOST_RULES:
         raise ValueError(f"the vocabulary and the rules ride with every task: at most {MOST_TERMS:,} terms and {MOST_RULES:,} rules")

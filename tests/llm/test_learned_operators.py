@@ -205,6 +205,37 @@ def test_chain_feeds_out_of_fold_probabilities():
     assert (p[0] > 0.9).all() and (p[1] < 0.1).all() and chain.links[1][0] > 0
 
 
+def test_chain_against_a_plain_refit_of_each_fold():
+    """The later model is fitted on probabilities from models that haven't seen the row, nothing else."""
+    rng = np.random.default_rng(4)
+    n, n_terms, folds = 90, 12, 3
+    x = rng.random((n, n_terms)) < 0.3
+    first = (x[:, 0] | x[:, 1]) ^ (rng.random(n) < 0.15)
+    second = (first & x[:, 2]) ^ (rng.random(n) < 0.1)
+    labels = np.stack((first, second), axis=1).astype(float)
+    labels[::11, 0], labels[5::13, 1] = np.nan, np.nan
+    terms = [f"t{i}".encode() for i in range(n_terms)]
+    chain = toxicity.fit_chain(["a", "b"], terms, [np.flatnonzero(r).tolist() for r in x], labels, folds)
+
+    def refit(use, dense, y):
+        row, col = np.nonzero(x[use])
+        return toxicity.fit_linear(row, col, n_terms, dense[use], y[use])
+
+    def probability(model, dense):
+        w, u, b = model
+        return 1 / (1 + np.exp(-(x @ w + dense @ u + b)))
+
+    none, known = np.zeros((n, 0)), ~np.isnan(labels[:, 0])
+    outside = np.zeros(n)
+    for k in range(folds):
+        own = np.arange(n) % folds == k
+        outside[own] = probability(refit(known & ~own, none, labels[:, 0]), none)[own]
+    inside = probability(refit(known, none, labels[:, 0]), none)
+    w, u, b = refit(~np.isnan(labels[:, 1]), outside[:, None], labels[:, 1])
+    assert chain.weights[1] == pytest.approx(w, rel=1e-6, abs=1e-9) and chain.links[1] == pytest.approx(u, rel=1e-6) and chain.intercepts[1] == pytest.approx(b, rel=1e-6)
+    assert abs(refit(~np.isnan(labels[:, 1]), inside[:, None], labels[:, 1])[1][0] - u[0]) > 1e-2
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 1), (6, None, None), (6, 1, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.judge_toxicity(docs_of(spark, ODD), labels).count() == len(ODD)
