@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # The default vocabulary and the default host rules.
 STRICT = ("casino", "escort", "hentai", "porn", "porno", "viagra", "warez", "xxx")
 SOFT = ("adult", "bet", "betting", "bonus", "cheap", "crack", "dating", "download", "free", "gambling", "loan", "naked", "nude", "pills", "poker", "sex", "slots", "torrent")
@@ -43,19 +45,45 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return out
 
 
-MOST_TERMS, MOST_RULES = 100_000, 1_000
+MOST_TERMS, MOST_RULES = 100_000, 1_000  # terms of an automaton, rules of an expression; more come in blocks, or by a join
 
 
-def vocabulary_of(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(strict, soft) of a table terms(term, strict boolean); a term given as both is strict, null and empty ones are left out.
+def rules_met(seen: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, fit of those pairs of ``seen(host, path)`` that a rule of the table rules(host, path, verdict) fits.
 
-    It rides with every task, so it holds MOST_TERMS terms at most.
+    A host meets the rules of its endings by an equi-join; of equally long rules
+    that of the longer host counts.
+    """
+    labels = F.split("host", "\\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    pairs = seen.select("host", "path").distinct().withColumn("ending", F.explode(endings))
+    by_host = rules.select(F.col("host").alias("ending"), F.col("path").alias("start"), "verdict").filter("ending IS NOT NULL AND start IS NOT NULL")
+    fits = pairs.join(by_host, "ending").filter(F.col("path").startswith(F.col("start")))
+    longest = F.struct((F.length("ending") + F.length("start")).alias("length"), F.length("ending").alias("host_length"), "verdict", F.concat("ending", "start").alias("rule"))
+    return fits.groupBy("host", "path").agg(F.max(longest).alias("fit")).select("host", "path", F.struct("fit.rule", "fit.verdict").alias("fit"))
+
+
+def vocabulary_blocks(terms: DataFrame) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """(strict, soft) of blocks of about MOST_TERMS terms of a table terms(term, strict boolean).
+
+    A term given as both is strict; null and empty ones are left out.
     """
     rows = terms.select(F.translate("term", UPPER, LOWER).alias("term"), F.coalesce("strict", F.lit(False)).alias("strict")).filter("term <> ''")
-    found = rows.groupBy("term").agg(F.bool_or("strict").alias("strict")).limit(MOST_TERMS + 1).collect()
-    if len(found) > MOST_TERMS:
-        raise ValueError(f"the vocabulary rides with every task: at most {MOST_TERMS:,} terms")
-    return tuple(sorted(r.term for r in found if r.strict)), tuple(sorted(r.term for r in found if not r.strict))
+    rows = cut(rows.groupBy("term").agg(F.bool_or("strict").alias("strict")))
+    blocks = max(1, -(-rows.count() // MOST_TERMS))
+    out = []
+    for k in range(blocks):
+        found = rows.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()  # a block
+        out.append((tuple(sorted(r.term for r in found if r.strict)), tuple(sorted(r.term for r in found if not r.strict))))
+    return out
+
+
+def vocabulary_of(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) of a table of at most MOST_TERMS terms, as ``judge_urls`` takes them; larger ones go to it as a table."""
+    blocks = vocabulary_blocks(terms)
+    if len(blocks) > 1:
+        raise ValueError(f"more than {MOST_TERMS:,} terms: give judge_urls the table")
+    return blocks[0]
 
 
 @lru_cache(maxsize=8)
@@ -70,7 +98,7 @@ def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Aut
 
 def hits(url: str | None, auto: ahocorasick.Automaton) -> tuple[int, int]:
     """(different strict terms, different soft terms) with a boundary on both sides."""
-    if not url:
+    if not url or not len(auto):
         return 0, 0
     text = url.translate(_ASCII_LOWER)
     found: tuple[set[str], set[str]] = (set(), set())
@@ -94,19 +122,44 @@ def term_hits(url: Column, strict: Sequence[str] = STRICT, soft: Sequence[str] =
     return count(url)
 
 
-def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = 2) -> DataFrame:
+def hits_in_blocks(pages: DataFrame, blocks: Sequence[tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """url, hit of every different url: the hits of all blocks of a vocabulary added up; a term lies in one block."""
+    urls = pages.filter("url IS NOT NULL").select("url").distinct()
+    parts = [urls.select("url", term_hits(F.col("url"), strict, soft).alias("hit")) for strict, soft in blocks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("url").agg(F.sum("hit.strict").cast("int").alias("strict"), F.sum("hit.soft").cast("int").alias("soft")).select("url", F.struct("strict", "soft").alias("hit"))
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = 2, terms: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, strict, soft.
 
     A null url, or one without ``://``, has an empty host and path and meets no
     rule; its terms still count.  Repeated rows are judged row by row, urls of any
     length whole; an empty table gives an empty result; columns other than
     page_id and url are left out.
+
+    Rules and terms may be tables of any size: rules(host, path, verdict), and
+    terms(term, strict) in place of ``strict`` and ``soft``.
     """
-    if len(soft) + len(strict) > MOST_TERMS or len(rules) > MOST_RULES:
-        raise ValueError(f"the vocabulary and the rules ride with every task: at most {MOST_TERMS:,} terms and {MOST_RULES:,} rules")
     url = F.col("url")
     seen = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    seen = seen.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("hit", term_hits(url, strict, soft))
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_RULES:
+        rules = pages.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
+    if isinstance(rules, DataFrame):
+        fits = rules_met(seen, rules).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "fit")
+        seen = seen.join(fits, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left").drop("of_host", "of_path")
+    else:
+        seen = seen.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    blocks = [(strict, soft)] if terms is None else vocabulary_blocks(terms)
+    if terms is None and len(strict) + len(soft) > MOST_TERMS:
+        blocks = [*((strict[i : i + MOST_TERMS], ()) for i in range(0, len(strict), MOST_TERMS)), *(((), soft[i : i + MOST_TERMS]) for i in range(0, len(soft), MOST_TERMS))]
+    if len(blocks) == 1:
+        seen = seen.withColumn("hit", term_hits(url, *blocks[0]))
+    else:
+        none = F.struct(F.lit(0).alias("strict"), F.lit(0).alias("soft"))
+        seen = seen.join(hits_in_blocks(pages, blocks).withColumnRenamed("url", "of_url"), F.col("url") == F.col("of_url"), "left").withColumn("hit", F.coalesce("hit", none))
     bad = (F.col("hit.strict") >= 1) | (F.col("hit.soft") >= soft_limit)
     return seen.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),

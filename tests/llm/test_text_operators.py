@@ -244,6 +244,27 @@ def test_urls_with_a_vocabulary_of_thousands(spark):
         assert r.verdict == ("block" if r.strict or r.soft >= 2 else "allow")
 
 
+@pytest.mark.parametrize("as_tables", [True, False])
+def test_urls_with_more_terms_and_rules_than_one_task_takes(spark, monkeypatch, as_tables):
+    """Blocks of terms and joined rules give what one automaton and one expression give."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    odd = [(-1, "http://a.b.example.net/en/x-casino"), (-2, "x://www.example.com/de/free?bet=1"), (-3, None), (-3, None), (-4, "no scheme free-bet"), (-5, "http://" + "a." * 500 + "org/fr/" + "free/" * 3_000), (None, "http://net/casino")]
+    pages = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string"))
+    key = lambda r: repr(tuple(r))
+    want = sorted(url_filter.judge_urls(pages).collect(), key=key)
+    monkeypatch.setattr(url_filter, "MOST_TERMS", 4)
+    monkeypatch.setattr(url_filter, "MOST_RULES", 3)
+    if as_tables:
+        terms = spark.createDataFrame([(t.upper(), True) for t in url_filter.STRICT] + [(t, None) for t in url_filter.SOFT] + [(None, True), ("", False)], "term string, strict boolean")
+        rules = spark.createDataFrame(list(url_filter.RULES) + [(None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string")
+        got = url_filter.judge_urls(pages, rules, terms=terms)
+        with pytest.raises(ValueError, match="give judge_urls the table"):
+            url_filter.vocabulary_of(terms)
+    else:
+        got = url_filter.judge_urls(pages)
+    assert sorted(got.collect(), key=key) == want
+
+
 def greedy(word, vocab):
     n = 0
     while word:
