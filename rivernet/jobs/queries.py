@@ -147,7 +147,8 @@ def kernel_block(spark, sf_dir):
 
 
 def kernel_block_roundtrip(spark, sf_dir):
-    back = K.from_blocks(K.to_blocks(_chain_kernel(spark, sf_dir), 16), 16, height=1 << 40, width=1 << 40)
+    last = data.chain32(spark, sf_dir).agg(F.max("reach_id")).first()[0]  # lies outside the bounds
+    back = K.from_blocks(K.to_blocks(_chain_kernel(spark, sf_dir), 16), 16, height=last, width=last)
     return K.long_kernel(back).select("dst", "src", "lag", rounded("weight").alias("weight"))
 
 

@@ -197,7 +197,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT batch, reach_id, t::INT AS t, sum(value) AS value FROM (SELECT batch, reach_id, t // {s} AS t, value * ({s} - t % {s}) / {s} AS value FROM runoff UNION ALL SELECT batch, reach_id, t // {s} + 1, value * (t % {s}) / {s} FROM runoff) WHERE t < {STEPS // s} GROUP BY ALL"
         ),
         "kernel_block": with_pairs("chain32", "SELECT row_number() OVER (ORDER BY block_row, block_col) - 1 AS block, block_row, block_col, cells FROM (SELECT dst // 16 AS block_row, src // 16 AS block_col, count(*) AS cells FROM pairs GROUP BY ALL)"),
-        "kernel_block_roundtrip": f"WITH RECURSIVE {kernel('linear_storage', 'chain32')} {weights}",
+        "kernel_block_roundtrip": f"WITH RECURSIVE {kernel('linear_storage', 'chain32')} {weights} WHERE greatest(dst, src) < (SELECT max(reach_id) FROM reaches)",
         "kernel_block_dense": f"""WITH RECURSIVE {kernel("linear_storage", "chain32")}, sides AS (SELECT unnest(range(16)) AS i)
 SELECT b.r * 16 + x.i AS dst, b.c * 16 + y.i AS src, l.lag::INT AS lag, {rounded("coalesce(weight, 0)")} AS weight FROM (SELECT DISTINCT dst // 16 AS r, src // 16 AS c FROM kernel) b, sides x, sides y,
   (SELECT unnest(range({WINDOW})) AS lag) l LEFT JOIN kernel k ON k.dst = b.r * 16 + x.i AND k.src = b.c * 16 + y.i AND k.lag = l.lag""",

@@ -18,22 +18,24 @@ from .network import NetworkError
 RUN = 4096  # places that one row expands to
 
 def closure(reaches: DataFrame, include_self: bool = True) -> DataFrame:
-    """src, dst, dist: every reach with each reach its water comes to; raises on a cycle."""
-    edges = reaches.select("reach_id", "downstream_id")
-    pairs = edges.select(F.col("reach_id").alias("src"), F.col("reach_id").alias("dst"), F.lit(0).alias("dist"))
-    jumps = Rounds(edges.filter("downstream_id IS NOT NULL").select(F.col("reach_id").alias("src"), F.col("downstream_id").alias("mid")))
-    step, most = 1, None
-    while not jumps.table.isEmpty():
+    """src, dst, dist: every reach with each reach its water comes to; raises on a cycle.
+
+    With all pairs up to 2 ** k steps apart known, those exactly so far apart
+    lead to all up to twice as far: a table a round, and no pair is written twice.
+    """
+    own = reaches.select(F.col("reach_id").alias("src"), F.col("reach_id").alias("dst"), F.lit(0).alias("dist"))
+    latest = reaches.filter("downstream_id IS NOT NULL").select(F.col("reach_id").alias("src"), F.col("downstream_id").alias("dst"), F.lit(1).alias("dist"))
+    apart, step, most = latest, 1, None
+    while not (jump := latest.filter(F.col("dist") == step)).isEmpty():
         most = most or reaches.count()
         if step > most:
             raise NetworkError("the network has a cycle")
-        jump = jumps.table
-        # Only the new pairs are written: those of earlier rounds stay where they are.
-        far = jump.join(pairs.withColumnRenamed("src", "mid"), "mid").select("src", "dst", (F.col("dist") + step).alias("dist"))
-        pairs = pairs.unionByName(settled(far))
-        jumps.put(jump.join(jump.select(F.col("src").alias("mid"), F.col("mid").alias("next")), "mid").select("src", F.col("next").alias("mid")))
+        steps = jump.select("src", F.col("dst").alias("mid"))
+        further = apart.select(F.col("src").alias("mid"), "dst", F.col("dist").alias("more"))
+        latest = settled(steps.join(further, "mid").select("src", "dst", (F.col("more") + step).alias("dist")))
+        apart = apart.unionByName(latest)
         step *= 2
-    return pairs if include_self else pairs.filter("dist > 0")
+    return own.unionByName(apart) if include_self else apart
 
 
 def _add(a: Column, b: Column, is_array: bool) -> Column:
