@@ -147,11 +147,11 @@ def families(seed):
     return out
 
 
-@pytest.mark.parametrize("few", [ngram_join.FEW, 2])
-def test_ngram_join_against_brute_force(spark, monkeypatch, few):
-    """Also with lists of over two groups taken as long ones."""
+@pytest.mark.parametrize(("few", "ngrams"), [(ngram_join.FEW, 2_000), (2, 2_000), (2, 300)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, few, ngrams):
+    """Also with lists of over two groups taken as long ones, and with classes cut into several blocks."""
     monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "CLASS_NGRAMS", 2_000)
+    monkeypatch.setattr(ngram_join, "CLASS_NGRAMS", ngrams)
     texts = families(3) + prose(4, 40, 12, 5) + ["one two three", "One  two\tthree", "four", "", None, " \n"]
     rows = [(500 - i, t, "en") for i, t in enumerate(texts)]
     got = sorted((tuple(r) for r in ngram_join.ngram_join(docs_of(spark, rows)).collect()), key=repr)
@@ -159,6 +159,23 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, few):
     assert len({c for _, _, c in got}) < len(rows) - 60
 
 
+def test_a_class_meets_its_pivot_first(spark, monkeypatch):
+    """Of a class cut into blocks, what isn't like the pivot is linked among itself and with what is."""
+    monkeypatch.setattr(ngram_join, "CLASS_NGRAMS", 250)
+    base = [f"w{i}" for i in range(60)]
+    steps = [" ".join([*base[k:], *(f"z{i}" for i in range(k))]) for k in range(0, 50, 2)]  # a chain: each like the next one, the last not like the first
+    other = [" ".join([*(f"q{i}" for i in range(50)), str(k)]) for k in range(6)]
+    texts = steps + other
+    rows = [(10 + i, t, "en") for i, t in enumerate(texts)]
+    classes = spark.createDataFrame([(r[0], 1, 57) for r in rows], "rep long, cls long, size long")
+    links = ngram_join.confirmed_in_classes(docs_of(spark, rows), classes, 4, 85).collect()
+    parent = {r[0]: r[0] for r in rows}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert sorted((i, find(i)) for i in parent) == [(d, c) for d, _, c in sorted(components_by_hand(rows, 4, 85))]
+
+
 def test_ngram_join_odd_rows(spark):
     base = "a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd"
     rows = [(None, base, "en"), (3, base, "en"), (3, base, "en"), (2, base + " ee", "en"), (9, "other words are here now", "en"), (9, base, "en"), (9, "", "en"), (8, "other words are here now", "en"), (7, "very long " * 50_000 + "end", "en"), (6, "very long " * 50_000, "en")]
