@@ -12,6 +12,7 @@ sets.  (Christiani and Pagh, "Set similarity search beyond MinHash", 2017.)
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 from ..checkpoints import Rounds
 from .common import cut
 from .shingles import mixed, shingle_sets
+from .tokens import some_texts
 
 WIDTH, PERCENT = 5, 80
 POSITIONS, TREES, BRANCHES, LEAF, DEPTH = 128, 7, 2, 24, 6
 LIKELY = 0.6  # share of equal MinHash values that makes a candidate: five deviations under 0.8
-NODE_ROWS, CLASS_SHINGLES, BROADCAST_ROWS = 20_000, 4_000_000, 500_000
+NODE_ROWS, CLASS_SHINGLES, BROADCAST_ROWS, BROADCAST_NODES = 20_000, 4_000_000, 500_000, 50_000
+LEVELS = 3  # times that a node of over NODE_ROWS rows is branched before it is dealt
+TEXT_BYTES = 1 << 21
 CHUNK_TEXTS, CHUNK_BYTES, CHUNK_ROWS = 256, 1 << 21, 20_000
 
 _rng = np.random.default_rng(7)
@@ -209,39 +213,63 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def in_blocks(rows: DataFrame, key: str, id_: str, counts: DataFrame, most: int) -> DataFrame:
-    """Adds ``grp``; rows of a key whose count is over ``most`` go to every pair of blocks that holds theirs."""
-    large = counts.filter(F.col("n") > most).select(F.col(key).alias("big"), F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    both = rows.join(large, F.col(key) == F.col("big"), "left")
-    own = F.pmod(F.xxhash64(id_), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.xxhash64(key))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64(key, F.least(own, other), F.greatest(own, other)))
-    )
-    return both.withColumn("grp", F.explode(pairs)).drop("big", "blocks")
+def compared(rows: DataFrame, likely: int) -> DataFrame:
+    """``rows(rep, minhash, node, cls)`` with ``pivot``, the least row of each node, and ``near``, whether they are a likely pair; what is near takes the pivot's ``cls``."""
+    first = cut(rows.groupBy("node").agg(F.min(F.struct("rep", "minhash", "cls")).alias("first")))
+    few = first.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    both = rows.join(F.broadcast(first) if few else first, "node").select("rep", "minhash", "node", "cls", F.col("first.rep").alias("pivot"), F.col("first.minhash").alias("pivot_minhash"), F.col("first.cls").alias("pivot_cls"))
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, pivots = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("minhash", "pivot_minhash"))
+            near = (values == pivots).sum(axis=1, dtype=np.int32) >= likely
+            cls, pivot_cls = np.asarray(batch.column("cls")), np.asarray(batch.column("pivot_cls"))
+            columns = [*(batch.column(c) for c in ("rep", "minhash", "node")), pa.array(np.where(near, pivot_cls, cls)), batch.column("pivot"), batch.column("pivot_cls"), pa.array(near)]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "minhash", "node", "cls", "pivot", "pivot_cls", "near"])
 
-def branched(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """rep, minhash, node: rows of large nodes go to their children, one for each of BRANCHES positions of the node's choice.
+    return both.mapInArrow(meet, "rep long, minhash binary, node binary, cls long, pivot long, pivot_cls long, near boolean")
 
-    So the tasks that nodes are dealt to don't depend on how many documents a value of 16 bits gathers.
-    """
-    both = rows.join(large.select(F.col("node").alias("_large")), F.col("node") == F.col("_large"), "left")
+
+def branched(rows: DataFrame) -> DataFrame:
+    """rep, minhash, node, cls: rows go to the children of their node, one for each of BRANCHES positions of the node's choice."""
     at = lambda slot: F.pmod(F.xxhash64("node", F.lit(slot)), F.lit(POSITIONS)).cast("int")
     child = lambda slot: F.concat(F.col("node"), F.lit(bytes([slot])), F.substring(F.col("minhash"), 2 * at(slot) + 1, F.lit(2)))
-    down = F.when(F.col("_large").isNull(), F.array("node")).otherwise(F.array(*map(child, range(BRANCHES))))
-    return both.select("rep", "minhash", F.explode(down).alias("node"))
+    return rows.select("rep", "minhash", F.explode(F.array(*map(child, range(BRANCHES)))).alias("node"), "cls")
 
 
 def candidate_links(nodes: DataFrame, trees: int = TREES, percent: int = PERCENT) -> DataFrame:
-    """a, b: links of likely pairs, enough to connect each class of them."""
+    """a, b: links of likely pairs, enough to connect each class of them.
+
+    A node of over NODE_ROWS rows is branched before it is dealt, up to LEVELS
+    times.  All its rows first meet its pivot, wherever they lie; ``cls`` tells
+    which are linked so, and a child whose rows all are is done with.  So near
+    copies of one text, which share most of their values and whose nodes no
+    branching makes small, cost a comparison a row and level.  In nodes that
+    stay large all the same only rows outside the pivot's class meet the others.
+    """
     likely = int(POSITIONS * (LIKELY + (percent - 80) / 100))
     at_root = F.explode(F.array(*(F.concat(F.lit(bytes([t])), F.expr(f"substring(minhash, {2 * int(_ROOTS[t]) + 1}, 2)")) for t in range(trees))))
-    rows = nodes.select("rep", "minhash", at_root.alias("node"))
-    counts = cut(nodes.select(at_root.alias("node")).groupBy("node").agg(F.count("*").alias("n")))
-    if not counts.filter(F.col("n") > NODE_ROWS).isEmpty():
-        rows = branched(rows, counts.filter(F.col("n") > NODE_ROWS).select("node"))
-        counts = rows.groupBy("node").agg(F.count("*").alias("n"))
-    rows = in_blocks(rows, "node", "rep", counts, NODE_ROWS).select("grp", "rep", "minhash")
+    rows = nodes.select("rep", "minhash", at_root.alias("node"), F.col("rep").alias("cls"))
+    small = lambda df: df.select(F.xxhash64("node").alias("grp"), "rep", "minhash")
+    groups, met = [], []
+    for level in range(LEVELS + 1):
+        counts = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("least"), F.max("cls").alias("most")))
+        several = counts.filter("least < most")
+        large = several.filter(F.col("n") > NODE_ROWS).select("node")
+        if level:
+            rows = rows.join(several.select("node"), "node", "left_semi")
+        if large.isEmpty():
+            groups.append(small(rows))
+            break
+        groups.append(small(rows.join(large, "node", "left_anti")))
+        hot = cut(compared(rows.join(large, "node", "left_semi"), likely))
+        met.append(hot.filter("near AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        if level == LEVELS:
+            sides = hot.select("node", "rep", "minhash", F.lit(1).alias("size"), (F.col("cls") != F.col("pivot_cls")).alias("apart"))
+            groups.append(meet_apart(sides, "node", NODE_ROWS).select("grp", "rep", "minhash"))
+        else:
+            rows = cut(branched(hot))
+    dealt = reduce(DataFrame.unionByName, groups).repartition("grp").sortWithinPartitions("grp")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_group(batches, "grp", CHUNK_ROWS):
@@ -252,7 +280,7 @@ def candidate_links(nodes: DataFrame, trees: int = TREES, percent: int = PERCENT
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
 
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(links, "a long, b long").filter("a <> b")
+    return reduce(DataFrame.unionByName, [dealt.mapInArrow(links, "a long, b long"), *met]).filter("a <> b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,30 +304,55 @@ def components(links: DataFrame) -> DataFrame:
         rounds.put(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """a, b: links confirmed on whole shingle sets, enough to connect the documents of each class that are linked."""
-    few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    members = classes.select(F.col("node").alias("rep"), F.col("label").alias("cls"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select("rep", "cls", "text")
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets that aren't empty."""
+    both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``members(grp, rep, center)`` with shingles, the sorted set of the text of doc_id = rep.  Texts meet their groups first, so that sets are dealt once."""
+    by_rep = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("grp", "center")).alias("grps"))  # a few dozen, or the blocks of a class
+    few = by_rep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(by_rep) if few else by_rep, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, some in _chunks(batch, "text"):
-                offsets, h = shingle_sets(some, width)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep").slice(start, len(some)), batch.column("cls").slice(start, len(some)), pa.array([h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())],
-                    names=["rep", "cls", "shingles"],
-                )
+        for rows, some in some_texts(batches, "text", TEXT_BYTES):
+            offsets, h = shingle_sets(some, width)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("grps"), pa.array([h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["rep", "grps", "shingles"])
 
-    rows = texts.mapInArrow(sets, "rep long, cls long, shingles binary")
-    counts = rows.groupBy("cls").agg(F.sum(F.length("shingles") / 8).alias("n"))
-    rows = in_blocks(rows, "cls", "rep", counts, CLASS_SHINGLES).select("grp", "rep", "shingles")
+    rows = texts.mapInArrow(sets, "rep long, grps array<struct<grp:bigint,center:boolean>>, shingles binary").filter("length(shingles) > 0")
+    return rows.select(F.explode("grps").alias("g"), "rep", "shingles").select("g.grp", "g.center", "rep", "shingles")
+
+
+def stars(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the center of each group of ``members(grp, rep, center)`` with those of the group whose sets are like its own."""
+    rows = _sets_of(docs, members, width)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_group(batches, "grp", 512):
-            rep, data = np.asarray(batch.column("rep")), batch.column("shingles")
+            grp, rep, center, data = np.asarray(batch.column("grp")), np.asarray(batch.column("rep")), np.asarray(batch.column("center")), batch.column("shingles")
+            set_of = lambda i: np.frombuffer(data[int(i)].as_buffer(), np.uint64)  # noqa: B023, E731
+            own: dict[int, list[int]] = {}  # rows of the center: several, if its doc_id has several texts
+            for i in np.flatnonzero(center):
+                own.setdefault(int(grp[i]), []).append(int(i))
+            found = [(rep[own[int(grp[i])][0]], rep[i]) for i in np.flatnonzero(~center) if any(alike(set_of(k), set_of(i), percent) for k in own.get(int(grp[i]), ()))]
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(links, "a long, b long")
+
+
+def all_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links among all sets of each group of ``members(grp, rep)``, enough to connect those that are linked."""
+    rows = _sets_of(docs, members.withColumn("center", F.lit(False)), width).select("grp", "rep", "shingles")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_group(batches, "grp", 512):
+            grp, rep, data = np.asarray(batch.column("grp")), np.asarray(batch.column("rep")), batch.column("shingles")
+            bounds = np.concatenate((np.flatnonzero(np.diff(grp, prepend=grp[:1] - 1)), [len(grp)]))
             found = []
-            for s, e in (lambda b: zip(b[:-1], b[1:], strict=True))(_sorted_groups(np.asarray(batch.column("grp")))):
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 found += [(rep[s + a], rep[s + b]) for a, b in linked_sets([np.frombuffer(data[i].as_buffer(), np.uint64) for i in range(s, e)], percent)]
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -307,6 +360,49 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, per
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(links, "a long, b long").filter("a <> b")
 
 
+def meet_apart(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Adds ``grp`` to ``rows(key, apart, rep, size, ...)``: rows of a key that are apart meet all its rows, others only those.
+
+    Rows are cut into blocks of about half of ``most`` by ``size``, and pairs of
+    blocks meet of which one holds rows that are apart: a key whose rows are
+    nearly all alike takes a number of groups in proportion to them.  A key
+    without rows that are apart takes none.
+    """
+    number = lambda n: F.ceil(F.sum(n) / (most / 2)).cast("int")
+    place = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    sizes = rows.groupBy(key).agg(number(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("few"), F.greatest(F.lit(1), number(F.when(F.col("apart"), 0).otherwise(F.col("size")))).alias("many"))
+    sides = rows.join(sizes.filter("few > 0"), key)
+    among = lambda i, j: F.xxhash64(key, F.lit("among"), F.least(i, j), F.greatest(i, j))
+    with_near = lambda i, j: F.xxhash64(key, F.lit("with"), i, j)
+    own = sides.withColumn("own", F.when(F.col("apart"), place("few")).otherwise(place("many")))
+    grps = F.when(F.col("apart"), F.concat(F.transform(every("few"), lambda j: among(F.col("own"), j)), F.transform(every("many"), lambda j: with_near(F.col("own"), j)))).otherwise(F.transform(every("few"), lambda i: with_near(i, F.col("own"))))
+    return own.withColumn("grp", F.explode(grps)).drop("few", "many", "own")
+
+
+def confirmed_in_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """a, b: links confirmed on whole sets, enough to connect the sets of each class (``classes(rep, cls, size)``) that are linked.
+
+    A class of up to ``most`` shingles is one group.  Of a larger one all first
+    meet its pivot, its least id, block by block.  Only those that aren't like
+    the pivot then meet all others (``meet_apart``): copies of one text are near
+    all like the pivot, so that a class of a great part of all texts takes a
+    number of groups in proportion to it.
+    """
+    large = cut(classes.groupBy("cls").agg(F.sum("size").alias("n"), F.min("rep").alias("pivot")).filter(F.col("n") > most))
+    small = classes.join(large.select("cls"), "cls", "left_anti").select(F.xxhash64("cls").alias("grp"), "rep")
+    if large.isEmpty():
+        return all_links(docs, small, width, percent)
+    big = cut(classes.join(large.withColumn("blocks", F.ceil(F.col("n") / (most / 2)).cast("int")), "cls"))
+    around = big.filter("rep <> pivot").select(F.xxhash64("cls", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).alias("grp"), "rep", F.lit(False).alias("center"))
+    pivots = big.filter("rep = pivot").select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "rep").select(F.xxhash64("cls", "block").alias("grp"), "rep", F.lit(True).alias("center"))
+    near = cut(stars(docs, around.unionByName(pivots), width, percent))
+    known = near.select(F.col("b").alias("rep"), F.lit(True).alias("is_near")).distinct()
+    sides = big.join(known, "rep", "left").select("cls", "rep", "size", (F.col("is_near").isNull() & (F.col("rep") != F.col("pivot"))).alias("apart"))
+    rest = meet_apart(sides, "cls", most).select("grp", "rep")
+    return near.unionByName(all_links(docs, small.unionByName(rest), width, percent))
+
+
 def linked_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links of a spanning forest over all pairs with 100 * intersection >= percent * union."""
     n = len(sets)
@@ -347,7 +443,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     likely = components(candidate_links(sets.select("rep", "minhash"), trees, percent))
     same_id = all_rows.filter("n_shingles > 0").select("doc_id", "set_a", "set_b").join(sets.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
     twice = same_id.filter("rep <> doc_id").join(all_rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    label = components(confirmed_links(docs, likely, width, percent).unionByName(twice)).select(F.col("node").alias("rep"), "label")
+    size = sets.groupBy("rep").agg(F.max("n_shingles").alias("size"))
+    classes = likely.select(F.col("node").alias("rep"), F.col("label").alias("cls")).join(size, "rep")
+    found = confirmed_in_classes(docs.select("doc_id", "text"), classes, width, percent, CLASS_SHINGLES)
+    label = components(found.unionByName(twice)).select(F.col("node").alias("rep"), "label")
     named = sets.join(label, "rep", "left").select(F.col("set_a").alias("a_of"), F.col("set_b").alias("b_of"), F.coalesce("label", "rep").alias("label"))
     joined = all_rows.join(named, (F.col("set_a") == F.col("a_of")) & (F.col("set_b") == F.col("b_of")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("label", "doc_id")

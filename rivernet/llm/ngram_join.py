@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from .common import cut
-from .near_dedup import BROADCAST_ROWS, by_group, components, linked_sets
+from .near_dedup import BROADCAST_ROWS, components, stars
 from .shingles import mixed, shingle_sets
 from .tokens import some_texts
 
@@ -195,99 +196,15 @@ def by_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union of two sorted sets that aren't empty."""
-    both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
-def _sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``members(grp, rep, center)`` with shingles, the sorted set of the text of doc_id = rep.  Texts meet their groups first, so that sets are dealt once."""
-    by_rep = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("grp", "center")).alias("grps"))  # FEW * prefix of them at most, or the blocks of a class
-    few = by_rep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(by_rep) if few else by_rep, "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, some in some_texts(batches, "text", TEXT_BYTES):
-            offsets, h = shingle_sets(some, width)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("grps"), pa.array([h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["rep", "grps", "shingles"])
-
-    rows = texts.mapInArrow(sets, "rep long, grps array<struct<grp:bigint,center:boolean>>, shingles binary").filter("length(shingles) > 0")
-    return rows.select(F.explode("grps").alias("g"), "rep", "shingles").select("g.grp", "g.center", "rep", "shingles")
-
-
-def stars(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: the center of each group of ``members(grp, rep, center)`` with those of the group whose sets are like its own."""
-    rows = _sets_of(docs, members, width)
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_group(batches, "grp", 512):
-            grp, rep, center, data = np.asarray(batch.column("grp")), np.asarray(batch.column("rep")), np.asarray(batch.column("center")), batch.column("shingles")
-            set_of = lambda i: np.frombuffer(data[int(i)].as_buffer(), np.uint64)  # noqa: B023, E731
-            own: dict[int, list[int]] = {}  # rows of the center: several, if its doc_id has several texts
-            for i in np.flatnonzero(center):
-                own.setdefault(int(grp[i]), []).append(int(i))
-            found = [(rep[own[int(grp[i])][0]], rep[i]) for i in np.flatnonzero(~center) if any(alike(set_of(k), set_of(i), percent) for k in own.get(int(grp[i]), ()))]
-            a, b = np.array(found, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(links, "a long, b long")
-
-
 def confirmed_pairs(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: those of ``pairs(a, b)`` whose sets are alike; the sets of all partners of ``a`` meet in one group, FEW * prefix of them at most."""
     partners = pairs.select(F.col("a").alias("grp"), F.col("b").alias("rep"), F.lit(False).alias("center"))
     return stars(docs, partners.unionByName(pairs.select(F.col("a").alias("grp"), F.col("a").alias("rep"), F.lit(True).alias("center")).distinct()), width, percent)
 
 
-def all_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: links among all sets of each group of ``members(grp, rep)``, enough to connect those that are linked."""
-    rows = _sets_of(docs, members.withColumn("center", F.lit(False)), width).select("grp", "rep", "shingles")
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_group(batches, "grp", 512):
-            grp, rep, data = np.asarray(batch.column("grp")), np.asarray(batch.column("rep")), batch.column("shingles")
-            bounds = np.concatenate((np.flatnonzero(np.diff(grp, prepend=grp[:1] - 1)), [len(grp)]))
-            found = []
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                found += [(rep[s + a], rep[s + b]) for a, b in linked_sets([np.frombuffer(data[i].as_buffer(), np.uint64) for i in range(s, e)], percent)]
-            a, b = np.array(found, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(links, "a long, b long").filter("a <> b")
-
-
 def confirmed_in_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: links confirmed on whole sets, enough to connect the sets of each class (``classes(rep, cls, size)``) that are linked.
-
-    A class of up to CLASS_NGRAMS n-grams is one group.  Of a larger one all
-    first meet its pivot, its least id, block by block.  Only those that aren't
-    like the pivot then meet all others, by pairs of blocks of which one holds
-    such rows: copies of one text are near all like the pivot, so that a class
-    of a great part of all texts takes a number of groups in proportion to it.
-    """
-    half = CLASS_NGRAMS / 2
-    large = cut(classes.groupBy("cls").agg(F.sum("size").alias("n"), F.min("rep").alias("pivot")).filter(F.col("n") > CLASS_NGRAMS))
-    small = classes.join(large.select("cls"), "cls", "left_anti").select(F.xxhash64("cls").alias("grp"), "rep")
-    if large.isEmpty():
-        return all_links(docs, small, width, percent)
-    number = lambda n: F.ceil(n / half).cast("int")
-    place = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
-    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
-    big = cut(classes.join(large.withColumn("blocks", number(F.col("n"))), "cls"))
-    around = big.filter("rep <> pivot").select(F.xxhash64("cls", place("blocks")).alias("grp"), "rep", F.lit(False).alias("center"))
-    pivots = big.filter("rep = pivot").select(F.explode(every("blocks")).alias("block"), "cls", "rep").select(F.xxhash64("cls", "block").alias("grp"), "rep", F.lit(True).alias("center"))
-    near = cut(stars(docs, around.unionByName(pivots), width, percent))
-    known = near.select(F.col("b").alias("rep"), F.lit(True).alias("is_near")).distinct()
-    sides = big.join(known, "rep", "left").withColumn("apart", F.col("is_near").isNull() & (F.col("rep") != F.col("pivot")))
-    sizes = sides.groupBy("cls").agg(number(F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0))).alias("few"), number(F.sum(F.when(F.col("apart"), 0).otherwise(F.col("size")))).alias("many"))
-    sides = sides.select("cls", "rep", "apart").join(sizes.filter("few > 0"), "cls")
-    among = lambda i, j: F.xxhash64("cls", F.lit("among"), F.least(i, j), F.greatest(i, j))
-    with_near = lambda i, j: F.xxhash64("cls", F.lit("with"), i, j)
-    own = sides.withColumn("own", F.when(F.col("apart"), place("few")).otherwise(place("many")))
-    grps = F.when(F.col("apart"), F.concat(F.transform(every("few"), lambda j: among(F.col("own"), j)), F.transform(every("many"), lambda j: with_near(F.col("own"), j)))).otherwise(F.transform(every("few"), lambda i: with_near(i, F.col("own"))))
-    rest = own.select(F.explode(grps).alias("grp"), "rep")
-    return near.unionByName(all_links(docs, small.unionByName(rest), width, percent))
+    """a, b: links of ``near_dedup.confirmed_in_classes`` in classes cut at CLASS_NGRAMS n-grams."""
+    return near_dedup.confirmed_in_classes(docs, classes, width, percent, CLASS_NGRAMS)
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

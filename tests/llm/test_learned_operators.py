@@ -73,6 +73,29 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     check_near(spark, rows, 2)
 
 
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_a_third_of_all_rows_in_one_node(spark, monkeypatch, levels):
+    """Near copies of one text, which no branching parts, among other texts and one chain of likely pairs."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 30)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    monkeypatch.setattr(near_dedup, "CLASS_SHINGLES", 3_000)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(7 * i, " ".join([*base[: (at := rng.randrange(150))], f"x{i}", *base[at:]])) for i in range(150)]
+    rows += [(5_000 + k, " ".join([*base[k:], *(f"z{i}" for i in range(k))])) for k in range(0, 120, 6)]
+    rows += [(10_000 + i, " ".join(f"q{rng.randrange(4_000)}" for _ in range(rng.randint(3, 40)))) for i in range(200)]
+    check_near(spark, rows, 2)
+
+
+def test_only_rows_apart_meet_the_others(spark):
+    rows = spark.range(2_000).select(F.lit(1).alias("cls"), F.col("id").alias("rep"), F.lit(1).alias("size"), (F.col("id") % 200 == 7).alias("apart"))
+    met = near_dedup.meet_apart(rows, "cls", 100).groupBy("grp").agg(F.collect_list("rep").alias("reps"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in met) == 1_990 + 10 * (1 + 40) and max(r.n for r in met) < 130  # 40 blocks of the others
+    together = {(a, b) for r in met for a in r.reps if a % 200 == 7 for b in r.reps}
+    assert len(together) == 10 * 2_000
+    assert near_dedup.meet_apart(rows.withColumn("apart", F.lit(False)), "cls", 100).count() == 0
+
+
 def test_branching_alone():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 65536, (30, near_dedup.POSITIONS), dtype=np.uint16)
