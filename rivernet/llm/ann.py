@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE_ROWS, ROWS_A_LEAF, MOST_LEAVES, CENTRES = 10_000, 1_000, 1_024, 16
-PROBED, LEAST_PROBES, LEAST_ROWS = 0.75, 12, 64
+RECALL, LEAST_PROBES, LEAST_ROWS = 0.96, 12, 64
+HELD_OUT = 10  # one sample row in so many is not fitted on, but asked to find how many leaves a query needs
 SCORE_AT, RERANKED = 0.2, 96  # inner products from SCORE_AT on count; candidates of each block reranked before any bound is known
 RERANK_CHUNK, SLACK = 1_024, 1e-4  # rows scored at a time; rounding of the tables' single precision
-CANDIDATE_ROWS, QUERY_ROWS = 4_096, 512
+CANDIDATE_ROWS, QUERY_ROWS, TABLES = 4_096, 4_096, 256  # rows of a block; queries whose tables are held at a time
 
 
 @dataclass
@@ -124,6 +125,22 @@ def fit(x: np.ndarray, n_leaves: int, rounds: int = 8) -> Index:
     return index
 
 
+def probes_needed(index: Index, rows: np.ndarray, asked: np.ndarray, k: int, recall: float) -> int:
+    """The fewest leaves, nearest first, that hold ``recall`` of the ``k`` nearest ``rows`` of ``asked`` (unit vectors that weren't fitted on).
+
+    A sample's neighbours are farther than those among all rows, and so lie in farther leaves: the number errs on the safe side.
+    """
+    if not len(asked):
+        return len(index.leaves)
+    own, k, places = index.assign(rows), min(k, len(rows)), []
+    for at in range(0, len(asked), TABLES):
+        q = asked[at : at + TABLES]
+        place = np.argsort(np.argsort(-(q @ index.leaves.T), axis=1, kind="stable"), axis=1)
+        best = np.argpartition(-(q @ rows.T), k - 1, axis=1)[:, :k]
+        places.append(np.take_along_axis(place, own[best], axis=1).ravel())
+    return int(np.quantile(np.concatenate(places), recall, method="higher")) + 1
+
+
 def rerank(about: np.ndarray, along: np.ndarray, across: np.ndarray, score: Callable[[np.ndarray], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and exact scores among which are all ``k`` best and their ties.
 
@@ -164,11 +181,12 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("vec") == (usual["n"] if usual else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int = SAMPLE_ROWS, probed: float = PROBED) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each vector whose vec_id ``every`` divides.
 
     The leaves and centres are fitted on at most ``sample_rows`` rows, by a hash
-    of vec_id; every row is indexed.  Vectors that are null, zero, or hold null
+    of vec_id; every row is indexed.  Queries probe as many leaves as hold
+    ``recall`` of the neighbours of sample rows that were kept from fitting.  Vectors that are null, zero, or hold null
     or non-finite components, and those of an unusual length, take no part;
     very large and very small components do.
     So do rows without a vec_id.  A vec_id that several rows have is asked once,
@@ -184,7 +202,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toArrow()
-    index = fit(unit(_matrix(sample.column("vec").combine_chunks())), max(1, min(MOST_LEAVES, total // ROWS_A_LEAF)))
+    fitted = unit(_matrix(sample.column("vec").combine_chunks()))
+    held = np.arange(len(fitted)) % HELD_OUT == HELD_OUT - 1
+    kept, fitted = fitted[held], fitted[~held]
+    index = fit(fitted, max(1, min(MOST_LEAVES, total // ROWS_A_LEAF)))
+    probes = max(LEAST_PROBES, probes_needed(index, fitted, kept, k, recall))
 
     def encode(batches):
         for b in batches:
@@ -198,7 +220,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
     coded = cut(rows.mapInArrow(encode, "vec_id long, vec array<double>, leaf int, codes binary, along double, across double"))
     size = {r.leaf: r.n for r in coded.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most MOST_LEAVES rows
     sizes = np.array([size.get(i, 0) for i in range(len(index.leaves))])
-    probes = min(len(sizes), max(LEAST_PROBES, int(np.ceil(probed * len(sizes)))))
 
     def probe(batches):
         for b in batches:
@@ -227,7 +248,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, sample_rows: int =
             along, across = np.asarray(cands.column("along")), np.asarray(cands.column("across"))
             norm = np.sqrt((x * x).sum(axis=1))
             qs = scaled(_matrix(queries.column("vec").combine_chunks()))
-            for q_id, q, table in zip(queries.column("query_id").to_pylist(), qs, index.tables(unit(qs)), strict=True):
+            tables = (table for at in range(0, len(qs), TABLES) for table in index.tables(unit(qs[at : at + TABLES])))
+            for q_id, q, table in zip(queries.column("query_id").to_pylist(), qs, tables, strict=True):
                 about = sum(table[s][codes[:, s]] for s in range(codes.shape[1]))
                 other, size = np.flatnonzero(ids != q_id), np.sqrt(q @ q)
                 exact = lambda part: x[other[part]] @ q / (norm[other[part]] * size)  # noqa: B023, E731

@@ -299,6 +299,24 @@ def test_recall(spark, monkeypatch):
     assert all(abs(s - scores[q, v]) < 1e-12 for q, w in got.items() for v, s in w if (q, v) in scores)
 
 
+def test_probes_follow_how_the_rows_cluster():
+    """Tight clusters need few leaves, a cloud without any most of them; the number reaches the recall asked for."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    tight, cloud = (ann.unit(x) for x in (np.repeat(centres, 50, axis=0) + 0.02 * rng.normal(size=(2_000, 16)), rng.normal(size=(2_000, 16))))
+    found = {}
+    for name, x in (("tight", tight), ("cloud", cloud)):
+        order = rng.permutation(len(x))
+        asked, rows = x[order[:200]], x[order[200:]]
+        index = ann.fit(rows, 40)
+        found[name] = n = ann.probes_needed(index, rows, asked, 5, 0.96)
+        near = np.argsort(-(asked @ rows.T), axis=1)[:, :5]
+        own, probed = index.assign(rows), np.argsort(-(asked @ index.leaves.T), axis=1)[:, :n]
+        assert np.mean([(own[near[i]][:, None] == probed[i]).any(axis=1).mean() for i in range(len(asked))]) >= 0.96
+    assert found["tight"] <= 10 and found["cloud"] > 2 * found["tight"]
+    assert ann.probes_needed(index, rows, asked[:0], 5, 0.96) == 40
+
+
 def test_nearest_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int, vec string"
     rows = [(0, [1.0, 0.0, 1.0]), (50, [0.0, 2.0, 0.0]), (1, None), (2, [0.0, 0.0, 0.0]), (3, [1.0, None, 1.0]), (4, [float("nan"), 1.0, 1.0]), (5, [float("inf"), 1.0, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (7, [2.0, 0.0, 2.0]), (8, [1.0, 0.0, 1.0]), (8, [1.0, 0.0, 1.0])]
