@@ -42,3 +42,10 @@ def test_query_against_sql(spark, duck, name):
     assert sorted(found.columns) == sorted(columns)
     rows = lambda rs: sorted((tuple(map(plain, r)) for r in rs), key=repr)
     assert rows(map(tuple, found.select(*columns).collect())) == rows(want.fetchall())
+
+
+def test_the_round_trip_gives_the_whole_kernel_back(spark):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    kernel = queries.K.long_kernel(queries._chain_kernel(spark, SF)).select("dst", "src", "lag", queries.rounded("weight").alias("weight"))
+    back, last = rows(queries.kernel_block_roundtrip(spark, SF)), queries.data.chain32(spark, SF).agg({"reach_id": "max"}).first()[0]
+    assert back == rows(kernel) and any(r[0] == last for r in back)
