@@ -28,6 +28,7 @@ WIDTH, PERCENT = 5, 80
 POSITIONS, TREES, BRANCHES, LEAF, DEPTH = 128, 7, 2, 24, 6
 LIKELY = 0.6  # share of equal MinHash values that makes a candidate: five deviations under 0.8
 NODE_ROWS, CLASS_SHINGLES, BROADCAST_ROWS, BROADCAST_NODES = 20_000, 4_000_000, 500_000, 50_000
+MARKS = 1 << 26
 LEVELS = 3  # times that a node of over NODE_ROWS rows is branched before it is dealt
 TEXT_BYTES = 1 << 21
 CHUNK_TEXTS, CHUNK_BYTES, CHUNK_ROWS = 256, 1 << 21, 20_000
@@ -310,11 +311,24 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids(doc_id)`` and some others (one in a hundred, at 700,000 ids): only they need to be dealt out.
+
+    A bitmap of MARKS hashed ids goes to all tasks; it has a fixed size at any number of ids.
+    """
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1
+    bits = ids.select(F.bitmap_bucket_number(mark).alias("bucket"), F.bitmap_bit_position(mark).alias("bit")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.bitmap_bit_position(mark) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = docs.withColumn("bucket", F.bitmap_bucket_number(mark)).join(F.broadcast(bits), "bucket")
+    return held.filter(F.bit_get(byte, (F.bitmap_bit_position(mark) % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def _sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """``members(grp, rep, center)`` with shingles, the sorted set of the text of doc_id = rep.  Texts meet their groups first, so that sets are dealt once."""
     by_rep = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("grp", "center")).alias("grps"))  # a few dozen, or the blocks of a class
     few = by_rep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(by_rep) if few else by_rep, "doc_id")
+    docs = docs.select("doc_id", "text")
+    texts = docs.join(F.broadcast(by_rep), "doc_id") if few else marked(docs, by_rep).join(by_rep, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, some in some_texts(batches, "text", TEXT_BYTES):

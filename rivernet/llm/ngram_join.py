@@ -8,9 +8,10 @@ the shared n-grams and by their number.  What is left is expanded to the members
 every link is confirmed on whole sets.  (Bouros, Ge and Mamoulis,
 "Spatio-textual similarity joins", 2012.)
 
-The order comes from a table of CELLS counters over the n-grams of all sets; an
-n-gram's frequency is that of its cell.  Any order gives the same links: the
-table only decides how short the lists of sets that share an n-gram are.
+The order comes from a count of the n-grams of all texts by 32 bits of their
+hash.  Which of them over FEW texts hold is noted in a table of CELLS cells,
+however many texts there are; the rest are rare.  Any order gives the same links: the table
+only decides how short the lists of sets that share an n-gram are.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from .shingles import mixed, shingle_sets
 from .tokens import some_texts
 
 WIDTH, PERCENT = 4, 85
-CELLS, SLICE = 1 << 21, 1 << 16
+CELLS, SLICES = 1 << 24, 1 << 10
+VALUES = (1 << 32) // SLICES  # 32-bit values in a slice, which has CELLS / SLICES cells
+CHUNK_NGRAMS, SORTED = 1 << 22, 1 << 22  # values sent as one; those of a slice that are counted by sorting
 SHARED = 4  # n-grams that the prefixes of a pair must have in common; they are so much longer
 FEW = 16  # groups in the list of an n-gram whose pairs are taken one by one
 LIST_ROWS, CLASS_NGRAMS, TEXT_BYTES = 20_000, 4_000_000, 1 << 21
@@ -45,77 +48,100 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def set_keys(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b: the size and a 128-bit hash of every row's set."""
-    names = ["doc_id", "n_shingles", "set_a", "set_b"]
+def frequency_table(docs: DataFrame, width: int) -> np.ndarray:
+    """uint8[CELLS]: the bit length of the number of texts that hold the most frequent n-gram of each cell; 0 if it's up to FEW.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in some_texts(batches, "text", TEXT_BYTES):
-            offsets, h = shingle_sets(texts, width)
-            total = lambda x: np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))[offsets]).view(np.int64)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(total(mixed(h))), pa.array(total(mixed(h ^ np.uint64(0xC3C3C3C3C3C3C3C3))))], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(keys, "doc_id long, n_shingles long, set_a long, set_b long")
-
-
-def frequency_table(texts: DataFrame, width: int) -> np.ndarray:
-    """uint8[CELLS]: the bit length of the number of n-grams of all ``texts`` in each cell.
-
-    Tasks send a row for every SLICE counters; the table has a fixed size at any number of texts.
+    Tasks send the sorted values of CHUNK_NGRAMS n-grams by slices, as the gaps
+    between them.  A slice is counted in one task, by sorting or, if it is longer, in VALUES counters.
     """
+    few = FEW
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for _, some in some_texts(batches, "text", TEXT_BYTES):
-            cells += np.bincount((shingle_sets(some, width)[1] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        if cells.any():
-            for at in range(0, CELLS, SLICE):
-                part = cells[at : at + SLICE]
-                kind = np.min_scalar_type(part.max())
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([kind.itemsize], pa.int32()), pa.array([part.astype(kind).tobytes()])], names=["at", "width", "counts"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, None
+            held.append((shingle_sets(some, width)[1] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            n += len(held[-1])
+            if n >= CHUNK_NGRAMS:
+                yield sliced(np.sort(np.concatenate(held)))
+                held, n = [], 0
+        if n:
+            yield sliced(np.sort(np.concatenate(held)))
+
+    def sliced(values: np.ndarray) -> pa.RecordBatch:
+        bounds = np.searchsorted(values, np.arange(SLICES, dtype=np.uint64) * np.uint64(VALUES)).tolist() + [len(values)]
+        at, widths, gaps = [], [], []
+        for k in range(SLICES):
+            part = values[bounds[k] : bounds[k + 1]]
+            if len(part):
+                gap = np.diff(part, prepend=np.uint32(k * VALUES))
+                kind = np.min_scalar_type(gap.max())
+                at.append(k)
+                widths.append(kind.itemsize)
+                gaps.append(gap.astype(kind).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(widths, pa.int32()), pa.array(gaps, pa.binary())], names=["slice", "width", "gaps"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, counts, held, n = None, None, [], 0
+
+        def noted() -> pa.RecordBatch:
+            if counts is None:
+                value, number = np.unique(np.concatenate(held), return_counts=True)
+                often = number > few
+                value, number = value[often], number[often]
+            else:
+                number = counts + np.bincount(np.concatenate(held), minlength=VALUES)
+                value = np.flatnonzero(number > few)
+                number = number[value]
+            most = np.zeros(CELLS // SLICES, np.int64)
+            np.maximum.at(most, value // (VALUES * SLICES // CELLS), number)
+            return pa.RecordBatch.from_arrays([pa.array([last]), pa.array([_bit_length(most).tobytes()])], names=["slice", "bits"])
+
         for batch in batches:
-            for at, kind, counts in zip(*(batch.column(c).to_pylist() for c in ("at", "width", "counts")), strict=True):
+            for at, kind, gaps in zip(*(batch.column(c).to_pylist() for c in ("slice", "width", "gaps")), strict=True):
                 if at != last:
-                    if total is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([_bit_length(total).tobytes()])], names=["at", "bits"])
-                    last, total = at, np.zeros(SLICE, np.int64)
-                total += np.frombuffer(counts, f"u{kind}")
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([_bit_length(total).tobytes()])], names=["at", "bits"])
-
-    parts = texts.select("text").mapInArrow(counted, "at long, width int, counts binary")
-    whole = parts.repartition("at").sortWithinPartitions("at").mapInArrow(added, "at long, bits binary")
-    table = np.zeros(CELLS, np.uint8)
-    for r in whole.collect():  # CELLS / SLICE rows
-        table[r["at"] : r["at"] + SLICE] = np.frombuffer(r["bits"], np.uint8)
-    return table
+                    if last is not None:
+                        yield noted()
+                    last, counts, held, n = at, None, [], 0
+                held.append(np.cumsum(np.frombuffer(gaps, f"u{kind}"), dtype=np.int32))
+                n += len(held[-1])
+                if n >= SORTED:
+                    counts = np.bincount(np.concatenate(held), minlength=VALUES) + (0 if counts is None else counts)
+                    held, n = [np.empty(0, np.int32)], 0
+        if last is not None:
+            yield noted()
+
+    parts = docs.select("text").mapInArrow(valued, "slice long, width int, gaps binary")
+    whole = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(counted, "slice long, bits binary")
+    table = np.zeros((SLICES, CELLS // SLICES), np.uint8)
+    for r in whole.collect():  # SLICES rows
+        table[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.reshape(-1)
 
 
 def _bit_length(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
 
-def prefixes(texts: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """rep, size, prefix (array, rare first), key_a, key_b (a hash of prefix and size) of every row of ``texts(doc_id, text)``."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)  # CELLS bytes
+def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, set_a, set_b (a 128-bit hash of the set), key_a, key_b (one of prefix and size), prefix (array, rare first) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # CELLS bytes
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for rows, some in some_texts(batches, "text", TEXT_BYTES):
             offsets, h = shingle_sets(some, width)
             size = np.diff(offsets)
+            total = lambda x, bounds: np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))[bounds])
+            sets = [total(mixed(x), offsets).view(np.int64) for x in (h, h ^ np.uint64(0xC3C3C3C3C3C3C3C3))]
             of = np.repeat(np.arange(len(size)), size)
-            h = h[np.lexsort((h, bits[(h & np.uint64(CELLS - 1)).astype(np.int64)], of))]
+            h = h[np.lexsort((h, bits[((h & np.uint64(0xFFFFFFFF)) // np.uint64((1 << 32) // CELLS)).astype(np.int64)], of))]
             length = prefix_size(size, percent)
             h, ends = h[np.arange(len(h)) - np.repeat(offsets[:-1], size) < np.repeat(length, size)], np.concatenate(([0], np.cumsum(length)))
-            key = lambda salt: mixed(np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(salt)), dtype=np.uint64)))[ends]) + mixed(size.astype(np.uint64))).view(np.int64)  # noqa: B023, E731
+            keys = [mixed(total(mixed(h ^ np.uint64(salt)), ends) + mixed(size.astype(np.uint64))).view(np.int64) for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(size), lists, pa.array(key(0x9E3779B97F4A7C15)), pa.array(key(0xD1B54A32D192ED03))], names=["rep", "size", "prefix", "key_a", "key_b"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(size), *map(pa.array, sets + keys), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "key_a", "key_b", "prefix"])
 
-    return texts.select("doc_id", "text").mapInArrow(prefix, "rep long, size long, prefix array<long>, key_a long, key_b long")
+    return docs.select("doc_id", "text").mapInArrow(prefix, "doc_id long, n_shingles long, set_a long, set_b long, key_a long, key_b long, prefix array<long>")
 
 
 def group_links(groups: DataFrame, percent: int) -> DataFrame:
@@ -218,17 +244,16 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     result; further columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    rows = cut(set_keys(docs, width))
+    rows = cut(prefixes(docs, frequency_table(docs, width), width, percent))
     some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     of_set = ["set_a", "set_b", "n_shingles"]
-    sets = cut(some.groupBy(*of_set).agg(F.min("doc_id").alias("rep")))
-    ids = sets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    heads = cut(prefixes(texts, frequency_table(texts, width), width, percent).filter("size > 0"))
+    sets = cut(some.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.min("key_a").alias("key_a"), F.min("key_b").alias("key_b")))  # equal sets have equal keys
+    heads = sets.select("rep", F.col("n_shingles").alias("size"), "key_a", "key_b")
     by = ["size", "key_a", "key_b"]
     groups = cut(heads.groupBy(*by).agg(F.min("rep").alias("grp"), F.max("rep").alias("last")))
     firsts = groups.select(F.col("grp").alias("rep")).distinct()
-    links = cut(group_links(heads.join(F.broadcast(firsts) if groups.count() <= BROADCAST_ROWS else firsts, "rep", "left_semi"), percent))
+    lists = some.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "prefix")
+    links = cut(group_links(lists.join(F.broadcast(firsts) if groups.count() <= BROADCAST_ROWS else firsts, "rep", "left_semi"), percent))
     several = groups.filter("grp <> last")
     members = heads.select(*by, "rep").join(several.select(*by, "grp"), by).select(F.col("grp").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     whole = several.select("grp").distinct()

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from rivernet.llm import collocation, grid_search, ngram_join
+from rivernet.llm import collocation, grid_search, near_dedup, ngram_join
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, key string, n int, rep int, grp int, score int"
@@ -184,6 +184,41 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.ngram_join(docs_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("chunk", "most"), [(1 << 22, 1 << 22), (300, 3)])
+def test_the_table_tells_frequent_ngrams_from_rare_ones(spark, monkeypatch, chunk, most):
+    """With 8,192 cells frequent n-grams stand out of more rare ones than there are cells; also in small chunks and by counters."""
+    for name, value in (("CHUNK_NGRAMS", chunk), ("SORTED", most), ("CELLS", 1 << 13), ("SLICES", 1 << 13), ("VALUES", 1 << 19)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(8)
+    common = [" ".join(f"c{k}x{i}" for i in range(4)) for k in range(5)]
+    texts = [" ".join([rng.choice(common), *(f"{n}r{i}" for i in range(40))]) for n in range(1_000)]
+    table = ngram_join.frequency_table(docs_of(spark, [(i, t, "en") for i, t in enumerate(texts)]), 4)
+    cell = lambda text: int(ngram_join.shingle_sets([text.encode()], 4)[1][0] & np.uint64(0xFFFFFFFF)) // ((1 << 32) // (1 << 13))
+    for c in common:
+        assert table[cell(c)] == sum(t.startswith(c) for t in texts).bit_length()
+    assert np.count_nonzero(table) == len({cell(c) for c in common})
+
+
+def test_ngram_join_where_ids_are_too_many_to_broadcast(spark, monkeypatch):
+    """Texts are then dealt out once they are known to take part, and never for the prefixes."""
+    dealt = []
+
+    def marked(docs, ids, real=near_dedup.marked):
+        out = real(docs, ids)
+        dealt.append(({r.doc_id for r in out.collect()}, {r.doc_id for r in ids.collect()}))
+        return out
+
+    for module in (ngram_join, near_dedup):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "marked", marked)
+    texts = families(3)[:40] + [" ".join(f"{n}r{i}" for i in range(30)) for n in range(150)]
+    rows = [(500 - i, t, "en") for i, t in enumerate(texts)] + [(None, texts[0], "en")]
+    got = sorted((tuple(r) for r in ngram_join.ngram_join(docs_of(spark, rows)).collect()), key=repr)
+    assert got == components_by_hand(rows, 4, 85)
+    assert dealt and all(ids <= out and len(out) <= len(ids) + 2 for out, ids in dealt) and any(ids for _, ids in dealt)
+    assert not any(ids & set(range(500 - len(texts) + 1, 461)) for _, ids in dealt)
+
+
 def test_prefixes_hold_a_common_ngram():
     """Sets at the threshold share SHARED of their first n-grams, or all they must, in any order."""
     rng = np.random.default_rng(5)
