@@ -23,6 +23,20 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), flat)
 
 
+def log_of(h: np.ndarray) -> np.ndarray:
+    """The logarithm of the real transform of rows, magnitude floored at 1e-8; the phase is its imaginary part."""
+    z = np.fft.rfft(h, axis=1)
+    return np.log(np.maximum(np.abs(z), FLOOR)) + 1j * np.angle(z)
+
+
+def weights_of(log: np.ndarray, n: int, substeps: int, mode: str) -> np.ndarray:
+    """Weights at the native step of rows of logarithms: inverse transform, negative weights cut, resampled, sum 1 (all 0 where nothing is left)."""
+    fine = np.maximum(np.fft.irfft(np.exp(log), n=n, axis=1), 0)
+    w = sampling.reduce_kernel(fine, substeps, mode)
+    total = w.sum(axis=1, keepdims=True)
+    return w / np.where(total > 0, total, 1)
+
+
 def _mapped(df: DataFrame, source: str, target: str, f) -> DataFrame:
     """Replaces the array column ``source`` by ``target`` = f(matrix)."""
     others = [c for c in df.columns if c != source]
@@ -40,8 +54,8 @@ def log_spectrum(df: DataFrame, source: str = "irf", target: str = "spectrum") -
     """Log amplitudes (magnitude floored at 1e-8), then phases, of the real transform of an array column."""
 
     def f(h: np.ndarray) -> np.ndarray:
-        z = np.fft.rfft(h, axis=1)
-        return np.hstack((np.log(np.maximum(np.abs(z), FLOOR)), np.angle(z)))
+        log = log_of(h)
+        return np.hstack((log.real, log.imag))
 
     return _mapped(df, source, target, f)
 
@@ -56,9 +70,6 @@ def kernel_weights(df: DataFrame, n: int, substeps: int, mode: str, source: str
 
     def f(s: np.ndarray) -> np.ndarray:
         log, phase = np.hsplit(s, 2)
-        fine = np.maximum(np.fft.irfft(np.exp(log + 1j * phase), n=n, axis=1), 0)
-        w = sampling.reduce_kernel(fine, substeps, mode)
-        total = w.sum(axis=1, keepdims=True)
-        return w / np.where(total > 0, total, 1)
+        return weights_of(log + 1j * phase, n, substeps, mode)
 
     return _mapped(df, source, target, f)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sampling
+from . import tour
 from .closure import closure
 from .convolution import convolve
 from .kernel import build_kernel
@@ -16,16 +17,28 @@ from .network import RiverNetwork, check_runoff
 
 @dataclass(frozen=True)
 class Router:
-    """window: lags kept; substeps: routing steps in a native step; mode: how kernels come to the native step."""
+    """window: lags kept; substeps: routing steps in a native step; mode: how kernels come to the native step.
+
+    strategy: one of ``convolve``'s, over a table of kernels, or "tour", which
+    makes them where they are used and gives the same rows.
+    """
 
     window: int = 100
     substeps: int = 1
     mode: str = "avg"
-    strategy: str = "long"
+    strategy: str = "tour"
 
     def __post_init__(self):
         sampling.check_mode(self.mode)
 
+    @property
+    def over_kernels(self) -> str:
+        """The strategy where kernels are a table: those that are pruned, given or kept in stages."""
+        return "long" if self.strategy == "tour" else self.strategy
+
+    def convolution(self, network: RiverNetwork) -> tour.Convolution:
+        return tour.Convolution(self.window, self.substeps, self.mode, network.include_self)
+
     def kernel(self, network: RiverNetwork, targets: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
         """With ``targets(reach_id)`` only rows that end there: the closure is pruned to what drains to them.
 
@@ -45,7 +58,7 @@ class Router:
         if check:
             check_runoff(runoff, network.reaches)
         network = network if params is None else network.with_params(params)
-        flow = convolve(runoff, self.kernel(network, targets, pairs), steps, self.strategy)
+        flow = convolve(runoff, self.kernel(network, targets, pairs), steps, self.over_kernels)
         if network.include_self:
             return flow
         own = runoff.filter(F.col("t").between(0, steps - 1)).select("batch", "reach_id", "t", "value")
@@ -56,6 +69,11 @@ class Router:
 
 def parameter_sweep(router: Router, runoff: DataFrame, network: RiverNetwork, param: str, factors: dict[str, float], steps: int) -> DataFrame:
     """param_set, batch, reach_id, t, value: the same runoff routed with scaled copies of one parameter, as one job over one closure."""
+    if router.strategy == "tour" and network.include_self:
+        sets = [{param: F.col(param) * factor} for factor in factors.values()]
+        flow = tour.route(router.convolution(network), runoff, network, steps, sets)
+        named = (F.struct(F.lit(name).alias("param_set"), F.col(f"value_{k}").alias("value")) for k, name in enumerate(factors))
+        return flow.select("batch", "reach_id", "t", F.explode(F.array(*named)).alias("_s")).select("_s.param_set", "batch", "reach_id", "t", "_s.value")
     out = []
     pairs = closure(network.reaches, network.include_self)
     for name, factor in factors.items():

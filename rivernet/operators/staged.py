@@ -92,7 +92,7 @@ class StagedRouter:
             yield k, flow, store.get("inflow", after=k).filter("from_above").select(*SERIES)
 
     def _route(self, own: DataFrame, inner: RiverNetwork, kernel: DataFrame, steps: int) -> DataFrame:
-        flow = convolve(own, kernel, steps, self.router.strategy)
+        flow = convolve(own, kernel, steps, self.router.over_kernels)
         if inner.include_self:
             return flow
         return flow.unionByName(own.filter(F.col("t").between(0, steps - 1))).groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
