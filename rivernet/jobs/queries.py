@@ -268,7 +268,7 @@ def staged_warm_start(spark, sf_dir):
 
 
 def adjoint_dx(spark, sf_dir):
-    return flow(V.adjoint_runoff(_series(spark, sf_dir), K.build_kernel(RiverNetwork(data.heap(spark, sf_dir)), WINDOW)))
+    return flow(Router(WINDOW).adjoint(_series(spark, sf_dir), RiverNetwork(data.heap(spark, sf_dir))))
 
 
 def adjoint_dw(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sampling
 from . import tour
 from .closure import closure
-from .convolution import convolve
+from .convolution import adjoint_runoff, convolve
 from .kernel import build_kernel
 from .network import RiverNetwork, check_runoff
 
@@ -66,6 +66,12 @@ class Router:
             own = own.join(targets.select("reach_id"), "reach_id", "left_semi")
         return flow.unionByName(own).groupBy("batch", "reach_id", "t").agg(F.sum("value").alias("value"))
 
+    def adjoint(self, gradient: DataFrame, network: RiverNetwork) -> DataFrame:
+        """batch, reach_id, t, value: a gradient by discharge as one by the runoff that is routed."""
+        if self.strategy == "tour":
+            return tour.adjoint(self.convolution(network), gradient, network)
+        return adjoint_runoff(gradient, self.kernel(network))
+
 
 def parameter_sweep(router: Router, runoff: DataFrame, network: RiverNetwork, param: str, factors: dict[str, float], steps: int) -> DataFrame:
     """param_set, batch, reach_id, t, value: the same runoff routed with scaled copies of one parameter, as one job over one closure."""
