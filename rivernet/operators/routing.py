@@ -93,6 +93,10 @@ def parameter_sweep(router: Router, runoff: DataFrame, network: RiverNetwork, pa
 
 def parameter_gradient(router: Router, runoff: DataFrame, network: RiverNetwork, param: str, steps: int, step: float = 0.01) -> DataFrame:
     """batch, reach_id, t, gradient: how discharge changes with the factor of one parameter at 1, by a central difference."""
-    sweep = parameter_sweep(router, runoff, network, param, {"low": 1 - step, "high": 1 + step}, steps)
+    sides = {"low": 1 - step, "high": 1 + step}
+    if router.strategy == "tour" and network.include_self:  # both sides lie in one row
+        flow = tour.route(router.convolution(network), runoff, network, steps, [{param: F.col(param) * factor} for factor in sides.values()])
+        return flow.select("batch", "reach_id", "t", ((F.col("value_1") - F.col("value_0")) / (2 * step)).alias("gradient"))
+    sweep = parameter_sweep(router, runoff, network, param, sides, steps)
     signed = F.when(F.col("param_set") == "high", F.col("value")).otherwise(-F.col("value"))
     return sweep.groupBy("batch", "reach_id", "t").agg((F.sum(signed) / (2 * step)).alias("gradient"))
