@@ -55,10 +55,14 @@ class Router:
         ``params`` replaces the network's parameters.  Where a reach does not
         route its own runoff, that runoff is added as it is.
         """
+        by_tour = self.strategy == "tour" and targets is None and pairs is None
         if check:
-            check_runoff(runoff, network.reaches)
+            check_runoff(runoff, None if by_tour else network.reaches)
         network = network if params is None else network.with_params(params)
-        flow = convolve(runoff, self.kernel(network, targets, pairs), steps, self.over_kernels)
+        if by_tour:
+            flow = tour.route(self.convolution(network), runoff, network, steps, check=check).withColumnRenamed("value_0", "value")
+        else:
+            flow = convolve(runoff, self.kernel(network, targets, pairs), steps, self.over_kernels)
         if network.include_self:
             return flow
         own = runoff.filter(F.col("t").between(0, steps - 1)).select("batch", "reach_id", "t", "value")
