@@ -204,8 +204,7 @@ def param_gradient(spark, sf_dir):
 
 def loss_gradient(spark, sf_dir):
     """Of half the sum of squared discharges, by every parameter of every reach."""
-    network, router, x = RiverNetwork(data.heap(spark, sf_dir)), Router(WINDOW), _series(spark, sf_dir)
-    found = reverse_gradient(router, settled(router.route(x, network, STEPS)), x, network)
+    found = reverse_gradient(Router(WINDOW), lambda flow: flow, _series(spark, sf_dir), RiverNetwork(data.heap(spark, sf_dir)), STEPS)
     return found.select("reach_id", "param", rounded("value", 4, 1e12).alias("value"))
 
 

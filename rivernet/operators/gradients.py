@@ -11,23 +11,22 @@ parameters; networks are walked by pairs, never by the reaches of each path.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import Rounds, settled
+from ..checkpoints import settled
 from ..functions import sampling
 from ..functions.irf import get_irf
-from ..functions.spectral import FLOOR, _lists, _mapped, _matrix
-from .closure import closure
-from .convolution import adjoint_kernel
-from .kernel import path_spectra, responses
-from .network import NetworkError, RiverNetwork
+from ..functions.spectral import FLOOR, _lists, log_of
+from . import tour
+from .network import RiverNetwork
 from .routing import Router
 
+Slope = Callable[[np.ndarray], np.ndarray]
 COLUMNS = 256  # elements of an array that are summed as columns of one row; longer ones as rows
 
 
@@ -73,75 +72,101 @@ def summed(rows: DataFrame, keys: list[str], array: str, size: int) -> DataFrame
     return whole.select(*keys, F.col("_all._v").alias(array))
 
 
-def summed_upstream(values: DataFrame, reaches: DataFrame, array: str, size: int) -> DataFrame:
-    """reach_id and the sum of ``values(reach_id, array)`` over all reaches upstream, itself included; none counts as zeros."""
-    zeros = F.array_repeat(F.lit(0.0), size)
-    given = reaches.select("reach_id", F.col("downstream_id").alias("next")).join(values.select("reach_id", array), "reach_id", "left")
-    rounds = Rounds(given.select("reach_id", "next", F.coalesce(array, zeros).alias(array)))
-    step, most = 1, None
-    while not rounds.table.filter("next IS NOT NULL").isEmpty():
-        most = most or reaches.count()
-        if step > most:
-            raise NetworkError("the network has a cycle")
-        state = rounds.table
-        sent = summed(state.filter("next IS NOT NULL").select(F.col("next").alias("_to"), F.col(array).alias("_more")), ["_to"], "_more", size)
-        ahead = state.select(F.col("reach_id").alias("next"), F.col("next").alias("_after"))
-        both = state.join(sent, F.col("reach_id") == F.col("_to"), "left").join(ahead, "next", "left")
-        own = F.when(F.col("_more").isNull(), F.col(array)).otherwise(F.zip_with(array, "_more", lambda a, b: a + b))
-        rounds.put(both.select("reach_id", F.col("_after").alias("next"), own.alias(array)))
-        step *= 2
-    return rounds.table.select("reach_id", array)
-
-
-def kernel_gradient(gradient: DataFrame, runoff: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
-    """dst, src, by_weights: a gradient by discharge as one by the weights of each pair; pairs without any have no row."""
-    long = adjoint_kernel(gradient, runoff, pairs, window)
-    at = long.groupBy("dst", "src").agg(F.map_from_entries(F.collect_list(F.struct("lag", "value"))).alias("_at"))  # ``window`` entries at most
-    lags = F.sequence(F.lit(0), F.lit(window - 1))
-    return at.select("dst", "src", F.transform(lags, lambda lag: F.coalesce(F.try_element_at("_at", lag), F.lit(0.0))).alias("by_weights"))
-
-
-def response_gradient(router: Router, gradient: DataFrame, runoff: DataFrame, network: RiverNetwork) -> DataFrame:
-    """reach_id, by_irf: a gradient by discharge as one by the samples of each reach's response."""
-    n, mode, substeps = router.window * router.substeps, router.mode, router.substeps
-    size = 2 * (n // 2 + 1)
-    pairs = settled(closure(network.reaches, network.include_self))
-    spectra = path_spectra(network, router.window, substeps, pairs)
-    both = spectra.join(kernel_gradient(gradient, runoff, pairs.select("dst", "src"), router.window), ["dst", "src"])
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                found = weights_back(_matrix(b.column("spectrum")), _matrix(b.column("by_weights")), n, substeps, mode)
-                yield pa.RecordBatch.from_arrays([b.column("dst"), b.column("src"), _lists(found)], names=["dst", "src", "by"])
-
-    by_path = settled(both.mapInArrow(back, "dst long, src long, by array<double>"))
-    # A path's spectrum is the sum to the outlet at its start less that below its end.
-    below = network.edges().select(F.col("reach_id").alias("dst"), F.col("downstream_id").alias("reach_id"))
-    ends = by_path.join(below, "dst").select("reach_id", F.transform("by", lambda v: -v).alias("by"))
-    by_sum = summed(by_path.select(F.col("src").alias("reach_id"), "by").unionByName(ends), ["reach_id"], "by", size)
-    by_spectrum = summed_upstream(by_sum, network.reaches, "by", size)
-    own = responses(network, router.window, substeps).select("reach_id", "irf").join(by_spectrum, "reach_id")
-
-    def to_response(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_response(how: tour.Convolution, params: list[str], given: Slope | None, steps: int | None) -> Callable:
+    """Work of a block: reach_id, whether other blocks have a part of its gradient too, parameters and the gradient by its response.
+
+    Discharge that drains through the block alone is made here where ``given``
+    makes the loss's derivative of it.
+    """
+    n, window, back = how.window * how.substeps, how.window, how.window - 1
+    lags = np.arange(window)
+
+    def slopes(local: tour.Local, kernels: Callable, part: tour.Entries, y: tour.Entries, low: int, high: int) -> np.ndarray:
+        """[reach, step]: what the loss says of discharge in the steps from ``low`` - ``back`` on, ``back`` more than up to ``high``."""
+        dy = np.zeros((local.n, high - low + 2 * back))
+        on = (y.at >= low) & (y.at < high)
+        np.add.at(dy, (y.of[on], y.at[on] - low + back), y.value[on] if given is None else given(y.value[on]))
+        ends = np.flatnonzero(~local.shared)
+        if given is not None and len(ends):
+            width = high - low + back
+            of, at = np.nonzero(how.hits(local, part, ends, width)[:, back:])
+            dy[ends[of], back + at] = given(how.arrived(local, kernels(0), part, ends, width)[:, back:][of, at])
+        return dy
+
+    def work(local: tour.Local, nodes: pa.Table, series: Iterator) -> Iterator[pa.RecordBatch]:
+        kernels, spectra = how.kernels(local, False), log_of(local.irfs[0])
+        by_path = np.zeros((local.n, 2 * spectra.shape[1]))
+        for _, tile, rows in series:
+            kind = np.asarray(rows.column("kind"))
+            x, y = (tour.Entries.read(rows.filter(pa.array(kind == k)), local).only_known() for k in (tour.IN, tour.OUT))
+            last = how.tile if steps is None else min(how.tile, steps - tile * how.tile)
+            for low, high in tour.spans(how, x, 0, back, last, local.n):
+                part = x.part(low - back, high)
+                dy = slopes(local, kernels, part, y, low, high)
+                for start, end, path in local.paths(spectra, how.include_self):
+                    nth = np.full(local.own, -1)
+                    nth[start] = np.arange(len(start))
+                    by_weights = np.zeros(len(start) * window)
+                    for i in range(0, len(part.of), max(1, how.cells // window)):
+                        cut = slice(i, i + max(1, how.cells // window))
+                        to = nth[part.of[cut] - local.stem]
+                        on = to >= 0
+                        to, at = to[on], part.at[cut][on][:, None] + lags
+                        products = part.value[cut][on][:, None] * dy[end[to][:, None], at]
+                        by_weights += np.bincount((to[:, None] * window + lags).reshape(-1), products.reshape(-1), len(by_weights))
+                    by = weights_back(np.hstack((path.real, path.imag)), by_weights.reshape(-1, window), n, how.substeps, how.mode)
+                    # A path's spectrum is the sum to the outlet at its start less that below its end.
+                    by_path[local.stem + start] += by
+                    down = local.down[end]
+                    np.subtract.at(by_path, down[down >= 0], by[down >= 0])
+        by_irf = spectrum_back(local.irfs[0], local.accumulated(by_path))
+        columns = [pa.array(local.reach), pa.array(local.shared), *(nodes.column(f"_0_{p}").combine_chunks().take(pa.array(local.order)) for p in params), _lists(by_irf)]
+        yield pa.RecordBatch.from_arrays(columns, names=["reach_id", "shared", *params, "by_irf"])
+
+    return work
+
+
+def _of_rows(slope: Slope, flow: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("reach_id"), _lists(spectrum_back(_matrix(b.column("irf")), _matrix(b.column("by"))))], names=["reach_id", "by_irf"])
+            yield b.set_column(b.schema.get_field_index("value"), "value", pa.array(slope(np.asarray(b.column("value")))))
 
-    return own.mapInArrow(to_response, "reach_id long, by_irf array<double>")
+    return flow.filter("value IS NOT NULL").mapInArrow(run, flow.schema)
 
 
-def loss_gradient(router: Router, gradient: DataFrame, runoff: DataFrame, network: RiverNetwork) -> DataFrame:
+def response_gradient(router: Router, gradient: DataFrame | Slope, runoff: DataFrame, network: RiverNetwork, steps: int | None = None) -> DataFrame:
+    """reach_id, the response's parameters, by_irf: a gradient by discharge as one by the samples of each reach's response.
+
+    By blocks of a tour: a block has all paths that start in it, so what they say
+    of the reaches along them is summed there, and over blocks for the few reaches
+    that others drain through too.
+    """
+    how, params = router.convolution(network), list(get_irf(network.irf).params)
+    if callable(gradient) and steps is None:
+        raise ValueError("the number of steps is needed where discharge is made")
+    if callable(gradient) and not network.include_self:  # discharge has a reach's own runoff besides what paths bring
+        gradient = _of_rows(gradient, router.route(runoff, network, steps))
+    places = tour.tour(network.reaches)
+    x = tour.series(runoff, places, how.window, tour.IN, callable(gradient), how.tile)
+    ends = tour.shared_flow(how, x, places, runoff, network, steps) if callable(gradient) else gradient
+    blocks = tour.Blocks(network, places, how, [x, tour.series(ends, places, 1, tour.OUT, tile=how.tile)], stems=[False, True])
+    work = _by_response(how, params, gradient if callable(gradient) else None, steps)
+    parts = settled(blocks.run(work, "reach_id long, shared boolean, " + "".join(f"{p} double, " for p in params) + "by_irf array<double>"))
+    sums = summed(parts.filter("shared"), ["reach_id", *params], "by_irf", how.window * how.substeps)
+    return parts.filter("NOT shared").drop("shared").unionByName(sums)
+
+
+def loss_gradient(router: Router, gradient: DataFrame | Slope, runoff: DataFrame, network: RiverNetwork, steps: int | None = None) -> DataFrame:
     """reach_id, param, value: the derivative of a loss by every parameter of every reach.
 
     ``gradient(batch, reach_id, t, value)`` is the loss's derivative by
-    discharge.  Where weights are cut at 0 or a magnitude lies at its floor the
+    discharge, or a function that makes it of an array of discharges; then the
+    discharge for 0 <= t < ``steps`` is made where it is used.  Where weights are cut at 0 or a magnitude lies at its floor the
     derivative is that of the side which is taken.
     """
     irf = get_irf(network.irf)
     n, dt = router.window * router.substeps, 1 / router.substeps
-    by_irf = response_gradient(router, gradient, runoff, network)
-    rows = network.reaches.select("reach_id", *irf.params).join(by_irf, "reach_id")
+    rows = response_gradient(router, gradient, runoff, network, steps)
     slopes = irf.slopes({p: F.col(p) for p in irf.params}, n, dt)
     dot = lambda slope: F.aggregate(F.zip_with("by_irf", slope, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     per_param: list[Column] = [F.struct(F.lit(p).alias("param"), dot(slope).alias("value")) for p, slope in slopes.items()]
